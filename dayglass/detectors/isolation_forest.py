@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from dayglass import config
 from dayglass.functions.numeric import unit_hash
 from dayglass.operators.scaling import normalise
+from dayglass.session import materialise
 
 _NODES = (
     "tree int, feature array<int>, cut array<double>, "
@@ -184,10 +185,12 @@ def isolation_forest_on_normals(
 
     forest = fit_forest(train, features, F.concat_ws("|", *keys), params)
     scored = test.select(*keys, _label(test, label), forest_score(test, forest).alias("anomaly_score"))
+    scored = materialise(scored, "forest-scores")
     if target_fpr is None:
         flagged = flag_above_quantile(scored, 0.99)
     else:
         normal = validation.select(forest_score(validation, forest).alias("anomaly_score"))
+        normal = materialise(normal, "forest-normal")
         flagged = flag_above(scored, calibrate(normal, target_fpr=target_fpr))
     named = normalise(flagged, "anomaly_score").select(F.lit("isolation_forest").alias("model"), "*")
     return named.select("model", *keys, "true_label", "prediction", "anomaly_score")

@@ -6,6 +6,7 @@ autoencoder; scores therefore differ from those of a non-linear network.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -20,7 +21,8 @@ from dayglass.detectors.isolation_forest import _label
 from dayglass.detectors.thresholds import calibrate, flag_above, flag_above_quantile
 from dayglass.functions.numeric import min_max
 from dayglass.operators.ordering import with_group_stats
-from dayglass.operators.scaling import apply_scaler, fit_scaler, normalise
+from dayglass.operators.scaling import apply_scaler, fit_scaler, normalise, scale
+from dayglass.session import materialise
 
 
 @dataclass(frozen=True)
@@ -56,15 +58,14 @@ def fit_latent(
     pca, encoded = project(scaled, features, components)
     points = encoded.select(array_to_vector("latent").alias("z")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        runs = [
-            KMeans(
-                k=params.clusters,
-                maxIter=params.max_iter,
-                seed=params.seed + i,
-                featuresCol="z",
-            ).fit(points)
-            for i in range(params.restarts)
-        ]
+
+        def run(i: int):
+            seed = params.seed + i
+            return KMeans(k=params.clusters, maxIter=params.max_iter, seed=seed, featuresCol="z").fit(points)
+
+        # restarts are independent jobs over the same stored points
+        with ThreadPoolExecutor(params.restarts) as pool:
+            runs = list(pool.map(run, range(params.restarts)))
         best = min(runs, key=lambda m: m.summary.trainingCost)
         centres = [[float(v) for v in c] for c in best.clusterCenters()]
     finally:
@@ -91,10 +92,8 @@ def latent_parts(scaled: DataFrame, model: LatentModel) -> DataFrame:
     ``(|x|^2 - |z|^2) / d``, so nothing is decoded.
     """
     encoded = _encode(scaled, model.pca, model.features)
-    squares = F.lit(0.0)
-    for f in model.features:
-        v = F.coalesce(F.col(f).cast("double"), F.lit(0.0))
-        squares = squares + v * v
+    values = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in model.features])
+    squares = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v * v)
     kept = F.aggregate("latent", F.lit(0.0), lambda acc, v: acc + v * v)
     return encoded.withColumns(
         {
@@ -113,12 +112,11 @@ def latent_clustering(
     scaler: DataFrame | None = None,
 ) -> DataFrame:
     """Half the min-maxed distance plus half the min-maxed error, flagged above p95."""
-    from dayglass.operators.scaling import scale
-
     labelled = df.select(*keys, _label(df, label), *features)
     scaled = scale(labelled, features, scaler)
     model = fit_latent(scaled, features, params)
     parts = latent_parts(scaled, model).select(*keys, "true_label", "distance", "reconstruction_error")
+    parts = materialise(parts, "latent-parts")
     bounds = with_group_stats(
         parts,
         [],
@@ -152,19 +150,19 @@ def latent_clustering_on_normals(
 
     Without a target rate the 95th percentile of the scored rows is used.
     """
-    low = {f"_lo{i}": F.min(F.col(f).cast("double")) for i, f in enumerate(features)}
-    high = {f"_hi{i}": F.max(F.col(f).cast("double")) for i, f in enumerate(features)}
+    # two numbers per feature, constants of the fitted model
+    bounds = train.agg(
+        *[F.min(F.col(f).cast("double")).alias(f"lo{i}") for i, f in enumerate(features)],
+        *[F.max(F.col(f).cast("double")).alias(f"hi{i}") for i, f in enumerate(features)],
+    ).first()
 
     def squeeze(df: DataFrame) -> DataFrame:
-        found = with_group_stats(df, [], low | high, source=train)
         others = [F.col(c) for c in df.columns if c not in features]
-        return found.select(
-            *others,
-            *[
-                min_max(F.col(f).cast("double"), F.col(f"_lo{i}"), F.col(f"_hi{i}")).alias(f)
-                for i, f in enumerate(features)
-            ],
-        )
+        squeezed = [
+            min_max(F.col(f).cast("double"), F.lit(bounds[f"lo{i}"]), F.lit(bounds[f"hi{i}"])).alias(f)
+            for i, f in enumerate(features)
+        ]
+        return df.select(*others, *squeezed)
 
     fitted_on = squeeze(train)
     centre = fit_scaler(fitted_on, features).withColumn("scale", F.lit(1.0))
@@ -177,10 +175,11 @@ def latent_clustering_on_normals(
     scored = score(test.select(*keys, _label(test, label), *features)).select(
         *keys, "true_label", "anomaly_score"
     )
+    scored = materialise(scored, "latent-scores")
     if target_fpr is None:
         flagged = flag_above_quantile(scored, 0.95)
     else:
-        normal = score(validation.select(*features)).select("anomaly_score")
+        normal = materialise(score(validation.select(*features)).select("anomaly_score"), "latent-normal")
         flagged = flag_above(scored, calibrate(normal, target_fpr=target_fpr))
     named = normalise(flagged, "anomaly_score").select(F.lit("deep_clustering").alias("model"), "*")
     return named.select("model", *keys, "true_label", "prediction", "anomaly_score")
@@ -195,7 +194,6 @@ def projection_3d(
     components: int = 3,
 ) -> DataFrame:
     """Principal components of scaled features with labels; normals sampled, positives kept."""
-    from dayglass.operators.scaling import scale
     from dayglass.operators.splits import sample_normals
 
     scaled = scale(df, features)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from dayglass import config
 from dayglass.detectors.thresholds import calibrate, flag_above, flag_above_quantile
 from dayglass.operators.scaling import normalise
+from dayglass.session import materialise
 
 _KEYS = ("user", "end_day")
 
@@ -52,11 +53,14 @@ def sequence_deviation(
     scores; otherwise it is the 95th percentile of the test scores.
     """
     params = fit_deviation(train)
-    scored = normalise(deviation_scores(test, params), "anomaly_score")
+    kept = [*_KEYS, "label", "anomaly_score"]
+    raw = materialise(deviation_scores(test, params).select(*kept), "sequence-scores")
+    scored = normalise(raw, "anomaly_score")
     if validation is None:
         flagged = flag_above_quantile(scored, 0.95)
     else:
-        normal = normalise(deviation_scores(validation, params).select("anomaly_score"), "anomaly_score")
+        checked = materialise(deviation_scores(validation, params).select("anomaly_score"), "sequence-normal")
+        normal = normalise(checked, "anomaly_score")
         flagged = flag_above(scored, calibrate(normal, target_fpr=target_fpr))
     return _predictions(flagged)
 
@@ -104,7 +108,8 @@ def sequence_reconstruction(
     model = PCA(k=components, inputCol="_x", outputCol="_z").fit(
         normal.select(array_to_vector("_flat").alias("_x"))
     )
-    basis = df_broadcast(train, model.pc.toArray())
+    # fitted matrix, cells x components
+    basis = train.sparkSession.sparkContext.broadcast(model.pc.toArray())
     squared = error == "squared"
 
     @F.pandas_udf("double")
@@ -114,15 +119,11 @@ def sequence_reconstruction(
         left = x - (x @ pc) @ pc.T
         return pd.Series((left**2 if squared else np.abs(left)).mean(axis=1))
 
-    scored = scaled(test).withColumn("anomaly_score", lost("_flat")).drop("_flat")
+    scored = scaled(test).withColumn("anomaly_score", lost("_flat")).drop("_flat", "seq")
+    scored = materialise(scored, "sequence-scores")
     return _predictions(flag_above_quantile(scored, quantile))
 
 
-def df_broadcast(df: DataFrame, value):
-    """Share a small fitted matrix (cells x components) with all tasks."""
-    return df.sparkSession.sparkContext.broadcast(value)
-
-
 def error_summary(scored: DataFrame, score: str = "anomaly_score") -> DataFrame:
     """Mean and population standard deviation of the errors, one row."""
     return scored.agg(

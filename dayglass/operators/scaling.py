@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayglass.functions.numeric import min_max
-from dayglass.operators.ordering import bounded_map, with_group_stats
+from dayglass.operators.ordering import with_group_stats
 
 
 def fit_scaler(df: DataFrame, features: list[str]) -> DataFrame:
@@ -34,17 +34,19 @@ def fit_scaler(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def apply_scaler(df: DataFrame, params: DataFrame, features: list[str]) -> DataFrame:
-    """``(x - mean) / scale`` for every feature, other columns untouched."""
-    found = bounded_map(params.select("feature", "mean", "scale"), ["feature"])
-    bound = df.select("*", found.alias("_scaler"))
-    columns = []
-    for c in df.columns:
-        if c not in features:
-            columns.append(F.col(c))
-            continue
-        p = F.col("_scaler")[F.struct(F.lit(c).alias("feature"))]
-        columns.append(((F.col(c).cast("double") - p["mean"]) / p["scale"]).alias(c))
-    return bound.select(*columns)
+    """``(x - mean) / scale`` for every feature, other columns untouched.
+
+    The parameters, one row per feature, are read once and become constants of
+    the plan, as those of a fitted model do.
+    """
+    rows = params.where(F.col("feature").isin(*features)).limit(len(features)).collect()
+    known = {p["feature"]: (p["mean"], p["scale"]) for p in rows}
+
+    def scaled(c: str) -> Column:
+        mean, width = known[c]
+        return ((F.col(c).cast("double") - F.lit(mean)) / F.lit(width)).alias(c)
+
+    return df.select(*[scaled(c) if c in features else F.col(c) for c in df.columns])
 
 
 def scale(df: DataFrame, features: list[str], params: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -56,3 +56,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="dayglass-")
         spark.conf.set(CHECKPOINT_CONF, base)
     return f"{base.rstrip('/')}/dayglass/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write to the shared scratch folder and read back.
+
+    Used where several later passes need the same expensive rows: they read a
+    table instead of repeating the work, and a lost executor costs no rerun.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
