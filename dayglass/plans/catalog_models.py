@@ -154,12 +154,12 @@ def user_scores(spark: Spark, sf_dir: str) -> DataFrame:
 
 
 def _partial_predictions(spark: Spark, sf_dir: str) -> DataFrame:
-    """Sequence scores exist only for users with an even number."""
+    """Sequence scores are missing for every third user."""
     number = F.substring("user", 2, 6).cast("int")
-    return stages.predictions(spark, sf_dir).where((F.col("model") != "lstm_autoencoder") | (number % 2 == 0))
+    return stages.predictions(spark, sf_dir).where((F.col("model") != "lstm_autoencoder") | (number % 3 != 1))
 
 
-_PART = f"""{_USER_SCORES}, ps AS (SELECT * FROM us WHERE model <> 'lstm_autoencoder' OR CAST(substr("user", 2) AS INTEGER) % 2 = 0),
+_PART = f"""{_USER_SCORES}, ps AS (SELECT * FROM us WHERE model <> 'lstm_autoencoder' OR CAST(substr("user", 2) AS INTEGER) % 3 <> 1),
  w AS (SELECT "user", max(score) FILTER (model = 'isolation_forest') AS a, max(score) FILTER (model = 'deep_clustering') AS b,
    max(score) FILTER (model = 'lstm_autoencoder') AS c, max(label) AS label FROM ps GROUP BY 1)"""
 
@@ -187,7 +187,7 @@ def inner_alignment(spark: Spark, sf_dir: str) -> DataFrame:
 @query(
     "j11_positional_alignment",
     f"""WITH {PRED}, pp AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY "user", day) - 1 AS i FROM pred
-      WHERE model <> 'lstm_autoencoder' OR CAST(substr("user", 2) AS INTEGER) % 2 = 0),
+      WHERE model <> 'lstm_autoencoder' OR CAST(substr("user", 2) AS INTEGER) % 3 <> 1),
     c AS (SELECT model, count(*) AS n FROM pp GROUP BY 1), m AS (SELECT min(n) AS m FROM c),
     pos AS (SELECT model, p AS position, CASE WHEN p = m - 1 THEN n - 1
        ELSE CAST(floor(p * (CAST(n - 1 AS DOUBLE) / (m - 1))) AS BIGINT) END AS i FROM c, m, range(m) t(p))
