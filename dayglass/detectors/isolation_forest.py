@@ -7,11 +7,13 @@ time when scoring.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ from dayglass.functions.numeric import unit_hash
 from dayglass.operators.scaling import normalise
 from dayglass.session import materialise
 
+# task functions travel with their code, so executors need not have the package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _NODES = (
     "tree int, feature array<int>, cut array<double>, "
     "left array<int>, right array<int>, path array<double>"
@@ -105,11 +110,12 @@ def fit_forest(
         raise ValueError("no rows to fit on")
     size = min(params.sample_size, n)
     limit = int(np.ceil(np.log2(max(size, 2))))
-    samples = _samples(df, features, key, params, n, size)
+    # a fixed partition count keeps small samples from being packed into one task
+    samples = _samples(df, features, key, params, n, size).repartition(params.trees, "tree")
     # at most sample_size rows per tree reach one call
     built = samples.groupBy("tree").applyInPandas(_tree_builder(features, params.seed, limit), _NODES)
     # bounded by the parameters: trees x (2 x sample_size - 1) nodes
-    trees = [r.asDict() for r in built.orderBy("tree").collect()]
+    trees = sorted((r.asDict() for r in built.collect()), key=lambda t: t["tree"])
     return Forest(list(features), trees, size)
 
 

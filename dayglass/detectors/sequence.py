@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -14,6 +17,9 @@ from dayglass.detectors.thresholds import calibrate, flag_above, flag_above_quan
 from dayglass.operators.scaling import normalise
 from dayglass.session import materialise
 
+# task functions travel with their code, so executors need not have the package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _KEYS = ("user", "end_day")
 
 

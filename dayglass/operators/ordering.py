@@ -63,9 +63,8 @@ def with_group_stats(
         found = source.agg(F.struct(*named).alias("s")).scalar()
     else:
         found = bounded_map(source.groupBy(*keys).agg(*named), keys)[F.struct(*keys)]
-    kept = [F.col(c) for c in df.columns]
-    joined = df.select(*kept, found.alias("_stats"))
-    return joined.select(*kept, *[F.col("_stats")[n].alias(n) for n in aggregates])
+    # unpacked by a generator, so the plan holds the subquery once and not once per aggregate
+    return df.select(*[F.col(c) for c in df.columns], F.inline(F.array(found)))
 
 
 def sorted_points(points: DataFrame, column: str) -> Column:
@@ -81,12 +80,15 @@ def _block_heads(points: str) -> Column:
 
 def count_below(sorted_array: str, value: Column) -> Column:
     """How many array elements lie below the value: find the block, then look inside."""
-    heads = F.col(sorted_array)["heads"]
-    points = F.col(sorted_array)["points"]
-    before = F.size(F.filter(heads, lambda h: h < value))
-    first = F.greatest(before - 1, F.lit(0)) * _BLOCK
-    inside = F.size(F.filter(F.slice(points, first + 1, _BLOCK), lambda p: p < value))
-    return first + inside
+
+    def search(blocks: Column) -> Column:
+        before = F.size(F.filter(blocks["heads"], lambda h: h < value))
+        first = F.greatest(before - 1, F.lit(0)) * _BLOCK
+        inside = F.filter(F.slice(blocks["points"], first + 1, _BLOCK), lambda p: p < value)
+        return first + F.size(inside)
+
+    # one element, bound once: the plan holds the array's subquery a single time
+    return F.transform(F.array(F.col(sorted_array)), search)[0]
 
 
 def _with_range(distinct_keys: DataFrame, df: DataFrame, key: str, ranges: int) -> DataFrame:

@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dayglass.functions.numeric import min_max
 from dayglass.operators.labelling import label_by_windows
 from dayglass.operators.ordering import quantiles, with_group_stats
 from dayglass.operators.profiles import daily_profile
-from dayglass.operators.scaling import normalise
 from dayglass.session import scratch_path
 from dayglass.sinks import writers
 from dayglass.sources import adapter
@@ -51,16 +51,26 @@ STAND_INS = {
 
 def stand_in_predictions(profile: DataFrame) -> DataFrame:
     """Deterministic keyed scores: one min-maxed measure per model, flagged above its p95."""
+    columns = list(STAND_INS.values())
+    # one row of bounds
+    bounds = profile.agg(
+        *[F.min(c).cast("double").alias(f"lo_{c}") for c in columns],
+        *[F.max(c).cast("double").alias(f"hi_{c}") for c in columns],
+    ).first()
     entries = F.array(
         *[
-            F.struct(F.lit(m).alias("model"), F.col(c).cast("double").alias("anomaly_score"))
+            F.struct(
+                F.lit(m).alias("model"),
+                min_max(F.col(c).cast("double"), F.lit(bounds[f"lo_{c}"]), F.lit(bounds[f"hi_{c}"])).alias(
+                    "anomaly_score"
+                ),
+            )
             for m, c in STAND_INS.items()
         ]
     )
-    long = profile.select(
+    scored = profile.select(
         "user", "day", F.col("is_anomaly").cast("int").alias("true_label"), F.inline(entries)
     )
-    scored = normalise(long, "anomaly_score", ("model",))
     limits = quantiles(scored, "anomaly_score", {"limit": 0.95}, ("model",))
     bound = with_group_stats(scored, ["model"], {"limit": F.max("limit")}, source=limits)
     return bound.select(
