@@ -239,7 +239,8 @@ def search_weights(
         within=("choice", *weights),
         descending=True,
     )
-    sized = with_group_stats(steps_of, ["choice"], {"_p": F.sum("pos")})
+    # every choice sees the same users, so one total serves all
+    sized = with_group_stats(steps_of, [], {"_p": F.sum("true_label")}, source=scored)
     f1 = F.coalesce(F.try_divide(2.0 * F.col("cum_pos"), F.col("_p") + F.col("cum_pos") + F.col("cum_neg")), F.lit(0.0))
     points = sized.select("choice", *weights, F.col("score").alias("threshold"), f1.alias("f1_score"))
     best = F.max_by(F.struct("threshold", "f1_score"), F.struct(F.col("f1_score"), -F.col("threshold")))

@@ -57,7 +57,8 @@ def score_steps(predictions: DataFrame, score: str = "anomaly_score") -> DataFra
         within=("model",),
         descending=True,
     )
-    return with_group_stats(steps, ["model"], {"total_pos": F.sum("pos"), "total_neg": F.sum("neg")})
+    totals = {"total_pos": F.sum("y"), "total_neg": F.sum(1 - F.col("y"))}
+    return with_group_stats(steps, ["model"], totals, source=labelled)
 
 
 def auc_roc(predictions: DataFrame) -> DataFrame:

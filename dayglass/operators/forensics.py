@@ -71,12 +71,17 @@ def score_timeline(scored: DataFrame, threshold: float, keys: tuple[str, ...] =
     )
 
 
-def user_timeline(scored: DataFrame, user: str) -> DataFrame:
-    """One user's daily scores with the attack day (highest score, earliest on ties) marked."""
-    own = scored.where(F.col("user") == user)
-    # one user has at most one row a day
-    peak = own.orderBy(F.desc("anomaly_score"), F.asc("day")).limit(1).select("day").scalar()
-    return own.select("user", "day", "anomaly_score", (F.col("day") == peak).cast("int").alias("is_attack_day"))
+def user_timeline(scored: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """Daily scores of the given users (default all) with each one's attack day marked.
+
+    The attack day has the user's highest score, the earliest one on ties. A
+    user has at most one row a day, so no join partition grows with events.
+    """
+    own = scored if users is None else scored.join(users.select("user").distinct(), "user", "left_semi")
+    peaks = attack_days(own).select("user", "attack_day")
+    return own.join(peaks, "user").select(
+        "user", "day", "anomaly_score", (F.col("day") == F.col("attack_day")).cast("int").alias("is_attack_day")
+    )
 
 
 def attack_days(scored: DataFrame) -> DataFrame:

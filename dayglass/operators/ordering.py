@@ -222,7 +222,7 @@ def quantiles(
     groups = list(within)
     present = df.where(F.col(value).isNotNull())
     steps = cumulative_counts(present, value, {"n": F.count(F.lit(1))}, within)
-    sized = with_group_stats(steps, groups, {"_total": F.sum("n")})
+    sized = with_group_stats(steps, groups, {"_total": F.count(F.lit(1))}, source=present)
     parts = []
     for name, p in probs.items():
         position = F.lit(float(p)) * (F.col("_total") - 1)
@@ -238,7 +238,7 @@ def quantile_grid(df: DataFrame, value: str, steps: int, within: tuple[str, ...]
     groups = list(within)
     present = df.where(F.col(value).isNotNull())
     ladder = cumulative_counts(present, value, {"n": F.count(F.lit(1))}, within)
-    sized = with_group_stats(ladder, groups, {"_total": F.sum("n")})
+    sized = with_group_stats(ladder, groups, {"_total": F.count(F.lit(1))}, source=present)
     last = steps - 1
     # each distinct value answers the steps whose rank it holds; integers keep this exact
     span = F.greatest(F.col("_total") - 1, F.lit(1))

@@ -836,9 +836,21 @@ def attack_days(spark: Spark, sf_dir: str) -> DataFrame:
 
 @query(
     "q17_user_timeline",
-    f"""WITH {WIDE} SELECT "user", day, {r('score')} AS anomaly_score,
-    CAST(day = (SELECT day FROM ens WHERE "user" = 'U000007' ORDER BY score DESC, day LIMIT 1) AS INTEGER) AS is_attack_day FROM ens WHERE "user" = 'U000007'""",
+    f"""WITH {WIDE}, k AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, day) AS k FROM ens)
+    SELECT "user", day, {r('score')} AS anomaly_score, CAST(k = 1 AS INTEGER) AS is_attack_day FROM k""",
 )
 def user_timeline(spark: Spark, sf_dir: str) -> DataFrame:
-    """One user's scores, the user filter being the report's own parameter."""
-    return rounded(forensics.user_timeline(ensemble.combine(stages.predictions(spark, sf_dir)), "U000007"))
+    """Timelines of all users with their attack days."""
+    return rounded(forensics.user_timeline(ensemble.combine(stages.predictions(spark, sf_dir))))
+
+
+@query(
+    "q17_insider_timeline",
+    f"""WITH {WIDE}, k AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, day) AS k FROM ens)
+    SELECT "user", day, {r('score')} AS anomaly_score, CAST(k = 1 AS INTEGER) AS is_attack_day FROM k
+    WHERE "user" IN (SELECT "user" FROM ens WHERE true_label > 0)""",
+)
+def insider_timeline(spark: Spark, sf_dir: str) -> DataFrame:
+    """Timelines of the labelled users only."""
+    scored = ensemble.combine(stages.predictions(spark, sf_dir))
+    return rounded(forensics.user_timeline(scored, forensics.scored_positives(scored)))

@@ -344,3 +344,26 @@ def test_flags_at_a_tied_threshold(spark):
 
 def test_config_weights():
     assert abs(sum(config.EnsembleParams().weights.values()) - 1) < 1e-9
+
+
+def test_joins_without_broadcast_give_the_same(spark):
+    """A hot user under shuffled joins: same rows, same labels."""
+    from dayglass.operators import enrich
+
+    base = T(2024, 1, 1)
+    rows = [("hot" if i % 3 else f"u{i}", base + dt.timedelta(hours=i), "a", "p", "r1") for i in range(600)]
+    log = spark.createDataFrame(rows, LOG)
+    win = spark.createDataFrame([("hot", "r1", base, base + dt.timedelta(days=9))], "user_id string, dataset string, start timestamp_ntz, end timestamp_ntz")
+    roles = spark.createDataFrame([("hot", "x"), ("u3", "y")], "user_id string, role string")
+
+    def run():
+        found = labelling.label_by_windows(enrich.join_attributes(log, roles), win)
+        return sorted((r.user_id, r.date, r.role or "", r.is_insider) for r in found.collect())
+
+    small = run()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert run() == small and len(small) == 600
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
