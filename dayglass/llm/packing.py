@@ -112,23 +112,23 @@ class Plan:
 
 
 def _best_pattern(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack by dynamic programming; ``sizes`` ascend."""
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for room in range(int(sizes[0]), capacity + 1):
-        usable = int(np.searchsorted(sizes, room, side="right"))
-        gains = best[room - sizes[:usable]] + value[:usable]
-        k = int(np.argmax(gains))
+    """Unbounded knapsack by dynamic programming over the room left; ``sizes`` ascend."""
+    worth = np.full(capacity + 1, -1.0)
+    worth[sizes] = value
+    best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=int)
+    for room in range(1, capacity + 1):
+        gains = worth[1 : room + 1] + best[:room][::-1]
+        k = gains.argmax()
         if gains[k] > best[room - 1] + 1e-12:
-            best[room], choice[room] = gains[k], k
+            best[room], choice[room] = gains[k], k + 1
         else:
             best[room] = best[room - 1]
     pattern, room = np.zeros(len(sizes)), capacity
     while room > 0:
-        if choice[room] < 0:
-            room -= 1
-        else:
-            pattern[choice[room]] += 1
-            room -= int(sizes[choice[room]])
+        size = int(choice[room])
+        if size:
+            pattern[np.searchsorted(sizes, size)] += 1
+        room -= size or 1
     return float(best[capacity]), pattern
 
 
@@ -148,7 +148,7 @@ def _first_fit(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> Counter:
     return Counter(tuple(sorted(p.items())) for p in held)
 
 
-def solve(histogram: dict[int, int], capacity: int, gap: float = 1e-4) -> Plan:
+def solve(histogram: dict[int, int], capacity: int, gap: float = 5e-4) -> Plan:
     """Fewest sequences for the histogram of length classes, by column generation.
 
     The simplex basis holds one pattern for each class. Farley's bound ends the search
@@ -158,9 +158,11 @@ def solve(histogram: dict[int, int], capacity: int, gap: float = 1e-4) -> Plan:
     if not len(sizes):
         return Plan([])
     demand = np.array([histogram[int(k)] for k in sizes], dtype=float)
+    # a little more than the demand, unequal by class: no step stands still, so none repeats
+    asked = demand + 1e-3 * (1 + np.random.default_rng(0).random(len(sizes)))
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
-    used = inverse @ demand
+    used = inverse @ asked
     steps = 0
     while True:
         prices = inverse.sum(axis=0)
@@ -181,7 +183,7 @@ def solve(histogram: dict[int, int], capacity: int, gap: float = 1e-4) -> Plan:
             row = inverse[out] / change[out]
             inverse -= np.outer(change, row)
             inverse[out] = row
-        used = np.maximum(inverse @ demand, 0.0)
+        used = np.maximum(inverse @ asked, 0.0)
     times = np.floor(used + 1e-6).astype(int)
     # never more pieces than there are, whatever the rounding
     while np.any(basis @ times > demand):
@@ -208,6 +210,21 @@ def _places(plan: Plan) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return {k: tuple(np.array(c, dtype=np.int64) for c in zip(*r)) for k, r in rows.items()}
 
 
+def _planned(histogram: DataFrame, capacity: int) -> Plan:
+    """Solve in a task: a worker's linear algebra keeps to one thread. At most ``capacity`` rows go in."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        plan = solve(dict(zip(rows["_class"].tolist(), rows["count"].tolist())), capacity)
+        found = [(i, k, a, n) for i, (pattern, n) in enumerate(plan.patterns) for k, a in pattern.items()]
+        return pd.DataFrame(found, columns=["pattern", "class", "pieces", "times"])
+
+    solved = histogram.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "pattern int, class int, pieces int, times long")
+    patterns: dict[int, tuple[dict[int, int], int]] = {}
+    for r in solved.collect():
+        patterns.setdefault(r["pattern"], ({}, r["times"]))[0][r["class"]] = r["pieces"]
+    return Plan([patterns[i] for i in sorted(patterns)])
+
+
 def _ranked(cut: DataFrame) -> DataFrame:
     """Number the pieces of each class from 0, the longest first within slices of a class.
 
@@ -243,9 +260,7 @@ def pack(
     cut = pieces(docs, tokenizer_path, size, end_id, id_col, text_col, with_ids)
     cut = cut.withColumn("_class", F.ceil(F.col("length") / step).cast("int"))
     cut = materialise(cut, "packing-pieces")
-    # at most ``size / step`` rows
-    histogram = {r[0]: r[1] for r in cut.groupBy("_class").count().collect()}
-    places = _places(solve(histogram, capacity))
+    places = _places(_planned(cut.groupBy("_class").count(), capacity))
 
     @F.pandas_udf("long")
     def sequence(classes: pd.Series, ranks: pd.Series) -> pd.Series:

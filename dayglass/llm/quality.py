@@ -173,9 +173,10 @@ def fit(
     rows = texts.join(marked, "_id").mapInPandas(extract, "_id string, _y int, _slots array<int>")
     rows = materialise(rows, "quality-features")
     # at most ``2 ** bits`` rows, combined before the shuffle
-    counted = rows.groupBy("_y", F.explode("_slots").alias("_slot")).count().groupBy("_slot").agg(
-        F.sum(F.when(F.col("_y") == 1, F.col("count"))).alias("_good"),
-        F.sum(F.when(F.col("_y") != 1, F.col("count"))).alias("_bad"),
+    counted = (
+        rows.select("_y", F.explode("_slots").alias("_slot"))
+        .groupBy("_slot")
+        .agg(F.count_if(F.col("_y") == 1).alias("_good"), F.count_if(F.col("_y") != 1).alias("_bad"))
     )
     total, good = rows.agg(F.count(F.lit(1)), F.count_if(F.col("_y") == 1)).first()
     if not total or good in (0, total):
@@ -183,8 +184,8 @@ def fit(
     found = counted.toPandas()
     at = found["_slot"].to_numpy()
     p, q = (np.full(dims, params.smoothing) for _ in range(2))
-    p[at] += found["_good"].fillna(0).to_numpy(dtype=float)
-    q[at] += found["_bad"].fillna(0).to_numpy(dtype=float)
+    p[at] += found["_good"].to_numpy(dtype=float)
+    q[at] += found["_bad"].to_numpy(dtype=float)
     ratios = np.log(p / p.sum()) - np.log(q / q.sum())
     unseen = np.ones(dims, dtype=bool)
     unseen[at] = False
@@ -215,7 +216,9 @@ def fit(
 
     # ``rows`` documents at most
     sample = rows.orderBy(F.xxhash64("_id"), "_id").limit(params.rows)
-    fitted = sample.groupBy(F.lit(0)).applyInPandas(train, "weights array<float>, slope double, offset double").first()
+    fitted = sample.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(
+        train, "weights array<float>, slope double, offset double"
+    ).first()
     w = np.asarray(fitted["weights"], dtype=np.float64)
     return QualityModel(ratios, w[:-1], float(w[-1]), fitted["slope"], fitted["offset"], params)
 
