@@ -4,12 +4,13 @@ Classifiers see confirmed toxic documents and unlabelled ones, never a negative
 The risk of the negatives is the unlabelled risk less the share ``prior`` of the positive
 one; where a batch drives it below zero, the step goes the other way, so the classifier
 cannot fit the unlabelled documents without bound. Linear numpy classifiers are trained
-side by side on executors, each with all sampled positives and its own part of the
-unlabelled sample; their margins are averaged.
+side by side on executors, each without one fold of the sample. On its own fold, slope
+and offset of its margins are fitted with the same risk, which needs no correction there
+as two numbers cannot overfit. The margins are averaged.
 
-Features: hashed beginnings of a document's distinct words and the words themselves,
-counted and divided by the square root of the number of distinct words. Every word's
-weight is looked up once, so scoring costs a set and a sum per document.
+Features: hashed beginnings of a document's distinct words, counted and divided by the
+square root of the number of distinct words. Every word's weight is looked up once, so
+scoring costs a set and a sum per document.
 
 Defined results: a null, empty or wordless text scores what no evidence gives. Labels
 that are null do not count; of several labels of a document the largest does. Without
@@ -40,6 +41,9 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _CACHED_WORDS = 400_000  # memory of a worker; scores do not depend on it
 
 
+_RIDGE = 1e-4  # keeps the slope finite where positives and unlabelled part completely
+
+
 @dataclass(frozen=True)
 class ToxicityParams:
     """``positives`` and ``unlabelled`` bound the documents that fitting looks at."""
@@ -48,11 +52,11 @@ class ToxicityParams:
     unlabelled: int = 12_000
     classifiers: int = 3
     bits: int = 18
-    heads: tuple[int, ...] = (3, 4, 5, 6)
+    heads: tuple[int, ...] = (3, 4, 5)
     epochs: int = 12
     batch: int = 256
     rate: float = 0.05
-    decay: float = 1e-6
+    decay: float = 1e-4
     threshold: float = 0.7
 
 
@@ -61,9 +65,9 @@ def distinct_words(text: str | None) -> set[str]:
 
 
 def word_features(word: str, params: ToxicityParams) -> list[int]:
-    """Slots of the beginnings of a word, and of the word with its end marked."""
+    """Slots of the beginnings of a word; of the whole word where it is shorter."""
     mask = (1 << params.bits) - 1
-    parts = [word[:n] for n in params.heads if n <= len(word)] + [word + "$"]
+    parts = [word[:n] for n in params.heads if n <= len(word)] or [word + "$"]
     return [zlib.crc32(p.encode("utf-8", "surrogatepass")) & mask for p in parts]
 
 
@@ -108,7 +112,7 @@ def fit_nnpu(
     w[-1] = np.log(prior / (1 - prior))
     rng = np.random.default_rng(seed)
     rounds = max(1, -(-len(unlabelled) // params.batch))
-    share = max(1, -(-len(positive) // rounds))
+    share = min(len(positive), params.batch)
     step = 0
     for _ in range(params.epochs):
         up, pp = rng.permutation(len(unlabelled)), rng.permutation(len(positive))
@@ -138,6 +142,34 @@ def fit_nnpu(
     return w[:-1], float(w[-1])
 
 
+def calibrate(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 50) -> tuple[float, float]:
+    """Slope and offset that minimise the positive-unlabelled risk of fixed margins.
+
+    With the logistic loss that risk is convex: the mean of log(1 + exp(z)) over the
+    unlabelled, less ``prior`` times the mean of z over the positives. Newton steps.
+    """
+    a, b = 1.0, 0.0
+    if not len(positive) or not len(unlabelled):
+        return a, b
+    pull = prior * np.array([positive.mean(), 1.0])
+    x = np.stack([unlabelled, np.ones_like(unlabelled)])
+
+    def risk(a: float, b: float) -> float:
+        return np.logaddexp(0, a * unlabelled + b).mean() - a * pull[0] - b * pull[1] + _RIDGE * a * a
+
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a * unlabelled + b, -35, 35)))
+        slope = (x * p).mean(axis=1) - pull + [2 * _RIDGE * a, 0.0]
+        curve = (x * (p * (1 - p))) @ x.T / len(unlabelled) + np.diag([2 * _RIDGE, 1e-6])
+        move, size = np.linalg.solve(curve, slope), 1.0
+        while size > 1e-4 and risk(a - size * move[0], b - size * move[1]) > risk(a, b):
+            size /= 2
+        a, b = a - size * move[0], b - size * move[1]
+        if np.abs(size * move).max() < 1e-6:
+            break
+    return float(max(a, 0.01)), float(b)
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     weights: np.ndarray
@@ -178,26 +210,28 @@ def fit(
 
     both = confirmed.withColumn("_known", F.lit(True)).unionByName(other.withColumn("_known", F.lit(False)))
     rows = both.mapInPandas(extract, "_id string, _known boolean, _slots array<int>, _scale double")
-    bags = F.when(F.col("_known"), F.sequence(F.lit(0), F.lit(params.classifiers - 1))).otherwise(
-        F.array(F.pmod(F.xxhash64("_id"), F.lit(params.classifiers)).cast("int"))
-    )
-    dealt = materialise(rows.select("*", F.explode(bags).alias("_bag")), "toxic-features")
+    folds = F.pmod(F.xxhash64("_id"), F.lit(params.classifiers)).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.lit(params.classifiers - 1)))
+    # each classifier meets all of the sample, its own fold for calibration alone
+    dealt = materialise(rows.select("*", folds.alias("_fold"), each.alias("_bag")), "toxic-features")
 
     def train(bag: pd.DataFrame) -> pd.DataFrame:
         bag = bag.sort_values(["_known", "_id"])
-        p, u = bag[bag["_known"]], bag[~bag["_known"]]
+        own = bag["_fold"].to_numpy() == bag["_bag"].to_numpy()
+        known = bag["_known"].to_numpy(dtype=bool)
+        slots = [np.asarray(s, dtype=np.int32) for s in bag["_slots"]]
+        scale = bag["_scale"].to_numpy()
+        if not (known & ~own).any() or not (~known & ~own).any():
+            own = np.zeros(len(bag), dtype=bool)
+        p, u = np.flatnonzero(known & ~own), np.flatnonzero(~known & ~own)
         w, bias = fit_nnpu(
-            [np.asarray(s, dtype=np.int32) for s in p["_slots"]],
-            p["_scale"].to_numpy(),
-            [np.asarray(s, dtype=np.int32) for s in u["_slots"]],
-            u["_scale"].to_numpy(),
-            prior,
-            params,
-            int(bag["_bag"].iloc[0]),
+            [slots[i] for i in p], scale[p], [slots[i] for i in u], scale[u], prior, params, int(bag["_bag"].iloc[0])
         )
-        return pd.DataFrame({"weights": [w.astype(np.float32).tolist()], "bias": [bias]})
+        margins = np.array([w[s].sum() for s in slots]) * scale + bias
+        a, b = calibrate(margins[known & own], margins[~known & own], prior)
+        return pd.DataFrame({"weights": [(a * w).astype(np.float32).tolist()], "bias": [a * bias + b]})
 
-    # a bag holds at most ``positives`` + ``unlabelled`` documents
+    # ``positives`` + ``unlabelled`` documents at most
     fitted = dealt.groupBy("_bag").applyInPandas(train, "weights array<float>, bias double").collect()
     weights = np.mean([np.asarray(r["weights"], dtype=np.float64) for r in fitted], axis=0)
     return ToxicityModel(weights, float(np.mean([r["bias"] for r in fitted])), params)
