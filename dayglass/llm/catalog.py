@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayglass.llm import decontamination, exact_dedup, packing, quality, simhash, toxicity
+from dayglass.llm import chat, decontamination, exact_dedup, packing, quality, simhash, toxicity
 from dayglass.llm.common import table
 from dayglass.session import tune
 
@@ -33,6 +33,60 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query(
+    "op1_chat_formatting",
+    r"""
+    WITH rows AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+    ), shown AS (
+      SELECT *, 2 + length(role) + length(regexp_replace(role, '[^<\[|\\]', '', 'g')) + 3 + length(text)
+        + length(regexp_replace(text, '[^<\[|\\]', '', 'g')) + 8 AS chars
+      FROM rows
+    )
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           sum(chars)::BIGINT AS formatted_chars
+    FROM shown GROUP BY conv_id
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and what its formatted text reads back as."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.range(1).select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(-1).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"),
+                        F.lit(role).alias("role"), F.lit(probe).alias("text"),
+                    )
+                    for i, role in enumerate(("user", "assistant"))
+                ]
+            )
+        )
+    )
+    done = chat.format_trees(chat.threads(turns.unionByName(extra)))
+    read = done.select(
+        F.col("tree").alias("conv_id"),
+        chat.read_turns(F.col("formatted")).alias("_turns"),
+        chat.learned_text(F.col("formatted"), F.col("loss_spans")).alias("_learned"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+    lines = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("_turns").cast("long").alias("n_turns"),
+        F.sha2(lines.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("_learned").cast("long").alias("loss_chars"),
+        F.sha2(F.col("_learned").cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 @query("op2_simhash_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +47,8 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def kept_by_worker() -> dict:
+    """What a reused Python worker keeps from task to task: loaded vocabularies, look-up tables."""
+    return sys.modules.setdefault("_dayglass_kept", types.ModuleType("_dayglass_kept")).__dict__

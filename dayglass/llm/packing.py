@@ -16,6 +16,7 @@ and the text are not looked at.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import sys
 import zlib
@@ -30,21 +31,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from dayglass.llm.common import small_batches
+from dayglass.llm.common import kept_by_worker, small_batches
 from dayglass.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROWS_PER_SLICE = 20_000  # of one length class that are ranked in one sort, about
-_CACHED_WORDS = 300_000  # memory of a worker; the ids do not depend on it
+_CACHED_WORDS = 600_000  # memory of a worker; the ids do not depend on it
 _LONG_WORD = 64
 
+# Printable ASCII without digits and apostrophes, and Latin letters of one code point: the
+# tokenizer parts such a word into runs of letters and runs of other characters.
+_PLAIN = re.compile(r"[!-&(-/:-~À-ÖØ-öø-ÿ]+")
+_RUNS = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
+_LATIN = [chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha()]
+
 
 class WordTokens:
     """Token ids of texts as little-endian 32-bit numbers, word by word.
 
     The tokenizer drops white space and never merges across it, so the ids of a text are
-    those of its words, and repeated words are looked up.
+    those of its words, and repeated words are looked up. Plain words go run by run to
+    the tokenizer's model, others through all of the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -52,14 +60,36 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
+        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        # how the tokenizer spells a letter's bytes
+        before = self._tokenizer.pre_tokenizer
+        self._spelt = str.maketrans({c: before.pre_tokenize_str(c)[0][0] for c in _LATIN})
         self._known: dict[str, bytes] = {}
+        self._runs: dict[str, bytes] = {}
+
+    def _plain(self, word: str) -> bytes:
+        out = b""
+        for run in _RUNS.findall(word.lower()):
+            ids = self._runs.get(run)
+            if ids is None:
+                ids = _bytes([t.id for t in self._model.tokenize(run.translate(self._spelt))])
+                if len(run) <= _LONG_WORD:
+                    self._runs[run] = ids
+            out += ids
+        return out
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        missing = list(set().union(*split) - self._known.keys())
-        encoded = self._tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        fresh = {w: struct.pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(missing, encoded)}
-        self._known.update(fresh)
+        missing = [w for w in set().union(*split) if w not in self._known]
+        other = []
+        for word in missing:
+            if _PLAIN.fullmatch(word) and not any(s in word for s in self._special):
+                self._known[word] = self._plain(word)
+            else:
+                other.append(word)
+        encoded = self._tokenizer.encode_batch_fast(other, add_special_tokens=False)
+        self._known.update((w, _bytes(e.ids)) for w, e in zip(other, encoded))
         for words in split:
             yield b"".join(map(self._known.__getitem__, words))
         for word in missing:
@@ -67,6 +97,12 @@ class WordTokens:
                 del self._known[word]
         if len(self._known) > _CACHED_WORDS:
             self._known = {}
+        if len(self._runs) > _CACHED_WORDS:
+            self._runs = {}
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def pieces(
@@ -86,7 +122,8 @@ def pieces(
     end = struct.pack("<I", end_id)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = WordTokens(tokenizer_path)
+        kept = kept_by_worker().setdefault("word_tokens", {})
+        tokens = kept.get(tokenizer_path) or kept.setdefault(tokenizer_path, WordTokens(tokenizer_path))
         for batch in batches:
             rows = []
             for key, ids in zip(batch["_id"], tokens.batch(list(batch["_text"]))):

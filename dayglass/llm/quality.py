@@ -79,7 +79,9 @@ class Extractor:
         if len(self._runs) > _CACHED_WORDS:
             self._runs = {}
         distinct = set(words)
-        for w in distinct - self._words.keys():
+        for w in distinct:
+            if w in self._words:
+                continue
             self._words[w] = (word_shape(w), self._slot("w " + w.lower()))
         shapes = [self._words[w][0] for w in words]
         again = [i for i in range(1, len(words)) if words[i] == words[i - 1]]
@@ -88,8 +90,9 @@ class Extractor:
         runs = {(s,) for s in set(shapes)}
         runs.update(zip(shapes, shapes[1:]))
         runs.update(zip(shapes, shapes[1:], shapes[2:]))
-        for r in runs - self._runs.keys():
-            self._runs[r] = self._slot("s " + " ".join(r))
+        for r in runs:
+            if r not in self._runs:
+                self._runs[r] = self._slot("s " + " ".join(r))
         found = {self._words[w][1] for w in distinct}
         found.update(self._runs[r] for r in runs)
         return np.sort(np.fromiter(found, dtype=np.int64, count=len(found)))

@@ -253,7 +253,9 @@ def score(spark: SparkSession, model: ToxicityModel | None, text: Column) -> Col
             margins = []
             for t in texts:
                 words = distinct_words(t)
-                for w in words - known.keys():
+                for w in words:
+                    if w in known:
+                        continue
                     known[w] = float(weights[word_features(w, model.params)].sum())
                 # sorted sum: the same whatever order the set has
                 margins.append(np.sort([known[w] for w in words]).sum() / max(1.0, len(words)) ** 0.5)
