@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayglass.llm import chat, decontamination, exact_dedup, packing, quality, simhash, toxicity
+from dayglass.llm import (
+    chat,
+    decontamination,
+    exact_dedup,
+    licence_scan,
+    packing,
+    quality,
+    simhash,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 from dayglass.llm.common import table
 from dayglass.session import tune
 
@@ -122,6 +133,52 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def _known_sql() -> str:
+    texts = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licence_scan.KNOWN)
+    return f"""
+      SELECT min(licence) AS licence, {licence_scan.canonical_sql("t")} AS c
+      FROM (VALUES {texts}) k(licence, t) GROUP BY 2
+    """
+
+
+@query(
+    "op6_licence_scan",
+    f"""
+    WITH known AS ({_known_sql()}
+    ), whole AS (
+      SELECT doc_id, {licence_scan.canonical_sql("text")} AS c FROM documents
+    ), lines AS (
+      SELECT doc_id, {licence_scan.canonical_sql("line")} AS c
+      FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+    ), found AS (
+      SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS line_licences, count(*) AS n
+      FROM lines JOIN known USING (c) GROUP BY 1
+    )
+    SELECT doc_id, sha256(whole.c) AS text_digest, coalesce(licence, '') AS licence,
+           coalesce(line_licences, '') AS line_licences, coalesce(n, 0) AS n_licence_lines
+    FROM whole LEFT JOIN known USING (c) LEFT JOIN found USING (doc_id)
+    """,
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that every document is or holds."""
+    found = licence_scan.licence_scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "text_digest",
+        F.coalesce("licence", F.lit("")).alias("licence"),
+        F.array_join("line_licences", ",").alias("line_licences"),
+        "n_licence_lines",
+    )
+
+
+@query("op7_token_counts")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token count of every document."""
+    import public_tokenizers
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query(
     "op8_benchmark_decontamination",
     r"""
@@ -170,6 +227,42 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op9_substring_dedup",
+    r"""
+    WITH units AS (
+      SELECT doc_id, n - 1 AS line, lines[n] AS line_text, list_sum([length(x) + 1 for x in lines[1:n - 1]]) AS before,
+             array_to_string(regexp_extract_all(
+               translate(lines[n], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), ' ') AS words
+      FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines,
+                   unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS n FROM documents)
+    ), ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY words ORDER BY doc_id, line) AS k
+      FROM units WHERE len(string_split(words, ' ')) >= 5
+    ), gone AS (
+      SELECT doc_id, line, coalesce(before, 0)::BIGINT AS at, length(line_text) AS n FROM ranked WHERE k > 1
+    )
+    SELECT u.doc_id, count(g.line) AS n_removed, coalesce(sum(g.n), 0)::BIGINT AS removed_chars,
+           coalesce(string_agg(g.at || '+' || g.n, ',' ORDER BY g.at), '') AS removed_spans,
+           sha256(coalesce(string_agg(u.line_text, chr(10) ORDER BY u.line) FILTER (g.line IS NULL), '')) AS cleaned_sha256
+    FROM units u LEFT JOIN gone g USING (doc_id, line) GROUP BY 1
+    """,
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines removed from every document because an earlier document or place has them."""
+    done = substring_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    removed = F.coalesce("_removed", F.array().cast(done.schema["_removed"].dataType))
+    spans = F.transform(removed, lambda u: F.concat(u["start"].cast("string"), F.lit("+"), u["length"].cast("string")))
+    return done.select(
+        F.col("_id").alias("doc_id"),
+        F.size(removed).cast("long").alias("n_removed"),
+        F.aggregate(removed, F.lit(0).cast("long"), lambda n, u: n + u["length"]).alias("removed_chars"),
+        F.array_join(spans, ",").alias("removed_spans"),
+        F.sha2(F.coalesce("_cleaned", F.lit("")).cast("binary"), 256).alias("cleaned_sha256"),
+    )
+
+
 @query("op10_quality_classifier")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
