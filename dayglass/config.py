@@ -54,11 +54,11 @@ class ForestParams:
 
 @dataclass(frozen=True)
 class LatentParams:
-    """Latent clustering (fixed values: 5 clusters, 10 restarts, p95)."""
+    """Latent clustering (fixed values: 5 clusters, 10 restarts of 300 rounds, p95)."""
 
     clusters: int = 5
     restarts: int = 10
-    max_iter: int = 20
+    max_iter: int = 300
     components: int | None = None
     quantile: float = 0.95
     seed: int = SEED
@@ -100,7 +100,7 @@ TOP_KS = (10, 50, 100, 500)
 FPR_LEVELS = (0.01, 0.05, 0.10)
 THRESHOLD_STEPS = 100
 HISTOGRAM_BINS = 50
-MAX_CANDIDATES = 1000
+GRID_STEPS = 1000
 
 # Aliases accepted in prediction files, first match wins.
 SCORE_ALIASES = ("anomaly_score", "score", "reconstruction_error", "prediction")

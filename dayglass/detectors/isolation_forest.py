@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayglass import config
-from dayglass.functions.numeric import unit_hash
 from dayglass.operators.scaling import normalise
 from dayglass.session import materialise
 
@@ -49,23 +48,29 @@ class Forest:
 
 
 def _samples(df: DataFrame, features: list[str], key: Column, params: config.ForestParams, n: int, size: int) -> DataFrame:
-    """``tree`` plus features: ``size`` rows per tree, chosen by key hash."""
+    """``tree`` plus features: ``size`` rows per tree, each tree drawing on its own.
+
+    Every row decides by hash which trees it offers itself to, twice as many rows as
+    needed; each tree keeps the lowest draws. Rows that repeat one another decide alike,
+    so a tree may come out short; such a tree is offered every row.
+    """
     row = df.select(*[F.col(f).cast("double").alias(f) for f in features], key.cast("string").alias("_key"))
-    wanted = params.trees * size
-    if n >= 2 * wanted:
-        # enough rows for disjoint samples: thin by hash, then deal rows to trees
-        share = min(1.0, 2.0 * wanted / n)
-        u = unit_hash(F.col("_key"), params.seed)
-        thin = row.where(u < share)
-        dealt = thin.withColumn("tree", F.pmod(F.xxhash64("_key", F.lit(params.seed)), F.lit(params.trees)).cast("int"))
-    else:
-        # few rows: every tree draws on its own from at most 2 x trees x size rows
-        every = F.explode(F.sequence(F.lit(0), F.lit(params.trees - 1)))
-        dealt = row.select("*", every.alias("tree"))
-    drawn = Window.partitionBy("tree").orderBy("_draw", "_key")
-    ranked = dealt.withColumn(
-        "_draw", F.xxhash64("tree", "_key", F.lit(params.seed))
-    ).withColumn("_rank", F.row_number().over(drawn))
+    row = row.withColumn("_row", F.xxhash64("_key", *features))
+    share = min(1.0, 2.0 * size / n)
+    every = F.sequence(F.lit(0), F.lit(params.trees - 1))
+
+    def draw(tree: Column) -> Column:
+        return F.pmod(F.xxhash64(tree, F.lit(params.seed), "_row"), F.lit(1 << 30)) / float(1 << 30)
+
+    offered = materialise(row.select("*", F.explode(F.filter(every, lambda t: draw(t) < share)).alias("tree")), "forest-offers")
+    # at most ``trees`` rows
+    counts = {r["tree"]: r["count"] for r in offered.groupBy("tree").count().collect()}
+    short = [t for t in range(params.trees) if counts.get(t, 0) < size]
+    if short:
+        again = row.select("*", F.explode(F.array(*[F.lit(t) for t in short])).alias("tree"))
+        offered = offered.where(~F.col("tree").isin(short)).unionByName(again)
+    drawn = Window.partitionBy("tree").orderBy(draw(F.col("tree")), "_row", "_key")
+    ranked = offered.withColumn("_rank", F.row_number().over(drawn))
     return ranked.where(F.col("_rank") <= size).select("tree", "_rank", *features)
 
 

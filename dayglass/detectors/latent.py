@@ -190,10 +190,10 @@ def projection_3d(
     features: list[str],
     key: Column,
     label: str = "is_insider",
-    normals: int | None = 5000,
+    normals: int | None = None,
     components: int = 3,
 ) -> DataFrame:
-    """Principal components of scaled features with labels; normals sampled, positives kept."""
+    """Principal components of scaled features with labels; all rows, or ``normals`` sampled ones and all positives."""
     from dayglass.operators.splits import sample_normals
 
     scaled = scale(df, features)

@@ -7,6 +7,8 @@ is joined to another and the arithmetic has a fixed order.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,7 +142,9 @@ def combine(
         first = "isolation_forest" if "isolation_forest" in models else models[0]
         chain = [first] + [m for m in ("deep_clustering", "lstm_autoencoder") if m in models and m != first]
         score = _widest(F.greatest, [F.col(f"score_{m}") for m in chain])
-        flag = _widest(F.least, [F.col(f"prediction_{m}") for m in chain]) == 1
+        # the first model screens: a key it did not flag, or never scored, stays clear
+        later = [F.coalesce(F.col(f"prediction_{m}"), F.lit(1)) == 1 for m in chain[1:]]
+        flag = reduce(lambda a, b: a & b, later, F.coalesce(F.col(f"prediction_{first}"), F.lit(0)) == 1)
     agreeing = _agreeing(models)
     return wide.select(
         *keys,

@@ -13,7 +13,6 @@ from dayglass import config
 from dayglass.functions.numeric import binary_label
 from dayglass.functions.text import display_name
 from dayglass.operators.ordering import (
-    bounded_map,
     count_below,
     cumulative_counts,
     quantile_grid,
@@ -278,33 +277,50 @@ def threshold_sweep(
     return _sweep(binned, grid)
 
 
-def candidate_sweep(
-    predictions: DataFrame, max_candidates: int = config.MAX_CANDIDATES
-) -> DataFrame:
-    """Sweep over a model's distinct scores, or over evenly spaced quantiles when it has too many."""
+def candidate_sweep(predictions: DataFrame) -> DataFrame:
+    """Sweep over every distinct score of a model (strictly above), however many there are."""
+    rows = predictions.select(
+        "model",
+        F.coalesce(F.nanvl("anomaly_score", F.lit(0.0)), F.lit(0.0)).alias("threshold"),
+        binary_label(F.col("true_label")).alias("y"),
+    )
+    sums = {"pos": F.sum("y"), "neg": F.sum(1 - F.col("y")), "one": F.max(F.lit(1))}
+    steps = cumulative_counts(rows, "threshold", sums, ("model",))
+    totals = {"_p": F.sum("y"), "_n": F.sum(1 - F.col("y"))}
+    bound = with_group_stats(steps, ["model"], totals, source=rows)
+    tp, fp, fn = F.col("_p") - F.col("cum_pos"), F.col("_n") - F.col("cum_neg"), F.col("cum_pos")
+    return bound.select(
+        "model",
+        (F.col("cum_one") - 1).cast("long").alias("step"),
+        "threshold",
+        _ratio(tp, tp + fp).alias("precision"),
+        _ratio(tp, tp + fn).alias("recall"),
+        _f1(tp, fp, fn).alias("f1_score"),
+        tp.alias("tp"),
+        fp.alias("fp"),
+        fn.alias("fn"),
+    )
+
+
+def quantile_sweep(predictions: DataFrame, steps: int = config.GRID_STEPS) -> DataFrame:
+    """Sweep over ``steps`` evenly spaced quantiles of a model's scores (strictly above)."""
     rows = predictions.select(
         "model",
         F.coalesce(F.nanvl("anomaly_score", F.lit(0.0)), F.lit(0.0)).alias("s"),
         binary_label(F.col("true_label")).alias("y"),
     )
+    # at most ``steps`` thresholds a model
+    grid = quantile_grid(rows, "s", steps, ("model",))
+    lists = grid.groupBy("model").agg(F.sort_array(F.collect_set("quantile")).alias("points"))
+    blocked = lists.select("model", F.struct("points", F.filter("points", lambda _, i: i % 32 == 0).alias("heads")).alias("_t"))
     distinct = rows.groupBy("model", "s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    sized = with_group_stats(distinct, ["model"], {"_u": F.count(F.lit(1))})
-    few = sized.where(F.col("_u") <= max_candidates).select("model", F.col("s").alias("threshold"))
-    grid = quantile_grid(rows, "s", max_candidates, ("model",))
-    many = with_group_stats(grid, ["model"], {"_u": F.count(F.lit(1))}, source=distinct)
-    many = many.where(F.col("_u") > max_candidates).select("model", F.col("quantile").alias("threshold"))
-    # at most max_candidates thresholds per model
-    lists = few.unionByName(many).groupBy("model").agg(F.sort_array(F.collect_set("threshold")).alias("points"))
-    blocked = lists.select("model", "points", F.filter("points", lambda _, i: i % 32 == 0).alias("heads"))
-    found = bounded_map(blocked, ["model"])[F.struct("model")]
-    bound = distinct.select("*", found.alias("_t"))
+    bound = with_group_stats(distinct, ["model"], {"_t": F.first("_t")}, source=blocked)
     binned = (
         bound.select("model", count_below("_t", F.col("s")).alias("below"), "pos", "neg")
         .groupBy("model", "below")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
-    steps = lists.select("model", F.posexplode("points").alias("step", "threshold"))
-    return _sweep(binned, steps)
+    return _sweep(binned, lists.select("model", F.posexplode("points").alias("step", "threshold")))
 
 
 def best_threshold(sweep: DataFrame, default: float | None = None) -> DataFrame:
@@ -367,8 +383,7 @@ def recalibrate(
 ) -> DataFrame:
     """Predictions under the best threshold of a fixed range, and that threshold."""
     best = best_threshold(threshold_sweep(predictions, steps, low, high), default)
-    limit = bounded_map(best.select("model", "threshold"), ["model"])[F.struct("model")]["threshold"]
-    bound = predictions.select(*predictions.columns, limit.alias("threshold"))
+    bound = with_group_stats(predictions, ["model"], {"threshold": F.max("threshold")}, source=best)
     return bound.withColumn("prediction", (F.col("anomaly_score") > F.col("threshold")).cast("int"))
 
 

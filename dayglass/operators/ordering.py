@@ -22,31 +22,8 @@ _BLOCK = 32
 
 
 def range_count(df: DataFrame) -> int:
-    """Number of value ranges: one per shuffle partition, within 2..2048."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(2048, partitions))
-
-
-def bounded_map(stats: DataFrame, keys: list[str], max_groups: int = 10_000) -> Column:
-    """Small grouped table as a map column ``key struct -> value struct``.
-
-    Meant for tables with one row per model, label or feature. The row limit
-    bounds what a task can receive, and more groups than that raise an error
-    rather than lose rows.
-    """
-    values = [c for c in stats.columns if c not in keys]
-    pairs = stats.limit(max_groups + 1).agg(
-        F.collect_list(F.struct(F.struct(*keys), F.struct(*values))).alias("pairs")
-    )
-    checked = pairs.select(
-        F.when(
-            F.size("pairs") > max_groups,
-            F.raise_error(F.lit(f"more than {max_groups} groups of {', '.join(keys)}")),
-        )
-        .otherwise(F.map_from_entries("pairs"))
-        .alias("m")
-    )
-    return checked.scalar()
+    """Number of value ranges: one per shuffle partition, two at least."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def with_group_stats(
@@ -54,26 +31,21 @@ def with_group_stats(
 ) -> DataFrame:
     """Attach grouped aggregates of ``source`` (default ``df``) to every row.
 
-    With no keys the aggregates are one row. Either way they arrive as a scalar
-    subquery, so the rows themselves are not shuffled.
+    With no keys the aggregates are one row and arrive as a scalar subquery. Otherwise
+    they are joined on the keys, nulls included; Spark broadcasts them by measured size.
     """
     source = df if source is None else source
     named = [c.alias(n) for n, c in aggregates.items()]
-    if not keys:
-        found = source.agg(F.struct(*named).alias("s")).scalar()
-    else:
-        found = bounded_map(source.groupBy(*keys).agg(*named), keys)[F.struct(*keys)]
+    if keys:
+        stats = source.groupBy(*keys).agg(*named).withColumnsRenamed({k: f"_of_{k}" for k in keys})
+        match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+        joined = df.join(stats, match, "left")
+        return joined.select(*[F.col(c) for c in df.columns], *aggregates)
+    found = source.agg(F.struct(*named).alias("s")).scalar()
     # unpacked by a generator, so the plan holds the subquery once and not once per aggregate
     return df.select(*[F.col(c) for c in df.columns], F.inline(F.array(found)))
 
 
-def sorted_points(points: DataFrame, column: str) -> Column:
-    """One-column table as a sorted array in blocks, ready for ``count_below``."""
-    array = points.agg(F.sort_array(F.collect_set(column)).alias("points"))
-    blocks = array.select(F.struct("points", _block_heads("points").alias("heads")).alias("s"))
-    return blocks.scalar()
-
-
 def _block_heads(points: str) -> Column:
     return F.filter(points, lambda _, i: i % _BLOCK == 0)
 
@@ -144,12 +116,12 @@ def _range_offsets(
 
 
 def _join_offsets(ranged: DataFrame, offsets: DataFrame, within: list[str]) -> DataFrame:
-    """Null-safe join; broadcast bound: ranges (<= 2048) times the small set of groups."""
+    """Null-safe join; the offsets are broadcast where their measured size allows."""
     match = reduce(
         lambda a, b: a & b,
         [F.col(c).eqNullSafe(F.col(f"_group_{c}")) for c in [*within, "_range"]],
     )
-    return ranged.join(F.broadcast(offsets), match)
+    return ranged.join(offsets, match)
 
 
 def cumulative_counts(
@@ -266,7 +238,7 @@ def quantile_grid(df: DataFrame, value: str, steps: int, within: tuple[str, ...]
 
 
 def top_rows(
-    df: DataFrame, order: list[Column], k: int, within: tuple[str, ...], out: str = "rank", salts: int = 64
+    df: DataFrame, order: list[Column], k: int, within: tuple[str, ...], out: str = "rank", salts: int | None = None
 ) -> DataFrame:
     """First ``k`` rows per group, ranked from 1.
 
@@ -274,6 +246,7 @@ def top_rows(
     holds most rows still spreads over ``salts`` tasks.
     """
     groups = list(within)
+    salts = salts or range_count(df)
     kept = [F.col(c) for c in df.columns]
     salted = df.select(*kept, F.pmod(F.xxhash64(*df.columns), F.lit(salts)).alias("_salt"))
     first = Window.partitionBy(*groups, "_salt").orderBy(*order)
@@ -285,17 +258,34 @@ def top_rows(
     return ranked.where(F.col(out) <= k)
 
 
+def _lowest(df: DataFrame, value: str, n: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """Rows below the value that the n-th smallest row has, the rows at it, and how many of those are still wanted."""
+    steps = cumulative_counts(df, value, {"_rows": F.count(F.lit(1))})
+    reached = steps.where(F.col("cum__rows") >= n)
+    cut = reached.agg(F.min(value).alias("at"), F.min(F.col("cum__rows") - F.col("_rows")).alias("before")).first()
+    if cut["at"] is None:
+        return df, None, 0
+    return df.where(F.col(value) < cut["at"]), df.where(F.col(value) == cut["at"]), n - cut["before"]
+
+
 def hash_sample(df: DataFrame, key: Column, n: int, seed: int | str = config.SEED) -> DataFrame:
     """``n`` rows without replacement, the same ones under any partitioning.
 
-    Rows are drawn in order of a key hash. A hash limit eight standard
-    deviations above the expected share leaves about ``n`` rows for the sort.
+    Rows are drawn in order of a hash of the key, those of one key by a hash of the
+    whole row. Running counts of the hashes say where the n-th row lies, so nothing is
+    sorted in one task and repeated keys lose nothing. Rows that are equal throughout
+    are as good as each other.
     """
-    kept = [F.col(c) for c in df.columns]
-    hashed = df.select(*kept, unit_hash(key, seed).alias("_h"), key.alias("_k"))
-    slack = n + 8 * n**0.5 + 64
-    share = df.agg(F.lit(float(slack)) / F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
-    return hashed.where(F.col("_h") <= share).orderBy("_h", "_k").limit(n).drop("_h", "_k")
+    if n <= 0:
+        return df.limit(0)
+    hashed = df.select("*", unit_hash(key, seed).alias("_h"), F.xxhash64(*df.columns).alias("_row_hash"))
+    below, ties, rest = _lowest(hashed, "_h", n)
+    if ties is not None:
+        first, equal, more = _lowest(ties, "_row_hash", rest)
+        below = below.unionByName(first)
+        if equal is not None:
+            below = below.unionByName(equal.limit(more))
+    return below.drop("_h", "_row_hash")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

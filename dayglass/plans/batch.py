@@ -7,6 +7,7 @@ never costs more than its own stage.
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,9 +68,17 @@ def build_profiles(unified: DataFrame, out: str) -> dict[str, DataFrame]:
 
 
 def run_detectors(
-    daily: DataFrame, windows: DataFrame, out: str, models: Iterable[str] = config.MODELS
+    daily: DataFrame,
+    windows: DataFrame,
+    out: str,
+    models: Iterable[str] = config.MODELS,
+    skip_failed: bool = False,
 ) -> DataFrame:
-    """Predictions of all detectors as one table; a detector that fails is logged and skipped."""
+    """Predictions of all detectors as one table, in a folder of this run below ``out``.
+
+    A detector that fails ends the run, unless ``skip_failed`` leaves it out with a log entry.
+    """
+    out = f"{out.rstrip('/')}/run-{uuid.uuid4().hex[:12]}"
     features = measure_columns(daily)
 
     def sequence_model() -> DataFrame:
@@ -89,6 +98,8 @@ def run_detectors(
             writers.write_predictions(jobs[model](), out, mode)
             mode = "append"
         except Exception:
+            if not skip_failed:
+                raise
             log.exception("%s failed and is skipped", model)
     return daily.sparkSession.read.parquet(out)
 

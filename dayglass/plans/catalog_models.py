@@ -26,7 +26,7 @@ from dayglass.sources import adapter
 
 Spark = SparkSession
 
-FEATURES = [m for m in profiles.DAILY_MEASURES if m not in ("unique_ips", "email_count")]
+FEATURES = list(profiles.DAILY_MEASURES)
 
 
 def _key():
@@ -65,15 +65,14 @@ def latent_embeddings(spark: Spark, sf_dir: str) -> DataFrame:
     df = wide.select(
         F.col("vec_id").cast("string").alias("user"), F.lit(0).alias("day"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)]
     )
-    params = config.LatentParams(components=16, restarts=3)
+    params = config.LatentParams(components=16)
     return latent.latent_clustering(df, names, params=params)
 
 
 @query("m7_latent_clustering_on_normals")
 def latent_on_normals(spark: Spark, sf_dir: str) -> DataFrame:
     train, val, test = _normal_parts(spark, sf_dir)
-    params = config.LatentParams(restarts=3)
-    return latent.latent_clustering_on_normals(train, val, test, FEATURES, params=params)
+    return latent.latent_clustering_on_normals(train, val, test, FEATURES)
 
 
 _U = """(('0x' || substr(md5('42' || "user" || '|' || CAST(day AS VARCHAR)), 1, 8))::UBIGINT / 4294967296.0::DOUBLE)"""
@@ -483,11 +482,24 @@ def best_threshold(spark: Spark, sf_dir: str) -> DataFrame:
     {r(ratio('2 * tp', '2 * tp + fp + fn'))} AS f1_score FROM sw""",
 )
 def candidates(spark: Spark, sf_dir: str) -> DataFrame:
-    """Every distinct score as a threshold (the stand-in scores have fewer than 1000)."""
+    """Every distinct score as a threshold."""
     found = evaluation.candidate_sweep(stages.predictions(spark, sf_dir))
     return rounded(found.select("model", "threshold", "precision", "recall", "f1_score"))
 
 
+@query(
+    "q6_quantile_sweep",
+    f"""WITH {PRED}, th AS (SELECT DISTINCT model, unnest(quantile_cont(anomaly_score, [i / 49.0 FOR i IN range(0, 50)])) AS t FROM pred GROUP BY model),
+    sw AS (SELECT th.model, t, count(*) FILTER (anomaly_score > t + 1e-9 AND true_label = 1) AS tp, count(*) FILTER (anomaly_score > t + 1e-9 AND true_label = 0) AS fp,
+      count(*) FILTER (anomaly_score <= t + 1e-9 AND true_label = 1) AS fn FROM th JOIN pred ON pred.model = th.model GROUP BY 1, 2)
+    SELECT model, {r('t')} AS threshold, tp, fp, fn FROM sw""",
+)
+def quantile_candidates(spark: Spark, sf_dir: str) -> DataFrame:
+    """Fifty evenly spaced quantiles of each model's scores as thresholds."""
+    found = evaluation.quantile_sweep(stages.predictions(spark, sf_dir), 50)
+    return rounded(found.select("model", "threshold", "tp", "fp", "fn")).distinct()
+
+
 @query(
     "q7_full_recall_threshold",
     f"""WITH {PRED}, t AS (SELECT model, min(anomaly_score) FILTER (true_label = 1) AS t FROM pred GROUP BY 1),

@@ -563,7 +563,7 @@ def one_hot(spark: Spark, sf_dir: str) -> DataFrame:
     people = adapter.table(spark, sf_dir, "customer").select(
         "c_custkey", F.when(F.col("c_custkey") % 9 != 0, F.col("c_mktsegment")).alias("role")
     )
-    return cleaning.one_hot(people, "role", ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))
+    return cleaning.one_hot(people, "role", cleaning.categories_of(people, "role"))
 
 
 @query(

@@ -48,11 +48,13 @@ def build_session(app: str = "dayglass", master: str | None = None, **conf: str)
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name below the shared checkpoint folder.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; only where it is
-    unset (local tests) is one made on this machine.
+    The cluster names that folder in ``spark.checkpoint.dir``; unset, it is an error
+    there. Only a session that runs in one process makes a folder on this machine.
     """
     base = spark.conf.get(CHECKPOINT_CONF, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="dayglass-")
         spark.conf.set(CHECKPOINT_CONF, base)
     return f"{base.rstrip('/')}/dayglass/{label}-{uuid.uuid4().hex[:12]}"

@@ -80,11 +80,9 @@ def rewrite_predictions(df: DataFrame, base: str, thresholds: DataFrame) -> str:
 
     The input may be the latest version, so it is never overwritten.
     """
-    from dayglass.operators.ordering import bounded_map
-
-    limit = bounded_map(thresholds.select("model", "threshold"), ["model"])
     path = next_version(df.sparkSession, base)
-    changed = df.select(*df.columns, limit[F.struct("model")]["threshold"].alias("_t"))
+    limit = thresholds.select(F.col("model").alias("_model"), F.col("threshold").alias("_t"))
+    changed = df.join(limit, F.col("model").eqNullSafe(F.col("_model")), "left").drop("_model")
     renewed = changed.withColumn(
         "prediction",
         F.when(F.col("_t").isNull(), F.col("prediction")).otherwise(

@@ -15,9 +15,22 @@ from dayglass.sources.schemas import HEADERLESS
 
 
 def has_header(spark: SparkSession, path: str) -> bool:
-    """False when the first line starts with ``{``, the mark of a file without header."""
-    first = spark.read.text(path).limit(1).select(F.trim("value")).first()
-    return first is None or not first[0].startswith("{")
+    """False when the first lines start with ``{``, the mark of files without header.
+
+    All files of a folder must agree; a mixed folder is refused.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("row"),
+        F.trim("value").startswith("{").alias("bare"),
+    )
+    # per file the first line of its first block; one row in the end
+    firsts = lines.groupBy("file").agg(F.min_by("bare", F.struct("at", "row")).alias("bare"))
+    found = firsts.agg(F.min("bare").alias("all_bare"), F.max("bare").alias("any_bare")).first()
+    if found["all_bare"] != found["any_bare"]:
+        raise ValueError(f"{path} mixes files with and without header")
+    return not found["any_bare"]
 
 
 def read_log_csv(spark: SparkSession, path: str, kind: str, multi_line: bool = False) -> DataFrame:

@@ -298,8 +298,10 @@ def test_sweeps_match_brute_force(spark):
     assert [(r.tp, r.fp, r.fn) for r in sweep] == brute_sweep(y, s, grid)
     fixed = evaluation.threshold_sweep(df, 100, 0.9, 0.999).orderBy("step").collect()
     assert [(r.tp, r.fp, r.fn) for r in fixed] == brute_sweep(y, s, np.linspace(0.9, 0.999, 100))
-    # more distinct scores than candidates: quantiles are used
-    few = evaluation.candidate_sweep(df, max_candidates=50).orderBy("step").collect()
+    every = evaluation.candidate_sweep(df).orderBy("step").collect()
+    assert [r.threshold for r in every] == sorted(set(s))
+    assert [(r.tp, r.fp, r.fn) for r in every] == brute_sweep(y, s, sorted(set(s)))
+    few = evaluation.quantile_sweep(df, 50).orderBy("step").collect()
     want = np.unique(np.quantile(s, np.linspace(0, 1, 50)))
     assert np.allclose([r.threshold for r in few], want)
     # NumPy's rank arithmetic can miss a data value by one ulp, ours is exact: compare at ours

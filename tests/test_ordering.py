@@ -103,16 +103,26 @@ def test_hash_sample_ignores_partitioning(scores):
     assert ordering.hash_sample(df, F.col("id"), 10**6).count() == 3000
 
 
-def test_bounded_map_refuses_too_many_groups(spark):
-    df = spark.range(20).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("v"))
-    limit = ordering.bounded_map(df, ["k"], max_groups=10)
-    with pytest.raises(Exception, match="more than 10 groups"):
-        spark.range(1).select(limit.alias("m")).collect()
+def test_hash_sample_of_repeated_keys_is_exact(spark):
+    df = spark.range(100_000).select((F.col("id") % 50).alias("k"), "id")
+    for n in (300, 1000, 5000):
+        rows = ordering.hash_sample(df, F.col("k"), n).collect()
+        assert len(rows) == n == len({r.id for r in rows})
+    same = spark.range(1000).select(F.lit(1).alias("k"))
+    assert ordering.hash_sample(same, F.col("k"), 10).count() == 10
+
+
+def test_group_stats_of_many_groups_and_nulls(spark):
+    df = spark.range(24_000).select(F.when(F.col("id") % 12_000 > 0, F.col("id") % 12_000).alias("k"), "id")
+    got = ordering.with_group_stats(df, ["k"], {"n": F.count(F.lit(1))})
+    assert got.count() == 24_000 and got.where("n = 2").count() == 24_000
 
 
 def test_count_below_over_many_blocks(spark):
     points = spark.range(0, 200, 2).select(F.col("id").cast("double").alias("p"))
     values = spark.range(0, 210).select(F.col("id").cast("double").alias("x"))
-    bound = values.select("x", ordering.sorted_points(points, "p").alias("t"))
+    array = points.agg(F.sort_array(F.collect_set("p")).alias("points"))
+    blocks = array.select(F.struct("points", ordering._block_heads("points").alias("heads")).alias("t"))
+    bound = values.crossJoin(blocks)
     for r in bound.select("x", ordering.count_below("t", F.col("x")).alias("n")).collect():
         assert r.n == sum(1 for p in range(0, 200, 2) if p < r.x)
