@@ -12,6 +12,7 @@ from dayglass.plans import stages
 from dayglass.plans.catalog_profiles import (
     _LAST,
     _SEQ_FEATURES,
+    _WIDTH,
     _Z,
     _PEER_SQL,
     _seq_sql,
@@ -96,21 +97,22 @@ def calibrated(spark: Spark, sf_dir: str) -> DataFrame:
 
 
 _DEVIATION = f"""{_seq_sql(1, _LAST)}, cells AS (
-   SELECT "user", end_day, y, (t - 1) * 3 + f AS pos, CASE f WHEN 0 THEN f1 WHEN 1 THEN f2 ELSE f3 END AS x
-   FROM seq, (VALUES (0), (1), (2)) k(f)),
+   SELECT "user", end_day, y, (t - 1) * {_WIDTH} + f AS pos, [{", ".join(f"f{i + 1}" for i in range(_WIDTH))}][f + 1] AS x
+   FROM seq, range({_WIDTH}) k(f)),
  par AS (SELECT pos, avg(x) AS m, stddev_pop(x) + 1e-10 AS s FROM cells WHERE y = 0 GROUP BY 1),
  dev AS (SELECT "user", end_day, y, avg(abs(x - m) / s) AS d FROM cells JOIN par USING (pos) GROUP BY 1, 2, 3)"""
 
 
 @query(
     "m9_sequence_deviation",
-    f"""WITH {_DEVIATION}, b AS (SELECT min(d) AS lo, max(d) AS hi FROM dev)
-    SELECT 'lstm_autoencoder' AS model, "user", end_day AS day, y AS true_label, {r('(d - lo) / (hi - lo)')} AS anomaly_score FROM dev, b""",
+    f"""WITH {_DEVIATION}, b AS (SELECT min(d) AS lo, max(d) AS hi, quantile_cont(d, 0.95) AS q FROM dev)
+    SELECT 'lstm_autoencoder' AS model, "user", end_day AS day, y AS true_label, CAST(d > q AS INTEGER) AS prediction,
+    {r('(d - lo) / (hi - lo)')} AS anomaly_score FROM dev, b""",
 )
 def deviation(spark: Spark, sf_dir: str) -> DataFrame:
     """Windows scored against the cell statistics of normal windows."""
     found = windows.sequences(stages.daily(spark, sf_dir), list(_SEQ_FEATURES))
-    return rounded(sequence.sequence_deviation(found.where(F.col("label") == 0), found)).drop("prediction")
+    return rounded(sequence.sequence_deviation(found.where(F.col("label") == 0), found))
 
 
 @query("m10_sequence_reconstruction")
@@ -767,7 +769,7 @@ def histogram(spark: Spark, sf_dir: str) -> DataFrame:
 # --- forensics --------------------------------------------------------------
 
 _ABS = " UNION ALL ".join(
-    f"SELECT '{z}' AS feature, {i} AS o, avg(abs({z})) AS v, max({z}) AS mx FROM pz WHERE is_insider_max > 0" for i, z in enumerate(_Z[:4])
+    f"SELECT '{z}' AS feature, {i} AS o, avg(abs({z})) AS v, max({z}) AS mx FROM pz WHERE is_insider_max > 0" for i, z in enumerate(_Z)
 )
 
 
@@ -776,7 +778,7 @@ _ABS = " UNION ALL ".join(
     f"WITH {_PEER_SQL} SELECT feature, {r('v', 3)} AS mean_abs FROM ({_ABS})",
 )
 def feature_deviation(spark: Spark, sf_dir: str) -> DataFrame:
-    return rounded(forensics.feature_deviation(enriched_daily(spark, sf_dir), _Z[:4], "is_insider_max"), 3)
+    return rounded(forensics.feature_deviation(enriched_daily(spark, sf_dir), _Z, "is_insider_max"), 3)
 
 
 @query(
@@ -784,7 +786,7 @@ def feature_deviation(spark: Spark, sf_dir: str) -> DataFrame:
     f"WITH {_PEER_SQL} SELECT feature, {r('v', 3)} AS mean_abs FROM ({_ABS}) ORDER BY v DESC, o LIMIT 1",
 )
 def telling_feature(spark: Spark, sf_dir: str) -> DataFrame:
-    return rounded(forensics.most_telling_feature(enriched_daily(spark, sf_dir), _Z[:4], "is_insider_max"), 3)
+    return rounded(forensics.most_telling_feature(enriched_daily(spark, sf_dir), _Z, "is_insider_max"), 3)
 
 
 @query(
@@ -793,19 +795,19 @@ def telling_feature(spark: Spark, sf_dir: str) -> DataFrame:
 )
 def largest_column(spark: Spark, sf_dir: str) -> DataFrame:
     positive = enriched_daily(spark, sf_dir).where(F.col("is_insider_max") > 0)
-    return rounded(forensics.largest_column(positive, _Z[:4]), 3)
+    return rounded(forensics.largest_column(positive, _Z), 3)
 
 
-_IMP = ("daily_activity_count", "unique_pcs", "after_hours_activity")
+_IMP = tuple(profiles.DAILY_MEASURES)
 
 
 @query(
     "e11_feature_importance",
     f"""WITH {PRED}, st AS (SELECT {', '.join(f'avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}' for f in _IMP)} FROM daily),
-    z AS (SELECT "user", day, {', '.join(f'({f} - m_{f}) / s_{f} AS {f}' for f in _IMP)} FROM daily, st),
+    z AS (SELECT "user", day, {', '.join(f'({f} - m_{f}) / CASE WHEN s_{f} = 0 THEN 1 ELSE s_{f} END AS {f}' for f in _IMP)} FROM daily, st),
     a AS (SELECT model, {', '.join(f'avg(abs({f})) AS {f}' for f in _IMP)} FROM pred JOIN z USING ("user", day) WHERE prediction > 0 GROUP BY 1)
     """
-    + " UNION ALL ".join(f"SELECT model, '{f}' AS feature, {r(f'{f} / ({_IMP[0]} + {_IMP[1]} + {_IMP[2]})')} AS importance FROM a" for f in _IMP),
+    + " UNION ALL ".join(f"SELECT model, '{f}' AS feature, {r(f'{f} / ({chr(43).join(_IMP)})')} AS importance FROM a" for f in _IMP),
 )
 def importance(spark: Spark, sf_dir: str) -> DataFrame:
     """Share of each scaled measure in the rows a model flags."""

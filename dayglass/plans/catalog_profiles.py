@@ -18,7 +18,7 @@ from dayglass.sources import adapter
 
 Spark = SparkSession
 
-MEASURES = ("daily_activity_count", "unique_pcs", "after_hours_activity")
+MEASURES = tuple(profiles.DAILY_MEASURES)
 
 
 def rounded(df: DataFrame, digits: int = 6, skip: tuple[str, ...] = ()) -> DataFrame:
@@ -124,13 +124,13 @@ def kind_counts(spark: Spark, sf_dir: str) -> DataFrame:
     f"""WITH {FLAGS}, g AS (SELECT user_id AS "user", CAST(date AS DATE) AS date, count(activity_type) AS activity_count,
       CAST(sum(CAST(isodow(date) >= 6 AS INTEGER)) AS BIGINT) AS weekend_activity_count,
       count(*) FILTER (NOT hour(date) BETWEEN 9 AND 17) AS after_hours_count, CAST(sum(is_connect) AS BIGINT) AS device_connects,
-      count(*) FILTER (activity_type = 'logon') AS count_logon FROM flagged GROUP BY 1, 2)
+      {", ".join(f"count(*) FILTER (activity_type = '{k}') AS count_{k}" for k in config.LOG_KINDS)} FROM flagged GROUP BY 1, 2)
     SELECT *, {r('after_hours_count / (activity_count + 1e-10)')} AS after_hours_ratio,
       {r('weekend_activity_count / (activity_count + 1e-10)')} AS weekend_activity_ratio FROM g""",
 )
 def weekend(spark: Spark, sf_dir: str) -> DataFrame:
     log = temporal.add_calendar(flagged_log(spark, sf_dir))
-    return rounded(profiles.weekend_profile(log, kinds=("logon",)))
+    return rounded(profiles.weekend_profile(log))
 
 
 @query(
@@ -172,7 +172,19 @@ def statistics(spark: Spark, sf_dir: str) -> DataFrame:
     return rounded(profiles.statistics_profile(daily, measures=list(MEASURES), with_sum=True, fill=True))
 
 
-ROLE_MEASURES = ("is_logon_sum", "email_size_kb_sum", "has_attachment_sum", "activity_type_count")
+ROLE_MEASURES = (
+    "is_logon_sum",
+    "is_logoff_sum",
+    "is_connect_sum",
+    "is_disconnect_sum",
+    "email_size_kb_sum",
+    "email_size_kb_mean",
+    "has_attachment_sum",
+    "is_large_email_sum",
+    "is_suspicious_domain_sum",
+    "is_sensitive_file_sum",
+    "activity_type_count",
+)
 
 
 def _z(x: str, mean: str, std: str) -> str:
@@ -261,13 +273,14 @@ def spikes(spark: Spark, sf_dir: str) -> DataFrame:
 
 # --- sequences: each cell compared by position -----------------------------
 
-_SEQ_FEATURES = ("daily_activity_count", "unique_pcs", "after_hours_activity")
+_SEQ_FEATURES = MEASURES
+_WIDTH = len(_SEQ_FEATURES)
 
 
 def _seq_sql(stride: int, label: str, length: int = 15) -> str:
     return f"""{DAILY}, n AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY day) AS rn FROM daily),
- seq AS (SELECT e."user", e.day AS end_day, e.rn, s.rn - (e.rn - {length}) AS t, s.daily_activity_count AS f1, s.unique_pcs AS f2,
-   s.after_hours_activity AS f3, {label} AS y
+ seq AS (SELECT e."user", e.day AS end_day, e.rn, s.rn - (e.rn - {length}) AS t,
+   {", ".join(f"s.{m} AS f{i + 1}" for i, m in enumerate(_SEQ_FEATURES))}, {label} AS y
    FROM n e JOIN n s ON s."user" = e."user" AND s.rn BETWEEN e.rn - {length - 1} AND e.rn
    WHERE e.rn >= {length} AND (e.rn - {length}) % {stride} = 0)"""
 
@@ -285,13 +298,13 @@ def _cells(found: DataFrame) -> DataFrame:
         )
 
     return found.select(
-        "user", "end_day", "label", F.size("seq").alias("steps"), *[weighted(i).cast("long").alias(f"f{i + 1}") for i in range(3)]
+        "user", "end_day", "label", F.size("seq").alias("steps"), *[weighted(i).cast("long").alias(f"f{i + 1}") for i in range(_WIDTH)]
     )
 
 
 def _cells_sql(stride: int, label: str) -> str:
     return f"""WITH {_seq_sql(stride, label)} SELECT "user", end_day, max(y) AS label, CAST(count(*) AS INTEGER) AS steps,
-      CAST(sum(f1 * t) AS BIGINT) AS f1, CAST(sum(f2 * t) AS BIGINT) AS f2, CAST(sum(f3 * t) AS BIGINT) AS f3 FROM seq GROUP BY 1, 2"""
+      {", ".join(f"CAST(sum(f{i + 1} * t) AS BIGINT) AS f{i + 1}" for i in range(_WIDTH))} FROM seq GROUP BY 1, 2"""
 
 
 @query("w3_sequences_last_day", _cells_sql(1, _LAST))
@@ -326,7 +339,7 @@ def _scaled_sql(features: tuple[str, ...], digits: int = 6) -> str:
     return f"""WITH {DAILY}, st AS (SELECT {stats} FROM daily) SELECT "user", day, {cols} FROM daily, st"""
 
 
-_SCALED = (*MEASURES, "unique_ips")
+_SCALED = MEASURES
 
 
 @query("m1_standard_scaling", _scaled_sql(_SCALED))
@@ -340,7 +353,7 @@ def standard_scaling(spark: Spark, sf_dir: str) -> DataFrame:
 def scaler_refit(spark: Spark, sf_dir: str) -> DataFrame:
     """Stored parameters of other features do not fit, so the scaler is refitted."""
     daily = stages.daily(spark, sf_dir).select("user", "day", *_SCALED)
-    static = profiles.static_profile(daily, measures=list(MEASURES))
+    static = profiles.static_profile(daily)
     stored = scaling.fit_scaler(static, [c for c in static.columns if c != "user"])
     return rounded(scaling.scale(daily, list(_SCALED), stored))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayglass.functions import numeric, temporal, text
-from dayglass.operators import cleaning, enrich, labelling, ordering
+from dayglass.operators import cleaning, enrich, labelling, ordering, profiles
 from dayglass.plans import stages
 from dayglass.plans.oracle_parts import ACT, DAILY, LAB, PRED, USER, WIN, r
 from dayglass.plans.registry import query
@@ -811,11 +811,11 @@ def label_active(spark: Spark, sf_dir: str) -> DataFrame:
 
 @query(
     "r5_label_outliers",
-    f"""WITH {DAILY}, m AS (SELECT "user", day, (abs(daily_activity_count) + abs(unique_pcs) + abs(after_hours_activity)) / 3.0::DOUBLE AS z FROM daily)
+    f"""WITH {DAILY}, m AS (SELECT "user", day, ({" + ".join(f"abs({m})" for m in profiles.DAILY_MEASURES)}) / {len(profiles.DAILY_MEASURES)}.0::DOUBLE AS z FROM daily)
     SELECT "user", day, {r('z')} AS mean_zscore, CAST(z > (SELECT quantile_cont(z, 0.998) FROM m) AS INTEGER) AS is_insider FROM m""",
 )
 def label_outliers(spark: Spark, sf_dir: str) -> DataFrame:
-    measures = ["daily_activity_count", "unique_pcs", "after_hours_activity"]
+    measures = list(profiles.DAILY_MEASURES)
     daily = stages.daily(spark, sf_dir).select("user", "day", *measures)
     found = labelling.label_outliers(daily, measures)
     return found.select("user", "day", F.round("mean_zscore", 6).alias("mean_zscore"), "is_insider")
