@@ -8,6 +8,9 @@ Halves that very many fingerprints share are searched by enumerating the complet
 instead, which costs a fixed number of look-ups for each fingerprint however many share
 the half. Both ways find the same links, so none is lost to a cap.
 
+``near_duplicates`` is exact in this way. Similarities such as 0.8 lie far beyond two bits
+of 64; ``drop_near_copies`` meets them with wider fingerprints, as said there.
+
 Defined results: a null or wordless text has fingerprint zero and links like any other;
 texts of fewer words than a shingle have one shingle. Repeated rows give a row each. A
 null id never is a component's id unless all its ids are null. Empty tables give no rows.
@@ -174,11 +177,148 @@ def near_duplicates(
     )
 
 
+# --- similarity instead of a few bits ----------------------------------------------------
+#
+# Texts of a Jaccard similarity of 0.8 differ in some 15 % of a fingerprint's bits, far
+# more than two. So the fingerprint is wider and has more segments: two texts are met if
+# any segment differs in at most one bit, and are linked by the distance of all bits.
+
+WIDE_WORDS = 5  # of 64 bits
+SEGMENT_BITS = 24
+_SEGMENTS = 64 * WIDE_WORDS // SEGMENT_BITS
+BLOCK = 128  # members of a crowded segment value that are compared with each other
+
+
+def distance_for(similarity: float) -> int:
+    """Bits of a wide fingerprint that five in six text pairs of that Jaccard similarity stay within.
+
+    That is the expected number of bits that differ, and one standard deviation.
+    """
+    bits, share = 64 * WIDE_WORDS, np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * share + np.sqrt(bits * share * (1 - share)))
+
+
+def wide_fingerprint(text: str | None, width: int) -> list[int]:
+    parts = shingles(text, width)
+    if not parts:
+        return [0] * WIDE_WORDS
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(s, 42) for s in parts), dtype=np.uint64, count=len(parts))
+    ones = np.zeros((WIDE_WORDS, 64), dtype=np.int64)
+    for i in range(0, len(hashes), _BLOCK):
+        block = hashes[i : i + _BLOCK]
+        for k in range(WIDE_WORDS):
+            # one hash gives all words: shifted by a constant each, then mixed again
+            x = block + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            octets = (x ^ (x >> np.uint64(31))).astype(">u8").view(np.uint8).reshape(-1, 8)
+            ones[k] += np.unpackbits(octets, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), axis=1).view(">i8").ravel().tolist()
+
+
+def segment_keys(wide: np.ndarray) -> np.ndarray:
+    """Segment number and value as one number, times two; odd for own values, even for those one bit lower."""
+    bits = np.unpackbits(wide.astype(">i8").view(np.uint8))[: _SEGMENTS * SEGMENT_BITS].reshape(_SEGMENTS, SEGMENT_BITS)
+    weights = 1 << np.arange(SEGMENT_BITS - 1, -1, -1, dtype=np.int64)
+    own = bits @ weights + (np.arange(_SEGMENTS, dtype=np.int64) << SEGMENT_BITS)
+    lower = (own[:, None] - weights)[bits == 1]
+    return np.concatenate([2 * own + 1, 2 * lower])
+
+
+def _bits_apart(a: str, b: str) -> Column:
+    each = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(each, F.lit(0), lambda n, x: n + x)
+
+
+def similar_links(distinct: DataFrame, reach: int) -> DataFrame:
+    """Links (``a``, ``b``) between rows (``_node``, ``_wide``) at most ``reach`` bits apart that share a segment.
+
+    A segment value with more than ``BLOCK`` members is dealt into blocks by hash and
+    compared within them, so no value costs the square of its members. Which members
+    share a block differs from segment to segment, and a block gives the links of a
+    spanning forest, since only what hangs together matters.
+    """
+
+    @F.pandas_udf("array<long>")
+    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([segment_keys(np.asarray(w, dtype=np.int64)) for w in batch], dtype=object)
+
+    rows = distinct.select("_node", F.explode(keys("_wide")).alias("_key"))
+    rows = rows.select("_node", F.shiftright("_key", 1).alias("_at"), (F.col("_key") % 2 == 1).alias("_own"))
+    met = rows.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"), F.count_if("_own").alias("_owners"))
+    met = met.where((F.col("_n") > 1) & (F.col("_owners") > 0)).drop("_owners")
+    known = rows.join(met, "_at").join(distinct, "_node")
+    known = materialise(known.select("_at", "_n", "_own", "_node", "_wide"), "simhash-meetings")
+    few = known.where(F.col("_n") <= BLOCK)
+    left = few.where("_own").select("_at", F.col("_node").alias("a"), F.col("_wide").alias("_a"))
+    right = few.select("_at", F.col("_node").alias("b"), F.col("_wide").alias("_b"), F.col("_own").alias("_both"))
+    pairs = left.join(right, "_at").where(
+        (F.col("a") != F.col("b")) & (~F.col("_both") | (F.col("a") < F.col("b"))) & (_bits_apart("_a", "_b") <= reach)
+    )
+    blocks = F.pmod(F.xxhash64("_at", "_node"), F.ceil(F.col("_n") / BLOCK))
+    crowd = known.where(F.col("_n") > BLOCK).withColumn("_block", blocks)
+
+    def forest(group: pd.DataFrame) -> pd.DataFrame:
+        nodes = group["_node"].to_numpy()
+        octets = np.stack([np.asarray(w, dtype=np.int64) for w in group["_wide"]]).view(np.uint8)
+        unseen, found = np.ones(len(nodes), dtype=bool), []
+        for first in range(len(nodes)):
+            if not unseen[first]:
+                continue
+            unseen[first], open_ = False, [first]
+            while open_:
+                i = open_.pop()
+                rest = np.flatnonzero(unseen)
+                apart = np.unpackbits(octets[rest] ^ octets[i], axis=1).sum(axis=1)
+                near = rest[apart <= reach]
+                unseen[near] = False
+                open_ += near.tolist()
+                found += [(nodes[i], nodes[j]) for j in near]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    # a block holds about ``BLOCK`` members
+    linked = crowd.groupBy("_at", "_block").applyInPandas(forest, "a long, b long")
+    return pairs.select("a", "b").unionByName(linked)
+
+
+def _similar_components(docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Rows (``_id``, ``_hash``, ``_root``) by similarity."""
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([wide_fingerprint(t, width) for t in texts], dtype=object)
+
+    prints = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), of(F.col(text_col)).alias("_wide"))
+    prints = materialise(prints.withColumn("_node", F.xxhash64("_wide")), "simhash-wide")
+    distinct = materialise(prints.groupBy("_node").agg(F.first("_wide").alias("_wide")), "simhash-wide-distinct")
+    roots = components(similar_links(distinct, distance_for(similarity))).withColumnRenamed("node", "_node")
+    return prints.drop("_wide").join(roots, "_node", "left").select(
+        "_id", "_hash", F.coalesce("root", "_node").alias("_root")
+    )
+
+
 def drop_near_copies(
-    docs: DataFrame, width: int = 3, reach: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    width: int = 5,
+    similarity: float | None = 0.8,
+    reach: int = 2,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
-    """One document of each component, all its columns: the smallest id, then the smallest text hash."""
-    members = materialise(_components(docs, width, reach, id_col, text_col), "simhash-members")
+    """One document of each component, all its columns: the smallest id, then the smallest text hash.
+
+    Components link texts of at least that estimated Jaccard similarity on ``width``-word
+    shingles, or fingerprints ``reach`` bits apart where ``similarity`` is None.
+    """
+    if similarity is None:
+        found = _components(docs, width, reach, id_col, text_col).select("_id", "_hash", "_root")
+    else:
+        found = _similar_components(docs, width, similarity, id_col, text_col)
+    members = materialise(found, "simhash-members")
     rank = F.struct(F.col("_id").isNull(), "_id", "_hash")
     chosen = members.groupBy("_root").agg(F.min(rank).alias("_first"), F.count(F.lit(1)).alias("_rows"))
     chosen = chosen.where(F.col("_rows") > 1).drop("_rows")
