@@ -173,7 +173,8 @@ def fit(
             slots = [extractor.slots(t).astype(np.int32) for t in batch["_text"]]
             yield pd.DataFrame({"_id": batch["_id"].astype("string"), "_y": batch["_y"], "_slots": slots})
 
-    rows = texts.join(marked, "_id").mapInPandas(extract, "_id string, _y int, _slots array<int>")
+    # labels grow with the documents: always a shuffled join, the same at every size
+    rows = texts.join(marked.hint("merge"), "_id").mapInPandas(extract, "_id string, _y int, _slots array<int>")
     rows = materialise(rows, "quality-features")
     # at most ``2 ** bits`` rows, combined before the shuffle
     counted = (
