@@ -72,22 +72,24 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     size = held.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     rounds, levels, current = max(0, int(size - 1).bit_length()), [jump], jump
     for _ in range(rounds):
+        if current.where("up is not null").isEmpty():
+            break
         right = current.select(
             F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"),
             F.col("far").alias("_far"), F.col("total").alias("_total"),
         )
-        met = current.join(right, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("up") == F.col("_n")), "left")
+        # nodes whose link is past the root already are done
+        still = current.where("up is not null")
+        met = still.join(right, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("up") == F.col("_n")), "left")
         current = materialise(
-            met.select(
+            current.where("up is null").unionByName(met.select(
                 "tree", "node", F.col("_up").alias("up"),
                 (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"),
                 (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"),
-            ),
+            )),
             "chat-links",
         )
         levels.append(current)
-        if current.where("up is not null").isEmpty():
-            break
     parents = jump.where("up is not null").select(F.col("tree").alias("_t"), F.col("up").alias("_n")).distinct()
     leaves = current.where("up is null").join(
         parents, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n")), "left_anti"
