@@ -26,9 +26,8 @@ def _bit(length: str, prefix: str) -> Column:
 
 def _survivors(signatures: DataFrame) -> DataFrame:
     """(length, prefix) values that more than one row has, found length first."""
-    lengths = signatures.groupBy("_length").count().where("count > 1").select("_length")
-    shared = signatures.join(lengths, "_length", "left_semi")
-    return shared.groupBy("_length", "_prefix").count().where("count > 1").drop("count")
+    lengths = signatures.groupBy("_length").agg(F.sum("_n").alias("_n")).where("_n > 1").select("_length")
+    return signatures.where("_n > 1").join(lengths, "_length", "left_semi").select("_length", "_prefix")
 
 
 def exact_groups(
@@ -40,7 +39,7 @@ def exact_groups(
 ) -> DataFrame:
     """One row per document: id, ``keep_id`` (largest id of its group), ``group_size``, ``kept``, ``rows`` (that repeat it), ``text_sha256``.
 
-    The first pass writes length and prefix hash of each text. What shares both with
+    The first pass counts the texts of each length and prefix hash. What shares both with
     another row is marked in a bitmap of fixed size, so the second pass can tell
     candidates apart as it reads and no text is ever shuffled. A wrongly marked text
     merely gets hashed; the full hash decides. Texts without a candidate have a null
@@ -53,7 +52,8 @@ def exact_groups(
         F.xxhash64(F.substring(text, 1, prefix_chars)).alias("_prefix"),
         text.alias("_text"),
     )
-    signatures = materialise(keyed.select("_length", "_prefix"), "exact-signatures")
+    counted = keyed.groupBy("_length", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    signatures = materialise(counted, "exact-signatures")
     bit = _bit("_length", "_prefix")
     marks = _survivors(signatures).select(
         F.floor(bit / _WORD_BITS).alias("_word"), (bit % _WORD_BITS).alias("_at")
@@ -104,7 +104,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     digest = F.sha2(F.coalesce("_text", F.lit("")).cast("binary"), 256)
     rows = packed(docs, id_col, text_col).withColumn("_digest", digest)
     same = F.col("_id").eqNullSafe(F.col("_verdict_id")) & (F.col("_digest") == F.col("_sha"))
-    joined = rows.join(verdict, same, "left")
+    # verdicts grow with the documents: always a shuffled join
+    joined = rows.join(verdict.hint("merge"), same, "left")
     once = joined.where(F.col("kept").isNull() | (F.col("kept") & (F.col("rows") == 1)))
     repeated = joined.where(F.col("kept") & (F.col("rows") > 1)).dropDuplicates(["_id", "_digest"])
     return unpacked(once).unionByName(unpacked(repeated))
