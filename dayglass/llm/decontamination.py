@@ -161,4 +161,5 @@ def _with_spans(
         F.col(id_col).alias("_hit_id"), F.col("text_hash").alias("_hit_text"), F.col("spans").alias("_spans")
     ).distinct()
     same = F.col("_id").eqNullSafe(F.col("_hit_id")) & (F.xxhash64("_text") == F.col("_hit_text"))
-    return packed(docs, id_col, text_col).join(hit, same, how)
+    # hits grow with the documents: always a shuffled join
+    return packed(docs, id_col, text_col).join(hit.hint("merge"), same, how)

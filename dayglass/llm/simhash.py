@@ -203,7 +203,8 @@ def wide_fingerprint(text: str | None, width: int) -> list[int]:
     if not parts:
         return [0] * WIDE_WORDS
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, 42) for s in parts), dtype=np.uint64, count=len(parts))
+    # each shingle once, as a Jaccard similarity counts it
+    hashes = np.unique(np.fromiter((digest(s, 42) for s in parts), dtype=np.uint64, count=len(parts)))
     ones = np.zeros((WIDE_WORDS, 64), dtype=np.int64)
     for i in range(0, len(hashes), _BLOCK):
         block = hashes[i : i + _BLOCK]
@@ -331,7 +332,8 @@ def drop_near_copies(
     )
     rows = packed(docs, id_col, text_col).withColumn("_hash", F.xxhash64("_text"))
     same = F.col("_id").eqNullSafe(F.col("_verdict_id")) & (F.col("_hash") == F.col("_verdict_hash"))
-    joined = rows.join(verdict, same, "left")
+    # verdicts grow with the documents: always a shuffled join
+    joined = rows.join(verdict.hint("merge"), same, "left")
     once = joined.where(F.col("_kept").isNull() | (F.col("_kept") & (F.col("_rows") == 1)))
     repeated = joined.where(F.col("_kept") & (F.col("_rows") > 1)).dropDuplicates(["_id", "_hash"])
     return unpacked(once).unionByName(unpacked(repeated))
