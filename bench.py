@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from dayglass.session import build_session
@@ -37,6 +38,7 @@ def main() -> None:
         "dayglass-bench",
         f"local[{cpus}]",
         spark__sql__shuffle__partitions=cpus,
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="dayglass-bench-"),
         spark__driver__memory="12g",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",

@@ -56,7 +56,9 @@ def fill_missing(
         return df.na.drop()
     chosen = list(columns) if columns else (df.columns if strategy == "fill_mode" else _numeric(df))
     if strategy == "fill_mean":
-        fills = {c: df.agg(F.avg(c)).scalar() for c in chosen}
+        # one row of means, one pass
+        means = df.agg(*[F.avg(c).alias(c) for c in chosen]).first()
+        fills = {c: F.lit(means[c]) for c in chosen}
     elif strategy == "fill_median":
         fills = {c: quantiles(df.select(c), c, {"m": 0.5}).scalar() for c in chosen}
     elif strategy == "fill_mode":

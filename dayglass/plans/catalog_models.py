@@ -235,6 +235,60 @@ def cascade(spark: Spark, sf_dir: str) -> DataFrame:
     return _shown(ensemble.combine(stages.predictions(spark, sf_dir), "cascade"))
 
 
+# predictions in which the first model misses some keys and another misses others
+_GAPS = f"""WITH {PRED}, kept AS (SELECT * FROM pred WHERE NOT (model = 'isolation_forest' AND day(day) % 3 = 0)
+    AND NOT (model = 'deep_clustering' AND day(day) % 5 = 1)), w AS (SELECT "user", day, max(true_label) AS true_label,
+    max(anomaly_score) FILTER (model = 'isolation_forest') AS s1, max(anomaly_score) FILTER (model = 'lstm_autoencoder') AS s2,
+    max(anomaly_score) FILTER (model = 'deep_clustering') AS s3, max(prediction) FILTER (model = 'isolation_forest') AS p1,
+    max(prediction) FILTER (model = 'lstm_autoencoder') AS p2, max(prediction) FILTER (model = 'deep_clustering') AS p3
+    FROM kept GROUP BY 1, 2),
+    e AS (SELECT *, (CASE WHEN s1 IS NULL THEN 0 ELSE 0.3 END + CASE WHEN s2 IS NULL THEN 0 ELSE 0.4 END
+      + CASE WHEN s3 IS NULL THEN 0 ELSE 0.3 END)::DOUBLE AS whole,
+      coalesce(s1, 0) * 0.3::DOUBLE + coalesce(s2, 0) * 0.4::DOUBLE + coalesce(s3, 0) * 0.3::DOUBLE AS summed,
+      CAST(p1 IS NOT NULL AS INTEGER) + CAST(p2 IS NOT NULL AS INTEGER) + CAST(p3 IS NOT NULL AS INTEGER) AS voters,
+      coalesce(p1, 0) + coalesce(p2, 0) + coalesce(p3, 0) AS votes FROM w)"""
+
+
+def _with_gaps(spark: Spark, sf_dir: str) -> DataFrame:
+    date = F.dayofmonth("day")
+    gap = ((F.col("model") == "isolation_forest") & (date % 3 == 0)) | ((F.col("model") == "deep_clustering") & (date % 5 == 1))
+    return stages.predictions(spark, sf_dir).where(~gap)
+
+
+@query(
+    "e1_weighted_partial",
+    f"""{_GAPS} SELECT "user", day, true_label, CAST(summed / whole > 0.7 AS INTEGER) AS prediction,
+    {r('summed / whole')} AS anomaly_score FROM e""",
+)
+def weighted_partial(spark: Spark, sf_dir: str) -> DataFrame:
+    """Keys that lack a model share the weights of those they have."""
+    found = rounded(ensemble.combine(_with_gaps(spark, sf_dir), "weighted"))
+    return found.select("user", "day", "true_label", "prediction", "anomaly_score")
+
+
+@query(
+    "e2_majority_partial",
+    f"""{_GAPS} SELECT "user", day, true_label, CAST(votes / voters > 0.5 AS INTEGER) AS prediction,
+    {r('(coalesce(s1, 0) + coalesce(s2, 0) + coalesce(s3, 0)) / voters::DOUBLE')} AS anomaly_score FROM e""",
+)
+def majority_partial(spark: Spark, sf_dir: str) -> DataFrame:
+    """Present models vote."""
+    found = rounded(ensemble.combine(_with_gaps(spark, sf_dir), "majority"))
+    return found.select("user", "day", "true_label", "prediction", "anomaly_score")
+
+
+@query(
+    "e3_cascade_partial",
+    f"""{_GAPS} SELECT "user", day, true_label,
+    CAST(coalesce(p1, 0) = 1 AND coalesce(p2, 1) = 1 AND coalesce(p3, 1) = 1 AS INTEGER) AS prediction,
+    {r('greatest(s1, s2, s3)')} AS anomaly_score FROM e""",
+)
+def cascade_partial(spark: Spark, sf_dir: str) -> DataFrame:
+    """A key that the first model never scored stays clear."""
+    found = rounded(ensemble.combine(_with_gaps(spark, sf_dir), "cascade"))
+    return found.select("user", "day", "true_label", "prediction", "anomaly_score")
+
+
 _ENS_PRED = f"""{WIDE}, methods AS (
   SELECT 'cascade' AS model, true_label, least(p_if, p_dc, p_seq) AS prediction FROM wide UNION ALL
   SELECT 'majority', true_label, CAST((p_if + p_seq + p_dc) / 3.0 > 0.5 AS INTEGER) FROM wide UNION ALL

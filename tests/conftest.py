@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -16,6 +17,7 @@ def spark():
         "dayglass-tests",
         "local[8]",
         spark__sql__shuffle__partitions="8",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="dayglass-tests-"),
         spark__driver__memory="6g",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
