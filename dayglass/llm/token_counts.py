@@ -56,6 +56,19 @@ class UnigramCounter:
         self._known: dict[str, int] = {}
 
     def _count(self, word: str) -> int:
+        if not self._single.issuperset(word):
+            return self._count_with_unknown(word)
+        size = len(word)
+        best, pieces = [0.0] + [-math.inf] * size, [0] * (size + 1)
+        # places ascend, and at each the longest match comes first
+        for last, (length, own) in self._found.iter(word):
+            end = last + 1
+            score = best[end - length] + own
+            if score > best[end]:
+                best[end], pieces[end] = score, pieces[end - length] + 1
+        return pieces[size]
+
+    def _count_with_unknown(self, word: str) -> int:
         size = len(word)
         ending: list[list[tuple[int, float]]] = [[] for _ in range(size + 1)]
         for last, (length, score) in self._found.iter(word):
