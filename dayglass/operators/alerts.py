@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayglass import config
-from dayglass.operators.ordering import row_numbers
+from dayglass.operators.ordering import cumulative_counts
 
 
 def severity(score: Column) -> Column:
@@ -36,16 +36,29 @@ def make_alerts(
     ensemble: DataFrame,
     threshold: float = config.EnsembleParams().threshold,
     keys: tuple[str, ...] = ("user", "day"),
+    numbered: bool = True,
 ) -> DataFrame:
     """Alerts for scores strictly above the threshold; an empty typed table when there are none.
 
-    ``index`` is the row's position in key order among all scored rows.
+    ``index`` is the row's position in key order among all scored rows: the rows of
+    earlier users, from running counts over users, and the user's own earlier rows,
+    which are ordered for users with an alert only. Counts and shares of alerts need
+    no position; ``numbered=False`` leaves it out, and the id made from it.
     """
-    numbered = row_numbers(ensemble, [F.col(k) for k in keys], out="_n")
-    index = F.col("_n") - 1
-    return numbered.where(F.col("anomaly_score") > threshold).select(
-        alert_id(index).alias("alert_id"),
-        index.alias("index"),
+    flagged = F.col("anomaly_score") > threshold
+    found, position = ensemble, []
+    if numbered:
+        user, rest = keys[0], keys[1:] or keys
+        rows = cumulative_counts(ensemble, user, {"_rows": F.count(F.lit(1)), "_alerts": F.count_if(flagged)})
+        starts = rows.where(F.col("_alerts") > 0).select(
+            F.col(user).alias("_user"), (F.col("cum__rows") - F.col("_rows")).alias("_before")
+        )
+        own = F.row_number().over(Window.partitionBy(user).orderBy(*rest)) - 1
+        theirs = ensemble.join(starts, F.col(user).eqNullSafe(F.col("_user")))
+        found = theirs.withColumn("_index", (own + F.col("_before")).cast("long"))
+        position = [alert_id(F.col("_index")).alias("alert_id"), F.col("_index").alias("index")]
+    return found.where(flagged).select(
+        *position,
         *keys,
         "anomaly_score",
         severity(F.col("anomaly_score")).alias("severity"),

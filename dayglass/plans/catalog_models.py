@@ -381,8 +381,8 @@ _ALERTS = f"""{WIDE}, num AS (SELECT *, row_number() OVER (ORDER BY "user", day)
 _ORDERED = f"""{_ALERTS}, oa AS (SELECT *, CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS sr FROM al)"""
 
 
-def _alerts(spark: Spark, sf_dir: str) -> DataFrame:
-    return alerts.make_alerts(ensemble.combine(stages.predictions(spark, sf_dir)), LOW)
+def _alerts(spark: Spark, sf_dir: str, numbered: bool = True) -> DataFrame:
+    return alerts.make_alerts(ensemble.combine(stages.predictions(spark, sf_dir)), LOW, numbered=numbered)
 
 
 @query("e8_alerts", f"WITH {_ALERTS} SELECT * REPLACE ({r('anomaly_score')} AS anomaly_score) FROM al")
@@ -392,12 +392,12 @@ def make_alerts(spark: Spark, sf_dir: str) -> DataFrame:
 
 @query("e9_severity_counts", f"WITH {_ALERTS} SELECT severity, count(*) AS alerts, {r('100.0 * count(*) / sum(count(*)) OVER ()')} AS share_pct FROM al GROUP BY 1")
 def severity_counts(spark: Spark, sf_dir: str) -> DataFrame:
-    return rounded(alerts.severity_counts(_alerts(spark, sf_dir)))
+    return rounded(alerts.severity_counts(_alerts(spark, sf_dir, numbered=False)))
 
 
 @query("e9_model_agreement", f"WITH {_ALERTS} SELECT num_models_agree, count(*) AS alerts FROM al GROUP BY 1")
 def agreement(spark: Spark, sf_dir: str) -> DataFrame:
-    return alerts.agreement_counts(_alerts(spark, sf_dir))
+    return alerts.agreement_counts(_alerts(spark, sf_dir, numbered=False))
 
 
 @query(
