@@ -37,7 +37,7 @@ from dayglass.session import materialise
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROWS_PER_SLICE = 20_000  # of one length class that are ranked in one sort, about
-_CACHED_WORDS = 600_000  # memory of a worker; the ids do not depend on it
+_CACHED_WORDS = 150_000  # memory of a worker; the ids do not depend on it
 _LONG_WORD = 64
 
 # Printable ASCII without digits and apostrophes, and Latin letters of one code point: the

@@ -36,7 +36,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _KINDS = ((re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"\d+"), "0"))
 _RUN = re.compile(r"(.)\1+")
-_CACHED_WORDS = 300_000  # memory of a worker; scores do not depend on it
+_CACHED_WORDS = 150_000  # memory of a worker; scores do not depend on it
 _LONG_SHAPE = 12
 
 

@@ -28,7 +28,7 @@ from dayglass.llm.common import kept_by_worker, small_batches
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SPACE = "▁"
-_CACHED_WORDS = 300_000  # memory of a worker; counts do not depend on it
+_CACHED_WORDS = 150_000  # memory of a worker; counts do not depend on it
 _UNKNOWN_PENALTY = 10.0
 
 

@@ -38,7 +38,7 @@ from dayglass.session import materialise
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHED_WORDS = 400_000  # memory of a worker; scores do not depend on it
+_CACHED_WORDS = 150_000  # memory of a worker; scores do not depend on it
 
 
 _RIDGE = 1e-4  # keeps the slope finite where positives and unlabelled part completely
