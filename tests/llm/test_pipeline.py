@@ -1,24 +1,80 @@
-"""The pipeline's stages against what each of them promises, on the smallest tables."""
+"""Every stage of the pipeline against a brute-force version, on the smallest tables."""
 
 from __future__ import annotations
 
+import pytest
+from test_decontamination import brute as brute_hits
+
 import corpus_pipeline
+from dayglass.llm import packing, simhash, toxicity
 from dayglass.llm.common import table
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_stages_hand_on(spark):
+@pytest.fixture(scope="module")
+def kept(spark):
+    """The documents before the first stage and after each stage but the last."""
     docs = table(spark, SF, "documents")
-    columns, before = docs.columns, docs.count()
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "packing"]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF).cache()
-        assert docs.columns == columns
-        assert 0 < docs.count() <= before
-        before = docs.count()
-    rows = docs.collect()
-    assert len({r.text for r in rows}) == len(rows)
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert packed.select("doc_id").distinct().count() == len(rows)
+    out = [docs]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out.append(stage(spark, out[-1], SF).cache())
+    return out
+
+
+def texts(df):
+    return {r.doc_id: r.text for r in df.collect()}
+
+
+def test_names_and_columns(kept):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "packing"]
+    assert all(df.columns == kept[0].columns for df in kept)
+    assert all(0 < b.count() <= a.count() for a, b in zip(kept, kept[1:]))
+
+
+def test_toxic_documents_go(spark, kept):
+    scores = toxicity.toxicity(kept[0], table(spark, SF, "labels")).collect()
+    assert set(texts(kept[1])) == {r.doc_id for r in scores if r.score < 0.7}
+
+
+def test_one_of_equal_texts_stays(kept):
+    want = {}
+    for d, t in texts(kept[1]).items():
+        want[t] = max(d, want.get(t, d))
+    assert set(texts(kept[2])) == set(want.values())
+
+
+def test_near_copies_go(kept):
+    before, after = texts(kept[2]), texts(kept[3])
+    sets = {d: set(simhash.shingles(t, 5)) for d, t in before.items()}
+
+    def similarity(a, b):
+        return len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
+
+    # what goes is close to a document that was there; clean documents stay
+    for d in before.keys() - after.keys():
+        assert max(similarity(d, e) for e in before if e != d) > 0.6
+    prints = {d: simhash.wide_fingerprint(t, 5) for d, t in after.items()}
+    for a in prints:
+        for b in prints:
+            if a < b:
+                assert prints[a] != prints[b]
+
+
+def test_benchmark_passages_go(spark, kept):
+    items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
+    want = {d for d, t in texts(kept[3]).items() if not brute_hits(t, items)[1]}
+    assert set(texts(kept[4])) == want
+
+
+def test_all_that_is_left_is_packed(spark, kept):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    left = texts(kept[4])
+    rows = corpus_pipeline.STAGES[-1][1](spark, kept[4], SF).collect()
+    sizes = {d: len(b) // 4 + 1 for d, b in zip(left, packing.WordTokens(path).batch(list(left.values())))}
+    placed = {}
+    for r in rows:
+        placed[r.doc_id] = placed.get(r.doc_id, 0) + r.length
+    assert placed == sizes
