@@ -9,7 +9,8 @@ instead, which costs a fixed number of look-ups for each fingerprint however man
 the half. Both ways find the same links, so none is lost to a cap.
 
 ``near_duplicates`` is exact in this way. Similarities such as 0.8 lie far beyond two bits
-of 64; ``drop_near_copies`` meets them with wider fingerprints, as said there.
+of 64; ``drop_near_copies`` meets them by bands of minimum hashes and decides by the exact
+similarity, as said there.
 
 Defined results: a null or wordless text has fingerprint zero and links like any other;
 texts of fewer words than a shingle have one shingle. Repeated rows give a row each. A
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -179,32 +180,23 @@ def near_duplicates(
 
 # --- similarity instead of a few bits ----------------------------------------------------
 #
-# Texts of a Jaccard similarity of 0.8 differ in some 15 % of a fingerprint's bits, far
-# more than two. So the fingerprint is wider and has more segments: two texts are met if
-# any segment differs in at most one bit, and are linked by the distance of all bits.
+# Texts of a Jaccard similarity of 0.8 differ in far more than two bits. They are met by
+# minimum hashes instead: a band is the minima of a shingle set under ``BAND_ROWS`` hash
+# functions, and two texts of similarity s share one with chance s ** BAND_ROWS. A pair of
+# exactly 0.8 shares none of ``BANDS`` bands with chance 4e-13. Every pair that shares one
+# is a candidate only: links are decided by the exact similarity of the shingle sets.
 
 WIDE_WORDS = 5  # of 64 bits
-SEGMENT_BITS = 24
-_SEGMENTS = 64 * WIDE_WORDS // SEGMENT_BITS
-BLOCK = 128  # members of a crowded segment value that are compared with each other
-
-
-def distance_for(similarity: float) -> int:
-    """Bits of a wide fingerprint that five in six text pairs of that Jaccard similarity stay within.
-
-    That is the expected number of bits that differ, and one standard deviation.
-    """
-    bits, share = 64 * WIDE_WORDS, np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * share + np.sqrt(bits * share * (1 - share)))
+BANDS, BAND_ROWS = 72, 5
+BLOCK = 256  # members of a band value that are compared with each other in one task
+_CHUNK = 2048  # shingles that meet all hash functions at a time
+_ODD = np.random.default_rng(42).integers(0, 1 << 31, (2, BANDS * BAND_ROWS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def wide_fingerprint(text: str | None, width: int) -> list[int]:
-    parts = shingles(text, width)
-    if not parts:
+    hashes = shingle_set(text, width)
+    if not len(hashes):
         return [0] * WIDE_WORDS
-    digest = xxhash.xxh64_intdigest
-    # each shingle once, as a Jaccard similarity counts it
-    hashes = np.unique(np.fromiter((digest(s, 42) for s in parts), dtype=np.uint64, count=len(parts)))
     ones = np.zeros((WIDE_WORDS, 64), dtype=np.int64)
     for i in range(0, len(hashes), _BLOCK):
         block = hashes[i : i + _BLOCK]
@@ -218,86 +210,141 @@ def wide_fingerprint(text: str | None, width: int) -> list[int]:
     return np.packbits(2 * ones > len(hashes), axis=1).view(">i8").ravel().tolist()
 
 
-def segment_keys(wide: np.ndarray) -> np.ndarray:
-    """Segment number and value as one number, times two; odd for own values, even for those one bit lower."""
-    bits = np.unpackbits(wide.astype(">i8").view(np.uint8))[: _SEGMENTS * SEGMENT_BITS].reshape(_SEGMENTS, SEGMENT_BITS)
-    weights = 1 << np.arange(SEGMENT_BITS - 1, -1, -1, dtype=np.int64)
-    own = bits @ weights + (np.arange(_SEGMENTS, dtype=np.int64) << SEGMENT_BITS)
-    lower = (own[:, None] - weights)[bits == 1]
-    return np.concatenate([2 * own + 1, 2 * lower])
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the distinct shingles, sorted."""
+    parts, digest = shingles(text, width), xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(s, 42) for s in parts), dtype=np.uint64, count=len(parts)))
 
 
-def _bits_apart(a: str, b: str) -> Column:
-    each = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    return F.aggregate(each, F.lit(0), lambda n, x: n + x)
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One number for each band of a set of hashes; none for the empty set."""
+    if not len(hashes):
+        return np.empty(0, dtype=np.int64)
+    low, high = hashes.astype(np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, dtype=np.uint32)
+    for i in range(0, len(hashes), _CHUNK):
+        mixed = low[i : i + _CHUNK] * _ODD[0][:, None]
+        mixed += high[i : i + _CHUNK] * _ODD[1][:, None]
+        np.minimum(least, mixed.min(axis=1), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        keys = keys * np.uint64(0x9E3779B97F4A7C15) + row
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
 
 
-def similar_links(distinct: DataFrame, reach: int) -> DataFrame:
-    """Links (``a``, ``b``) between rows (``_node``, ``_wide``) at most ``reach`` bits apart that share a segment.
+def similar_links(
+    keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, block: int = BLOCK
+) -> DataFrame:
+    """Links (``a``, ``b``) that hang together what is of at least that exact similarity and shares a band.
 
-    A segment value with more than ``BLOCK`` members is dealt into blocks by hash and
-    compared within them, so no value costs the square of its members. Which members
-    share a block differs from segment to segment, and a block gives the links of a
-    spanning forest, since only what hangs together matters.
+    ``keyed`` has distinct rows (``_node``, ``_keys``); ``sets_of`` gives (``_node``, ``_set``)
+    for a table of nodes. Every member of a band value is compared with its smallest one
+    first. Then members that do not hang together yet are compared with each other: pair
+    by pair up to ``block`` members, block against block beyond, so that every two meet
+    in some task and no task holds more than a few blocks.
     """
-
-    @F.pandas_udf("array<long>")
-    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([segment_keys(np.asarray(w, dtype=np.int64)) for w in batch], dtype=object)
-
-    rows = distinct.select("_node", F.explode(keys("_wide")).alias("_key"))
-    rows = rows.select("_node", F.shiftright("_key", 1).alias("_at"), (F.col("_key") % 2 == 1).alias("_own"))
-    met = rows.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"), F.count_if("_own").alias("_owners"))
-    met = met.where((F.col("_n") > 1) & (F.col("_owners") > 0)).drop("_owners")
-    known = rows.join(met, "_at").join(distinct, "_node")
-    known = materialise(known.select("_at", "_n", "_own", "_node", "_wide"), "simhash-meetings")
-    few = known.where(F.col("_n") <= BLOCK)
-    left = few.where("_own").select("_at", F.col("_node").alias("a"), F.col("_wide").alias("_a"))
-    right = few.select("_at", F.col("_node").alias("b"), F.col("_wide").alias("_b"), F.col("_own").alias("_both"))
-    pairs = left.join(right, "_at").where(
-        (F.col("a") != F.col("b")) & (~F.col("_both") | (F.col("a") < F.col("b"))) & (_bits_apart("_a", "_b") <= reach)
+    rows = keyed.select("_node", F.explode("_keys").alias("_at"))
+    sizes = rows.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_node").alias("_first")).where("_n > 1")
+    met = materialise(rows.join(sizes, "_at").select("_at", "_node", "_n", "_first"), "similar-meetings")
+    sets = materialise(sets_of(met.select("_node").distinct()).select("_node", "_set"), "similar-sets")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        left = sets.select(F.col("_node").alias("a"), F.col("_set").alias("_a"))
+        right = sets.select(F.col("_node").alias("b"), F.col("_set").alias("_b"))
+        both, shared = F.size("_a") + F.size("_b"), F.size(F.array_intersect("_a", "_b"))
+        near = (F.least(F.size("_a"), F.size("_b")) / F.greatest(F.size("_a"), F.size("_b")) >= similarity)
+        met = pairs.distinct().join(left, "a").join(right, "b").where(near)
+        return met.where(shared / (both - shared) >= similarity).select("a", "b")
+
+    stars = met.where(F.col("_node") != F.col("_first")).select(F.col("_first").alias("a"), F.col("_node").alias("b"))
+    stars = materialise(alike(stars), "similar-stars")
+    roots = components(stars).withColumnRenamed("node", "_node")
+    rooted = met.drop("_first").join(roots, "_node", "left").withColumn("_root", F.coalesce("root", "_node")).drop("root")
+    rooted = materialise(rooted, "similar-rooted")
+    apart = rooted.groupBy("_at").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high"))
+    rest = rooted.join(apart.where("_low < _high").select("_at"), "_at")
+
+    few = rest.where(F.col("_n") <= block)
+    left = few.select("_at", F.col("_node").alias("a"), F.col("_root").alias("_a"))
+    right = few.select("_at", F.col("_node").alias("b"), F.col("_root").alias("_b"))
+    pairs = left.join(right, "_at").where((F.col("a") < F.col("b")) & (F.col("_a") != F.col("_b"))).select("a", "b")
+
+    # blocks of one large component each, and blocks of smaller ones
+    crowd = rest.where(F.col("_n") > block)
+    large = crowd.groupBy("_at", "_root").agg(F.count(F.lit(1)).alias("_members"))
+    part = F.pmod(F.xxhash64("_node"), F.ceil(F.col("_members") / block))
+    mixed = F.pmod(F.xxhash64("_root"), F.ceil(F.col("_n") / block))
+    owner = F.when(F.col("_members") > block, F.col("_root"))
+    crowd = crowd.join(large, ["_at", "_root"]).select(
+        "_at", "_node", owner.alias("_owner"), F.when(owner.isNull(), mixed).otherwise(part).alias("_part")
     )
-    blocks = F.pmod(F.xxhash64("_at", "_node"), F.ceil(F.col("_n") / BLOCK))
-    crowd = known.where(F.col("_n") > BLOCK).withColumn("_block", blocks)
+    crowd = crowd.withColumn("_block", F.xxhash64(F.coalesce("_owner", F.lit(0)), F.col("_owner").isNull(), "_part"))
+    crowd = materialise(crowd, "similar-crowd")
+    blocks = crowd.select("_at", "_block", "_owner").distinct()
+    ones = blocks.select("_at", F.col("_block").alias("_i"), F.col("_owner").alias("_io"))
+    others = blocks.select("_at", F.col("_block").alias("_j"), F.col("_owner").alias("_jo"))
+    known = F.coalesce(F.col("_io") == F.col("_jo"), F.lit(False))
+    against = ones.join(others, "_at").where((F.col("_i") <= F.col("_j")) & ~known)
+    against = against.select("_at", "_i", "_j", F.explode(F.array_distinct(F.array("_i", "_j"))).alias("_block"))
+    faced = crowd.select("_at", "_block", "_node").join(against, ["_at", "_block"]).join(sets, "_node")
 
     def forest(group: pd.DataFrame) -> pd.DataFrame:
-        nodes = group["_node"].to_numpy()
-        octets = np.stack([np.asarray(w, dtype=np.int64) for w in group["_wide"]]).view(np.uint8)
-        unseen, found = np.ones(len(nodes), dtype=bool), []
+        nodes, found = group["_node"].to_numpy(), []
+        size = group["_set"].map(len).to_numpy()
+        values, at = np.unique(np.concatenate(group["_set"].to_list()), return_inverse=True)
+        start = np.concatenate([[0], np.cumsum(size)[:-1]])
+        unseen = np.ones(len(nodes), dtype=bool)
         for first in range(len(nodes)):
             if not unseen[first]:
                 continue
             unseen[first], open_ = False, [first]
             while open_:
                 i = open_.pop()
-                rest = np.flatnonzero(unseen)
-                apart = np.unpackbits(octets[rest] ^ octets[i], axis=1).sum(axis=1)
-                near = rest[apart <= reach]
+                held = np.zeros(len(values), dtype=np.int64)
+                held[at[start[i] : start[i] + size[i]]] = 1
+                shared = np.add.reduceat(held[at], start)
+                near = np.flatnonzero(unseen & (shared / (size[i] + size - shared) >= similarity))
                 unseen[near] = False
                 open_ += near.tolist()
                 found += [(nodes[i], nodes[j]) for j in near]
         return pd.DataFrame(found, columns=["a", "b"])
 
-    # a block holds about ``BLOCK`` members
-    linked = crowd.groupBy("_at", "_block").applyInPandas(forest, "a long, b long")
-    return pairs.select("a", "b").unionByName(linked)
+    linked = faced.groupBy("_at", "_i", "_j").applyInPandas(forest, "a long, b long")
+    return stars.unionByName(alike(pairs)).unionByName(linked)
 
 
 def _similar_components(docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """Rows (``_id``, ``_hash``, ``_root``) by similarity."""
+    """Rows (``_id``, ``_hash``, ``_root``) by similarity; texts of equal shingle sets are one node."""
     small_batches(docs.sparkSession)
 
+    @F.pandas_udf("_node long, _keys array<long>")
+    def banded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            sets = [shingle_set(t, width) for t in texts]
+            nodes = [np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64) for s in sets]
+            yield pd.DataFrame({"_node": nodes, "_keys": [band_keys(s) for s in sets]})
+
     @F.pandas_udf("array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([wide_fingerprint(t, width) for t in texts], dtype=object)
-
-    prints = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), of(F.col(text_col)).alias("_wide"))
-    prints = materialise(prints.withColumn("_node", F.xxhash64("_wide")), "simhash-wide")
-    distinct = materialise(prints.groupBy("_node").agg(F.first("_wide").alias("_wide")), "simhash-wide-distinct")
-    roots = components(similar_links(distinct, distance_for(similarity))).withColumnRenamed("node", "_node")
-    return prints.drop("_wide").join(roots, "_node", "left").select(
+            yield pd.Series([shingle_set(t, width).view(np.int64) for t in texts], dtype=object)
+
+    texts = docs.select(F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
+    prints = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), banded(F.col(text_col)).alias("_of"))
+    prints = materialise(prints.select("_id", "_hash", "_of.*"), "similar-prints")
+    least = prints.groupBy("_node").agg(F.min("_hash").alias("_hash"), F.first("_keys").alias("_keys"))
+    distinct = materialise(least, "similar-distinct")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = distinct.join(nodes, "_node").select("_node", "_hash")
+        # wanted texts grow with the documents: always a shuffled join
+        held = texts.join(wanted.hint("merge"), "_hash").dropDuplicates(["_node"])
+        return held.select("_node", of(F.col("_text")).alias("_set"))
+
+    links = similar_links(distinct.select("_node", "_keys"), sets_of, similarity)
+    roots = components(links).withColumnRenamed("node", "_node")
+    return prints.select("_id", "_hash", "_node").join(roots, "_node", "left").select(
         "_id", "_hash", F.coalesce("root", "_node").alias("_root")
     )
 
@@ -312,7 +359,7 @@ def drop_near_copies(
 ) -> DataFrame:
     """One document of each component, all its columns: the smallest id, then the smallest text hash.
 
-    Components link texts of at least that estimated Jaccard similarity on ``width``-word
+    Components link texts of at least that exact Jaccard similarity on ``width``-word
     shingles, or fingerprints ``reach`` bits apart where ``similarity`` is None.
     """
     if similarity is None:

@@ -102,3 +102,44 @@ def test_query_matches_brute_force(spark):
         least[roots[p]] = min(least.get(roots[p], d), d)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op2_simhash_near_dedup"](spark, sf).collect()}
     assert got == {d: (f"{p:016x}", least[roots[p]]) for d, p in prints.items()}
+
+
+def jaccard(a, b):
+    return len(a & b) / max(1, len(a | b))
+
+
+def grouped(nodes, linked):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in linked:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return {n: find(n) for n in nodes}
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 3])
+def test_similar_links_match_brute_force(spark, block):
+    """Families whose members share bands by the dozen, with members at, above and below 0.8."""
+    import numpy as np
+
+    rng = random.Random(7)
+    sets = set()
+    for _ in range(4):
+        base = [rng.getrandbits(64) for _ in range(90)]
+        for k in range(40):
+            kept = rng.sample(base, 90 - k)
+            sets.add(frozenset(kept + [rng.getrandbits(64) for _ in range(k % 15)]))
+        sets.add(frozenset(base[:72]))  # 72 of 90: exactly 0.8
+        sets.add(frozenset(base))
+    sets = [np.array(sorted(s), dtype=np.uint64) for s in sets]
+    rows = [(i, simhash.band_keys(s).tolist(), s.view(np.int64).tolist()) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "_node long, _keys array<long>, _set array<long>").cache()
+    links = simhash.similar_links(df.select("_node", "_keys"), lambda n: df.join(n, "_node"), 0.8, block).collect()
+    members = [set(s.tolist()) for s in sets]
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if jaccard(members[a], members[b]) >= 0.8}
+    assert {tuple(sorted(r)) for r in links} <= want
+    assert grouped(range(len(sets)), links) == grouped(range(len(sets)), want)
