@@ -130,7 +130,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact groups of every document, digests included."""
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"), digest_all=True)
-    return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    # a row for each input row, those that repeat id and text as well
+    copies = groups.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return copies.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def _known_sql() -> str:

@@ -51,3 +51,12 @@ def test_documents_that_stay(awkward, nothing):
     assert sorted(str(r.doc_id) for r in got.collect()) == sorted(["2", "4", "5", "6", "None", "8", "9", "10"])
     assert exact_dedup.drop_exact_copies(nothing).count() == 0
     assert exact_dedup.exact_groups(nothing).count() == 0
+
+
+def test_query_gives_a_row_for_each_row(spark, tmp_path):
+    from dayglass.llm.catalog import QUERIES
+
+    rows = [(1, "a"), (1, "a"), (2, "a"), (3, "b"), (4, "c"), (4, "c")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r)[:4] for r in QUERIES["op5_exact_dedup"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(1, 2, 3, False)] * 2 + [(2, 2, 3, True), (3, 3, 1, True)] + [(4, 4, 2, True)] * 2
