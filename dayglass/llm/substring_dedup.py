@@ -5,7 +5,7 @@ than ``min_words`` words are left alone. Digests are grouped over all documents,
 before the shuffle; units are ranked by id, then by place.
 
 Defined results: a null or empty text has no unit. Null ids rank last. Rows that repeat
-an id rank alike, so a line shared by them alone stays in each. An empty table gives no
+an id rank alike, so a line shared by them alone stays in each; what goes is told by id and text. An empty table gives no
 rows. Columns other than the id and the text pass through ``drop_repeated`` untouched.
 """
 
@@ -41,12 +41,13 @@ def line_units(text: str | None, min_words: int) -> Iterator[tuple[int, int, int
 
 
 def repeated_units(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Units to remove: (``_id``, ``_line``, ``_start``, ``_length``, ``_first`` the id that keeps the line)."""
+    """Units to remove: (``_id``, ``_hash`` of the text, ``_line``, ``_start``, ``_length``, ``_first`` the id that keeps the line)."""
     small_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    source = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
     schema = StructType(
         [
             source.schema["_id"],
+            StructField("_hash", LongType()),
             StructField("_line", IntegerType()),
             StructField("_start", LongType()),
             StructField("_length", LongType()),
@@ -56,7 +57,7 @@ def repeated_units(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id",
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, *u) for k, t in zip(batch["_id"], batch["_text"]) for u in line_units(t, min_words)]
+            rows = [(k, h, *u) for k, h, t in zip(batch["_id"], batch["_hash"], batch["_text"]) for u in line_units(t, min_words)]
             yield pd.DataFrame(rows, columns=schema.names)
 
     units = materialise(source.mapInPandas(cut, schema), "line-units")
@@ -64,7 +65,7 @@ def repeated_units(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id",
     first = units.groupBy("_digest").agg(F.min(rank).alias("_first"), F.count(F.lit(1)).alias("_n"))
     shared = first.where("_n > 1").drop("_n")
     met = units.join(shared, "_digest").where(~rank.eqNullSafe(F.col("_first")))
-    return met.select("_id", "_line", "_start", "_length", F.col("_first.id").alias("_first"))
+    return met.select("_id", "_hash", "_line", "_start", "_length", F.col("_first.id").alias("_first"))
 
 
 def line_dedup(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,12 +75,13 @@ def line_dedup(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text
         F.col("_line").alias("line"), F.col("_start").alias("start"), F.col("_length").alias("length"), F.col("_first").alias("first")
     )
     # the lines of one document
-    removed = again.groupBy(F.col("_id").alias("_cut")).agg(F.sort_array(F.collect_list(part)).alias("_removed"))
-    joined = packed(docs, id_col, text_col).join(removed, F.col("_id").eqNullSafe(F.col("_cut")), "left")
+    removed = again.groupBy(F.col("_id").alias("_cut"), F.col("_hash").alias("_cut_hash")).agg(F.sort_array(F.collect_list(part)).alias("_removed"))
+    same = F.col("_id").eqNullSafe(F.col("_cut")) & (F.xxhash64("_text") == F.col("_cut_hash"))
+    joined = packed(docs, id_col, text_col).join(removed, same, "left")
     gone = F.map_from_arrays("_removed.line", "_removed.length")
     lines = F.filter(F.split("_text", "\n", -1), lambda _, i: ~F.map_contains_key(gone, i))
     cleaned = F.when(F.col("_removed").isNull(), F.col("_text")).otherwise(F.array_join(lines, "\n"))
-    return joined.withColumn("_cleaned", cleaned).drop("_cut")
+    return joined.withColumn("_cleaned", cleaned).drop("_cut", "_cut_hash")
 
 
 def drop_repeated(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

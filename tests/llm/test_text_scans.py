@@ -92,3 +92,11 @@ def test_repeated_lines_go(spark, awkward, nothing):
     assert kept.columns == df.columns and kept.count() == 5
     assert substring_dedup.drop_repeated(nothing).count() == 0
     assert substring_dedup.drop_repeated(awkward).select(F.count("*")).first()[0] == awkward.count()
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    line = "one two three four five six"
+    rows = [(1, line), (2, f"{line}\nfirst text"), (2, "the only place of these own words\nsecond text"), (2, f"{line}!!\nthird")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in substring_dedup.drop_repeated(df).collect())
+    assert got == [(1, line), (2, "first text"), (2, rows[2][1]), (2, "third")]
