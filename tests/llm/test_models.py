@@ -103,3 +103,12 @@ def test_dual_descent_separates():
 def test_word_shapes():
     assert quality.word_shape("Word,") == "Aa," and quality.word_shape("x###") == "a##"
     assert quality.word_shape("AB12") == "A0" and len(quality.word_shape("a.b-" * 40)) < 30
+
+
+def test_all_of_an_unspaced_run_is_read():
+    def slots(word):
+        return set(toxicity.word_features(word, toxicity.ToxicityParams()))
+
+    # one word deep inside two clauses, beyond their beginnings
+    assert slots("今天天气很好我们讨厌他们") & slots("别人说过的话讨厌")
+    assert slots("今天天气很好我们") != slots("今天天气很坏他们")
