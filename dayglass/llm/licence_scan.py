@@ -32,8 +32,10 @@ SPELLINGS = (
 )
 COPYRIGHT = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
 
-# Public licence texts and notices by their usual short names.
-KNOWN = (
+# Public licence texts and notices by their usual short names. Those that the
+# files publish in lines are kept in those lines, since a line that begins with "copyright"
+# leaves the canonical text of a file as it leaves that of the known text.
+_NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
@@ -64,6 +66,98 @@ KNOWN = (
     ),
 )
 
+_ISC_LINES = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+""" + _NOTICES[6][1][_NOTICES[6][1].index("THE SOFTWARE") :]
+
+_BSD_2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+_BSD_3 = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+_BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+
+
+def _gnu(name: str, version: str) -> str:
+    return f"""This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU {name} as published by
+the Free Software Foundation, either version {version} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {name} for more details.
+
+You should have received a copy of the GNU {name}
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+
+
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http{}://mozilla.org/MPL/2.0/.
+"""
+_SPDX = (
+    "MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later",
+    "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
+    "AGPL-3.0-only", "AGPL-3.0-or-later",
+)
+
+KNOWN = (
+    *_NOTICES,
+    *[("MIT", f"{title}\n\n{_NOTICES[5][1]}") for title in ("MIT License", "The MIT License", "The MIT License (MIT)")],
+    *[("ISC", title + text) for title in ("ISC License\n\n", "The ISC License\n\n") for text in (_NOTICES[6][1], _ISC_LINES)],
+    ("ISC", _ISC_LINES),
+    *[("BSD-2-Clause", title + _BSD_2 + _BSD_END) for title in ("", "BSD 2-Clause License\n\n")],
+    *[("BSD-3-Clause", title + _BSD_2 + _BSD_3 + _BSD_END) for title in ("", "BSD 3-Clause License\n\n")],
+    ("Apache-2.0", _APACHE),
+    ("Apache-2.0", _APACHE.split("\n")[0]),
+    *[("MPL-2.0", _MPL.format(s)) for s in ("", "s")],
+    ("MPL-2.0", _MPL.split("\n")[0]),
+    ("GPL-2.0-or-later", _gnu("General Public License", "2")),
+    ("GPL-3.0-or-later", _gnu("General Public License", "3")),
+    ("LGPL-2.1-or-later", _gnu("Lesser General Public License", "2.1")),
+    ("LGPL-3.0-or-later", _gnu("Lesser General Public License", "3")),
+    ("AGPL-3.0-or-later", _gnu("Affero General Public License", "3")),
+    *[(name, f"SPDX-License-Identifier: {name}") for name in _SPDX],
+)
+
 
 def _spelling(words: Column) -> Column:
     """Padded words with one spelling each; a word at a time, so neighbours do not hide each other."""

@@ -100,3 +100,19 @@ def test_lines_of_rows_that_share_an_id(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id, r.text) for r in substring_dedup.drop_repeated(df).collect())
     assert got == [(1, line), (2, "first text"), (2, rows[2][1]), (2, "third")]
+
+
+def test_licence_files_as_published(spark):
+    mit, isc = licence_scan.KNOWN[5][1], licence_scan.KNOWN[6][1]
+    body = isc[isc.index("THE SOFTWARE") :]
+    files = {
+        "MIT": "MIT License\n\nCopyright (c) 2021 Some One\n\n" + mit.replace("of this software", "of\nthis software"),
+        "ISC": "ISC License\n\nCopyright (c) 2004 Some One\n\nPermission to use, copy, modify, and/or distribute this software for any\n"
+        "purpose with or without fee is hereby granted, provided that the above\n"
+        "copyright notice and this permission notice appear in all copies.\n\n" + body,
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not "
+        "distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "GPL-3.0-or-later": "/* SPDX-License-Identifier: GPL-3.0-or-later */",
+    }
+    df = spark.createDataFrame(list(files.items()), "doc_id string, text string")
+    assert {r.doc_id: r.licence for r in licence_scan.licence_scan(df).collect()} == {n: n for n in files}
