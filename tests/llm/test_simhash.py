@@ -143,3 +143,16 @@ def test_similar_links_match_brute_force(spark, block):
     want = {(a, b) for b in range(len(sets)) for a in range(b) if jaccard(members[a], members[b]) >= 0.8}
     assert {tuple(sorted(r)) for r in links} <= want
     assert grouped(range(len(sets)), links) == grouped(range(len(sets)), want)
+
+
+def test_near_copies_match_exact_components(spark):
+    """The pipeline's stage against exact similarity, with a family that crowds band values."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    words = [f"w{i}" for i in range(400)]
+    rows += [(10**6 + k, " ".join(words[: 400 - k % 3] + [f"own{k}"])) for k in range(300)]
+    sets = {d: set(simhash.shingles(t, 5)) for d, t in rows}
+    order = sorted(sets)
+    same = [(a, b) for i, b in enumerate(order) for a in order[:i] if jaccard(sets[a], sets[b]) >= 0.8 or not sets[a] | sets[b]]
+    want = set(grouped(order, same).values())
+    got = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == want
