@@ -185,11 +185,31 @@ def _first_fit(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> Counter:
     return Counter(tuple(sorted(p.items())) for p in held)
 
 
-def solve(histogram: dict[int, int], capacity: int, gap: float = 5e-4) -> Plan:
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Matrix times vector without the linear-algebra library, whose threads may not survive a fork."""
+    return np.einsum("ij,j->i", matrix, vector)
+
+
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Inverse by Gauss-Jordan elimination with row exchanges; no library threads either."""
+    n = len(matrix)
+    both = np.hstack([matrix, np.eye(n)])
+    for k in range(n):
+        best = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, best]] = both[[best, k]]
+        both[k] /= both[k, k]
+        factors = both[:, k].copy()
+        factors[k] = 0.0
+        both -= factors[:, None] * both[k]
+    return both[:, n:]
+
+
+def solve(histogram: dict[int, int], capacity: int, gap: float = 5e-4, max_steps: int = 50_000) -> Plan:
     """Fewest sequences for the histogram of length classes, by column generation.
 
     The simplex basis holds one pattern for each class. Farley's bound ends the search
-    when the optimum is within ``gap`` of what is found.
+    when the optimum is within ``gap`` of what is found. More than ``max_steps`` exchanges
+    of patterns are an error: a few for each class are usual.
     """
     sizes = np.array(sorted(k for k, n in histogram.items() if n > 0), dtype=int)
     if not len(sizes):
@@ -199,34 +219,34 @@ def solve(histogram: dict[int, int], capacity: int, gap: float = 5e-4) -> Plan:
     asked = demand + 1e-3 * (1 + np.random.default_rng(0).random(len(sizes)))
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
-    used = inverse @ asked
-    steps = 0
-    while True:
+    used = _times(inverse, asked)
+    for step in range(1, max_steps + 1):
         prices = inverse.sum(axis=0)
         worth, pattern = _best_pattern(sizes, np.maximum(prices, 0.0), capacity)
         if worth <= 1 + gap:
             break
-        change = inverse @ pattern
+        change = _times(inverse, pattern)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratios = np.where(change > 1e-9, used / change, np.inf)
         out = int(np.argmin(ratios))
         if not np.isfinite(ratios[out]):
             break
         basis[:, out] = pattern
-        steps += 1
-        if steps % 50 == 0:
-            inverse = np.linalg.inv(basis)
+        if step % 50 == 0:
+            inverse = _inverse(basis)
         else:
             row = inverse[out] / change[out]
             inverse -= np.outer(change, row)
             inverse[out] = row
-        used = np.maximum(inverse @ asked, 0.0)
+        used = np.maximum(_times(inverse, asked), 0.0)
+    else:
+        raise RuntimeError(f"no packing plan within {max_steps} steps")
     times = np.floor(used + 1e-6).astype(int)
     # never more pieces than there are, whatever the rounding
-    while np.any(basis @ times > demand):
-        over = int(np.argmax(basis @ times - demand))
+    while np.any(_times(basis, times) > demand):
+        over = int(np.argmax(_times(basis, times) - demand))
         times[int(np.argmax(np.where(times > 0, basis[over], 0)))] -= 1
-    left = demand - basis @ times
+    left = demand - _times(basis, times)
     patterns = [
         ({int(s): int(a) for s, a in zip(sizes, basis[:, j]) if a > 0}, int(n)) for j, n in enumerate(times) if n > 0
     ]
