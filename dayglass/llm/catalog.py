@@ -14,6 +14,7 @@ from dayglass.llm import (
     licence_scan,
     packing,
     quality,
+    quality_rules,
     simhash,
     substring_dedup,
     token_counts,
@@ -269,3 +270,50 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op13_quality_rules",
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+             [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines
+      FROM documents
+    ), windows AS (
+      SELECT r, i, array_to_string(w[i:i + 2], ' ') AS g
+      FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+    ), again AS (
+      SELECT r, g FROM windows GROUP BY r, g HAVING count(*) > 1
+    ), covered AS (
+      SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS p FROM windows JOIN again USING (r, g)) GROUP BY r
+    ), m AS (
+      SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+             (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+      FROM d LEFT JOIN covered USING (r)
+    ), f AS (
+      SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
+        + 8 * (100 * n_dup_lines > 50 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT
+        + 32 * (word_chars > 40 * n_words)::BIGINT + 64 * (n_words > 100000)::BIGINT) AS failures
+      FROM m
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+           (failures & 3) <> 0 AS base_failed, (failures & 63) = 0 AS kept, failures
+    FROM f
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures, failure bits and verdicts of every document."""
+    found = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("_id").alias("doc_id"),
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        quality_rules.rejected(("base", 1)).alias("base_failed"),
+        (~quality_rules.rejected()).alias("kept"),
+        "failures",
+    )
