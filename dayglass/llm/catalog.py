@@ -20,6 +20,7 @@ from dayglass.llm import (
     substring_dedup,
     token_counts,
     toxicity,
+    whitening,
 )
 from dayglass.llm.common import table
 from dayglass.session import tune
@@ -273,6 +274,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on the eight leading components, whitened."""
+    found = whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
+    return found.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 @query(
     "op12_hard_negatives",
     """

@@ -35,6 +35,16 @@ def unpacked(df: DataFrame) -> DataFrame:
     return df.select("_row.*")
 
 
+def finite(vector: Column) -> Column:
+    """Whether a vector is there and has neither null nor non-finite entries."""
+    return vector.isNotNull() & F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+
+
+def floored(vector: Column, scale: int, shift: int = 0) -> Column:
+    """A vector's entries as the integers floor(scale * entry) + shift, computed from doubles."""
+    return F.transform(vector, lambda c: F.floor(c.cast("double") * scale).cast("long") + shift)
+
+
 def held_out(key: Column) -> Column:
     """Rows whose labels are kept from fitting: crc32 of the key as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))

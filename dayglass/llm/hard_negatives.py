@@ -37,7 +37,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayglass.llm.common import broadcast_if_small
+from dayglass.llm.common import broadcast_if_small, finite, floored
 from dayglass.session import materialise, scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -66,14 +66,9 @@ def integer_rows(
     vectors: DataFrame, scale: int, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
     """Rows (``_id``, ``_label``, ``_x``) that take part: each component is floor(scale * component)."""
-    wide = F.transform(F.col(vec_col), lambda c: c.cast("double"))
-    whole = F.forall(wide, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    present = F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.col(vec_col).isNotNull()
-    kept = vectors.where(present).where(whole)
-    return kept.select(
-        F.col(id_col).cast("long").alias("_id"),
-        F.col(label_col).cast("long").alias("_label"),
-        F.transform(wide, lambda c: F.floor(c * scale).cast("long")).alias("_x"),
+    present = F.col(id_col).isNotNull() & F.col(label_col).isNotNull()
+    return vectors.where(present & finite(F.col(vec_col))).select(
+        F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("long").alias("_label"), floored(F.col(vec_col), scale).alias("_x")
     )
 
 
