@@ -4,6 +4,9 @@ Rows are cut into value ranges of about equal size, each range is ordered on
 its own, and every range adds the total of the ranges before it. A plain
 ``Window.orderBy`` (or one partitioned by a handful of models) would put all
 rows into one task or a few.
+
+What several passes need is written to the shared folder first, so an input is
+planned, and run, once.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql.types import NumericType
 
 from dayglass import config
 from dayglass.functions.numeric import unit_hash
+from dayglass.session import materialise
 
 _SAMPLES_PER_RANGE = 32
 _BLOCK = 32
@@ -50,13 +54,16 @@ def _block_heads(points: str) -> Column:
     return F.filter(points, lambda _, i: i % _BLOCK == 0)
 
 
-def count_below(sorted_array: str, value: Column) -> Column:
-    """How many array elements lie below the value: find the block, then look inside."""
+def count_below(sorted_array: str, value: Column, or_equal: bool = False) -> Column:
+    """How many array elements lie below the value (or at it): find the block, then look inside."""
+
+    def under(x: Column) -> Column:
+        return x <= value if or_equal else x < value
 
     def search(blocks: Column) -> Column:
-        before = F.size(F.filter(blocks["heads"], lambda h: h < value))
+        before = F.size(F.filter(blocks["heads"], under))
         first = F.greatest(before - 1, F.lit(0)) * _BLOCK
-        inside = F.filter(F.slice(blocks["points"], first + 1, _BLOCK), lambda p: p < value)
+        inside = F.filter(F.slice(blocks["points"], first + 1, _BLOCK), under)
         return first + F.size(inside)
 
     # one element, bound once: the plan holds the array's subquery a single time
@@ -124,26 +131,17 @@ def _join_offsets(ranged: DataFrame, offsets: DataFrame, within: list[str]) -> D
     return ranged.join(offsets, match)
 
 
-def cumulative_counts(
-    df: DataFrame,
+def running_counts(
+    distinct: DataFrame,
     value: str,
-    sums: dict[str, Column],
+    names: list[str],
     within: tuple[str, ...] = (),
     descending: bool = False,
     ranges: int | None = None,
 ) -> DataFrame:
-    """One row per distinct value with totals and running totals of ``sums``.
-
-    ``within`` names a small set of groups (models, weight choices). Output:
-    ``within``, the value, one column per sum and ``cum_<sum>`` up to and
-    including the value. Ties collapse before any ordering, so a value shared
-    by a third of all rows costs one row.
-    """
+    """Running totals ``cum_<name>`` over a written table that has each (``within``, value) once."""
     groups = list(within)
-    ranges = ranges or range_count(df)
-    distinct = df.groupBy(*groups, value).agg(*[c.alias(n) for n, c in sums.items()])
-    ranged = _with_range(distinct, distinct, value, ranges)
-    names = list(sums)
+    ranged = _with_range(distinct, distinct, value, ranges or range_count(distinct))
     offsets = _range_offsets(ranged, groups, names, descending)
     order = F.desc(value) if descending else F.asc(value)
     running = (
@@ -160,27 +158,123 @@ def cumulative_counts(
     )
 
 
+def cumulative_counts(
+    df: DataFrame,
+    value: str,
+    sums: dict[str, Column],
+    within: tuple[str, ...] = (),
+    descending: bool = False,
+    ranges: int | None = None,
+) -> DataFrame:
+    """One row per distinct value with totals and running totals of ``sums``.
+
+    ``within`` names a small set of groups (models, weight choices). Output:
+    ``within``, the value, one column per sum and ``cum_<sum>`` up to and
+    including the value. Ties collapse before any ordering, so a value shared
+    by a third of all rows costs one row.
+    """
+    counted = df.groupBy(*within, value).agg(*[c.alias(n) for n, c in sums.items()])
+    distinct = materialise(counted, "distinct-values")
+    return running_counts(distinct, value, list(sums), within, descending, ranges)
+
+
+_PLACE_BITS = (1 << 33) - 1  # what monotonically_increasing_id counts inside a partition
+
+
 def row_numbers(
     df: DataFrame,
     order: list[Column],
     within: tuple[str, ...] = (),
     out: str = "row_number",
     ranges: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Number all rows from 1 in ascending ``order``, restarting per ``within`` group.
 
-    The order must end in a unique key; negate a number for descending order.
+    The order must end in a unique key; negate a number for descending order. The rows
+    are written once (``stored``: they are a written table already), shuffled once into
+    ranges of (group, key), and written again with their place in the range. What a range
+    adds is the group's rows in earlier ranges, a table of one row for each range and
+    group that meet.
     """
-    groups = list(within)
-    ranges = ranges or range_count(df)
-    kept = [F.col(c) for c in df.columns]
-    keyed = df.select(*kept, F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]).alias("_key"))
-    ranged = _with_range(keyed, keyed, "_key", ranges).withColumn("_n", F.lit(1))
-    offsets = _range_offsets(ranged, groups, ["_n"], descending=False)
-    local = Window.partitionBy(*groups, "_range").orderBy("_key")
-    joined = _join_offsets(ranged, offsets, groups)
-    number = F.row_number().over(local) + F.col("_before__n")
-    return joined.select(*kept, number.cast("long").alias(out))
+    groups, kept = list(within), [F.col(c) for c in df.columns]
+    keys = [c.alias(f"_key{i}") for i, c in enumerate(order)]
+    source = df if stored else materialise(df, "numbering-rows")
+    keyed = source.select(*kept, *keys)
+    by = [*groups, *[f"_key{i}" for i in range(len(order))]]
+    ranged = keyed.repartitionByRange(ranges or range_count(df), *by).sortWithinPartitions(*by)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE_BITS))
+    placed = ranged.select(*kept, F.spark_partition_id().alias("_range"), place.alias("_place"))
+    placed = materialise(placed, "numbering-ranges")
+    totals = placed.groupBy(*groups, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    group = [F.col(c) for c in groups] or [F.lit(0)]
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1
+    offsets = totals.select(
+        *[F.col(c).alias(f"_group_{c}") for c in groups], F.col("_range").alias("_group__range"), shift.alias("_shift")
+    )
+    joined = _join_offsets(placed, offsets, groups)
+    return joined.select(*kept, (F.col("_place") + F.col("_shift")).cast("long").alias(out))
+
+
+# --- exact quantiles --------------------------------------------------------
+
+SKETCH_ACCURACY = 10_000  # ranks of the sketch are off by at most a share 1 / accuracy
+_ACCURACY_PER_POINT = 100  # more where many quantiles are asked for at once
+
+
+def _cells(df: DataFrame, value: str, shares: list[float], groups: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Running counts that name every value at which one of the quantiles can lie.
+
+    A mergeable sketch gives each quantile a bracket of values that surely holds it. One
+    more pass counts the values: those inside a bracket one by one, those between two
+    brackets together, with a null value. Gives the cells (``within``, value, ``n``,
+    ``cum_n``) and the totals (``within``, ``_total``). No more values are told apart than
+    a share of about 6 / accuracy for each quantile, and all of a group of fewer rows than accuracy.
+    """
+    accuracy = max(SKETCH_ACCURACY, _ACCURACY_PER_POINT * len(shares))
+    rows = materialise(df.select(*groups, F.col(value).alias("_v")).where(F.col("_v").isNotNull()), "quantile-values")
+    slack = 3.0 / accuracy
+    asked = [max(0.0, p - slack) for p in shares] + [min(1.0, p + slack) for p in shares]
+    sketch = F.percentile_approx("_v", F.array(*[F.lit(p) for p in asked]), accuracy)
+    m = len(shares)
+    found = rows.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("_total"), sketch.alias("_points"), F.min("_v").alias("_min"), F.max("_v").alias("_max")
+    )
+    # in a small group a rank is a larger share than the slack: all its values are told apart
+    small = F.col("_total") < accuracy
+    ends = F.concat(F.array_repeat("_min", m), F.array_repeat("_max", m))
+    found = found.withColumn("_points", F.when(small, ends).otherwise(F.col("_points")))
+
+    def blocked(points: Column) -> Column:
+        return F.struct(points.alias("points"), F.filter(points, lambda _, i: i % _BLOCK == 0).alias("heads"))
+
+    lows, highs = F.sort_array(F.slice("_points", 1, m)), F.sort_array(F.slice("_points", m + 1, m))
+    found = found.select(*groups, "_total", blocked(lows).alias("_low"), blocked(highs).alias("_high"))
+    found = materialise(found, "quantile-brackets")
+    bound = with_group_stats(rows, groups, {"_low": F.first("_low"), "_high": F.first("_high")}, source=found)
+    # brackets that begin at or below the value, and those that end below it
+    begun = count_below("_low", F.col("_v"), or_equal=True)
+    ended = count_below("_high", F.col("_v"))
+    placed = bound.select(*groups, "_v", begun.alias("_begun"), ended.alias("_ended"))
+    inside = F.when(F.col("_begun") > F.col("_ended"), F.col("_v"))
+    counted = placed.groupBy(*groups, "_begun", inside.alias("_v")).agg(F.count(F.lit(1)).alias("n"))
+    counted = materialise(counted, "quantile-cells")
+    # between two beginnings values ascend, and what lies outside the brackets comes last
+    own = Window.partitionBy(*groups, "_begun").orderBy(F.asc_nulls_last("_v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = counted.groupBy(*groups, "_begun").agg(F.sum("n").alias("_n"))
+    before = Window.partitionBy(*([F.col(c) for c in groups] or [F.lit(0)])).orderBy("_begun")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = totals.select(
+        *[F.col(c).alias(f"_group_{c}") for c in groups],
+        F.col("_begun").alias("_group__begun"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+    )
+    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_group_{c}")) for c in [*groups, "_begun"]])
+    cells = counted.join(earlier, match).select(
+        *groups, F.col("_v").alias(value), "n", (F.sum("n").over(own) + F.col("_before")).alias("cum_n")
+    )
+    return cells, found.select(*groups, "_total")
 
 
 def quantiles(
@@ -188,18 +282,19 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
-    Works on running counts of distinct values instead of the built-in exact
-    percentile, whose buffer holds every distinct value of a group.
+    A sketch brackets each quantile and only the brackets are counted value by value, so
+    neither a buffer nor a table holds every distinct value of a group.
     """
     groups = list(within)
-    present = df.where(F.col(value).isNotNull())
-    steps = cumulative_counts(present, value, {"n": F.count(F.lit(1))}, within)
-    sized = with_group_stats(steps, groups, {"_total": F.count(F.lit(1))}, source=present)
+    cells, totals = _cells(df, value, [float(p) for p in probs.values()], groups)
+    sized = with_group_stats(cells, groups, {"_total": F.first("_total")}, source=totals)
     parts = []
     for name, p in probs.items():
         position = F.lit(float(p)) * (F.col("_total") - 1)
-        low = F.min(F.when(F.col("cum_n") > F.floor(position), F.col(value)))
-        high = F.min(F.when(F.col("cum_n") > F.ceil(position), F.col(value)))
+        # a cell without a value here would mean that a bracket missed its quantile
+        at = F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))
+        low = F.min_by(at, F.when(F.col("cum_n") > F.floor(position), F.col("cum_n")))
+        high = F.min_by(at, F.when(F.col("cum_n") > F.ceil(position), F.col("cum_n")))
         share = F.max(position - F.floor(position))
         parts.append((low + (high - low) * share).alias(name))
     return sized.groupBy(*groups).agg(*parts)
@@ -208,11 +303,10 @@ def quantiles(
 def quantile_grid(df: DataFrame, value: str, steps: int, within: tuple[str, ...] = ()) -> DataFrame:
     """``steps`` evenly spaced quantiles per group as rows (``within``, ``step``, ``quantile``)."""
     groups = list(within)
-    present = df.where(F.col(value).isNotNull())
-    ladder = cumulative_counts(present, value, {"n": F.count(F.lit(1))}, within)
-    sized = with_group_stats(ladder, groups, {"_total": F.count(F.lit(1))}, source=present)
     last = steps - 1
-    # each distinct value answers the steps whose rank it holds; integers keep this exact
+    cells, totals = _cells(df, value, [i / last for i in range(steps)], groups)
+    sized = with_group_stats(cells, groups, {"_total": F.first("_total")}, source=totals)
+    # each value answers the steps whose rank it holds; integers keep this exact
     span = F.greatest(F.col("_total") - 1, F.lit(1))
 
     def answered(first_rank: Column, end_rank: Column, up: bool) -> Column:

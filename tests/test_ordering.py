@@ -81,6 +81,49 @@ def test_quantile_grid(scores, steps):
         assert np.allclose(part.sort_values("step")["quantile"], want)
 
 
+@pytest.mark.parametrize("accuracy", [50, 400])
+def test_quantiles_count_inside_brackets_only(spark, scores, accuracy, monkeypatch):
+    """Many values between few brackets: exact, and few cells."""
+    monkeypatch.setattr(ordering, "SKETCH_ACCURACY", accuracy)
+    monkeypatch.setattr(ordering, "_ACCURACY_PER_POINT", 1)
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b"], 20_000, p=[0.9, 0.1]), "v": rng.normal(size=20_000)})
+    pdf.loc[rng.random(20_000) < 0.3, "v"] = 0.25
+    df = spark.createDataFrame(pdf).repartition(7)
+    probs = {"q0": 0.0, "q1": 0.01, "q5": 0.5, "q95": 0.95, "q99": 0.9999, "q100": 1.0}
+    for r in ordering.quantiles(df, "v", probs, ("g",)).collect():
+        assert np.allclose([r[k] for k in probs], np.quantile(pdf[pdf.g == r.g].v, list(probs.values())), rtol=0, atol=1e-14)
+    grid = ordering.quantile_grid(df, "v", 21, ("g",)).toPandas()
+    for g, part in grid.groupby("g"):
+        assert np.allclose(part.sort_values("step")["quantile"], np.quantile(pdf[pdf.g == g].v, np.linspace(0, 1, 21)))
+    cells, _ = ordering._cells(df, "v", [0.5, 0.95], ["g"])
+    assert cells.count() < 20_000 * 2 * 7 / accuracy + 10
+
+
+def test_an_input_is_planned_once(spark, scores):
+    """A costly input runs once, whatever is asked of it."""
+    _, df = scores
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    counted = df.mapInPandas(count, df.schema)
+    ordering.row_numbers(counted, [F.col("v"), F.col("id")], ("g",)).collect()
+    ordering.quantiles(counted, "v", {"a": 0.3, "b": 0.7}, ("g",)).collect()
+    ordering.cumulative_counts(counted, "v", {"n": F.count(F.lit(1))}, ("g",)).collect()
+    assert seen.value == 3 * 3000
+
+
+def test_row_numbers_shuffle_rows_once(scores):
+    _, df = scores
+    plan = ordering.row_numbers(df, [F.col("id")], ("g",))._jdf.queryExecution().executedPlan().toString()
+    # what is left to shuffle are the totals of ranges, a few rows
+    assert plan.count("rangepartitioning") == 0 and plan.count("Exchange hashpartitioning") <= 2
+
+
 def test_quantile_of_single_row(spark):
     df = spark.createDataFrame([("a", 3.0)], "g string, v double")
     assert ordering.quantiles(df, "v", {"q": 0.95}, ("g",)).first().q == 3.0
