@@ -1,8 +1,9 @@
 """Isolation forest (Liu, Ting and Zhou, 2008).
 
-Spark draws the samples, groups them by tree and scores all rows. Python sees
-at most ``sample_size`` rows per tree when building, and one Arrow batch at a
-time when scoring.
+Samples are mergeable: every task keeps, for each tree, the rows with the lowest draws
+among those it reads, and the lowest of all tasks make the tree's sample. Python sees
+one Arrow batch and these bounded lists when sampling, at most ``sample_size`` rows per
+tree when building, and one Arrow batch at a time when scoring.
 """
 
 from __future__ import annotations
@@ -47,30 +48,96 @@ class Forest:
     sample_size: int
 
 
+# Increments and multipliers of the splitmix64 generator.
+_GAP, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+
+def _uniform(rows: np.ndarray, stream: np.ndarray | int, seed: int) -> np.ndarray:
+    """Numbers in (0, 1), each a function of a row's hash, a stream and the seed."""
+    with np.errstate(over="ignore"):
+        x = rows.view(np.uint64) + _GAP * (np.asarray(stream).astype(np.uint64) + np.uint64(1) + (np.uint64(seed) << np.uint64(32)))
+        for shift in (30, 27):
+            x = (x ^ (x >> np.uint64(shift))) * _MIX[shift == 27]
+        x ^= x >> np.uint64(31)
+    return ((x >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
+
+
+class _Lowest:
+    """The lowest draws of each tree so far: a bounded list of (draw, features) per tree."""
+
+    def __init__(self, trees: int, size: int, limit: float, seed: int, width: int) -> None:
+        self.size, self.seed, self.trees = size, seed, trees
+        self.limit = np.full(trees, limit)
+        self.draws = [np.empty(0)] * trees
+        self.rows = [np.empty((0, width))] * trees
+
+    def add(self, rows: np.ndarray, copies: np.ndarray, data: np.ndarray) -> None:
+        """Distinct rows by hash, how many equal rows each stands for, and their features."""
+        for tree in range(self.trees):
+            # copies of a row draw on their own: the lowest of m numbers, then the next lowest, ...
+            at, left = np.arange(len(rows)), copies.astype(float)
+            draw, n = np.zeros(len(rows)), 0
+            while len(at):
+                step = _uniform(rows[at], tree + self.trees * n, self.seed)
+                draw = draw + (1 - draw) * -np.expm1(np.log1p(-step) / left)
+                near = draw <= self.limit[tree]
+                at, draw, left = at[near], draw[near], left[near]
+                self._keep(tree, draw, data[at])
+                n += 1
+                more = left > 1
+                at, draw, left = at[more], draw[more], left[more] - 1
+
+    def _keep(self, tree: int, draws: np.ndarray, data: np.ndarray) -> None:
+        if not len(draws):
+            return
+        draws = np.concatenate([self.draws[tree], draws])
+        data = np.concatenate([self.rows[tree], data])
+        if len(draws) > self.size:
+            lowest = np.argpartition(draws, self.size - 1)[: self.size]
+            draws, data = draws[lowest], data[lowest]
+            self.limit[tree] = min(self.limit[tree], draws.max())
+        self.draws[tree], self.rows[tree] = draws, data
+
+
+def _lowest_draws(rows: DataFrame, features: list[str], params: config.ForestParams, size: int, limit: float) -> DataFrame:
+    """Per task and tree the rows with the lowest draws up to ``limit``: (``tree``, ``draw``, features)."""
+    trees, seed = params.trees, params.seed
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = _Lowest(trees, size, limit, seed, len(features))
+        for batch in batches:
+            kept.add(batch["_row"].to_numpy(), batch["_copies"].to_numpy(), batch[features].to_numpy(dtype=float))
+        for tree in range(trees):
+            found = pd.DataFrame(kept.rows[tree], columns=features)
+            found.insert(0, "draw", kept.draws[tree])
+            found.insert(0, "tree", tree)
+            yield found
+
+    return rows.mapInPandas(run, "tree int, draw double, " + ", ".join(f"`{f}` double" for f in features))
+
+
 def _samples(df: DataFrame, features: list[str], key: Column, params: config.ForestParams, n: int, size: int) -> DataFrame:
-    """``tree`` plus features: ``size`` rows per tree, each tree drawing on its own.
+    """``tree``, ``_rank`` plus features: ``size`` rows per tree without replacement, each tree drawing on its own.
 
-    Every row decides by hash which trees it offers itself to, twice as many rows as
-    needed; each tree keeps the lowest draws. Rows that repeat one another decide alike,
-    so a tree may come out short; such a tree is offered every row.
+    Equal rows are counted first and stand for as many draws, so each of them can be
+    drawn and none is written out. A row draws by its hash: samples do not depend on the
+    partitioning. Draws above a limit that the ``size``-th lowest of ``n`` stays below
+    (by more than six deviations) are left out, so a few thousand rows leave the tasks;
+    if a tree should come out short, the limit goes.
     """
-    row = df.select(*[F.col(f).cast("double").alias(f) for f in features], key.cast("string").alias("_key"))
-    row = row.withColumn("_row", F.xxhash64("_key", *features))
-    share = min(1.0, 2.0 * size / n)
-    every = F.sequence(F.lit(0), F.lit(params.trees - 1))
-
-    def draw(tree: Column) -> Column:
-        return F.pmod(F.xxhash64(tree, F.lit(params.seed), "_row"), F.lit(1 << 30)) / float(1 << 30)
-
-    offered = materialise(row.select("*", F.explode(F.filter(every, lambda t: draw(t) < share)).alias("tree")), "forest-offers")
-    # at most ``trees`` rows
-    counts = {r["tree"]: r["count"] for r in offered.groupBy("tree").count().collect()}
-    short = [t for t in range(params.trees) if counts.get(t, 0) < size]
-    if short:
-        again = row.select("*", F.explode(F.array(*[F.lit(t) for t in short])).alias("tree"))
-        offered = offered.where(~F.col("tree").isin(short)).unionByName(again)
-    drawn = Window.partitionBy("tree").orderBy(draw(F.col("tree")), "_row", "_key")
-    ranked = offered.withColumn("_rank", F.row_number().over(drawn))
+    # features that are null count as 0 and integers as doubles, as in scoring
+    row = df.select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features], key.cast("string").alias("_key"))
+    hashed = row.groupBy(F.xxhash64("_key", *features).alias("_row"))
+    distinct = hashed.agg(F.count(F.lit(1)).alias("_copies"), *[F.first(f).alias(f) for f in features])
+    distinct = materialise(distinct, "forest-rows")
+    for limit in (min(1.0, (size + 6.0 * size**0.5 + 12.0) / n), 1.0):
+        drawn = materialise(_lowest_draws(distinct, features, params, size, limit), "forest-draws")
+        # at most ``trees`` rows
+        full = drawn.groupBy("tree").count().where(F.col("count") >= size).count()
+        if full == params.trees:
+            break
+    lowest = Window.partitionBy("tree").orderBy("draw", *features)
+    ranked = drawn.withColumn("_rank", F.row_number().over(lowest))
     return ranked.where(F.col("_rank") <= size).select("tree", "_rank", *features)
 
 

@@ -1,7 +1,10 @@
 """Detection quality: metrics, curves, sweeps, ranks.
 
-Everything that needs an order over scores goes through running counts of
-distinct scores (see ``ordering``); a model is never gathered in one task.
+Everything that needs an order over scores is read from a score ladder: a written
+table of positives and negatives for each model and distinct score. Ladders of parts
+of the predictions merge by addition, so a new day costs its own rows. ``score_steps``
+adds running counts; every curve and area takes such a table, made from its predictions
+where none is given. A model is never gathered in one task.
 """
 
 from __future__ import annotations
@@ -14,14 +17,15 @@ from dayglass.functions.numeric import binary_label
 from dayglass.functions.text import display_name
 from dayglass.operators.ordering import (
     count_below,
-    cumulative_counts,
     quantile_grid,
     quantiles,
     row_numbers,
+    running_counts,
     top_rows,
     union_all,
     with_group_stats,
 )
+from dayglass.session import materialise
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -44,25 +48,34 @@ def valid_rows(predictions: DataFrame) -> DataFrame:
     )
 
 
+def score_ladder(predictions: DataFrame, score: str = "anomaly_score") -> DataFrame:
+    """``model, score, pos, neg``: one row per model and distinct score, in a written table."""
+    y = binary_label(F.col("true_label"))
+    counted = predictions.where(F.col(score).isNotNull()).groupBy("model", F.col(score).alias("score"))
+    return materialise(counted.agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")), "score-ladder")
+
+
+def merge_ladders(ladders: list[DataFrame]) -> DataFrame:
+    """The ladder of all predictions together, from ladders of disjoint parts of them."""
+    merged = union_all(ladders).groupBy("model", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return materialise(merged, "score-ladder")
+
+
+def climb(ladder: DataFrame) -> DataFrame:
+    """A written ladder from its highest score down: running counts ``cum_*`` and the model's ``total_*``."""
+    steps = running_counts(ladder, "score", ["pos", "neg"], ("model",), descending=True)
+    totals = {"total_pos": F.sum("pos"), "total_neg": F.sum("neg")}
+    return with_group_stats(steps, ["model"], totals, source=ladder)
+
+
 def score_steps(predictions: DataFrame, score: str = "anomaly_score") -> DataFrame:
     """Per model and distinct score, descending: positives, negatives and running counts."""
-    labelled = predictions.select(
-        "model", F.col(score).alias("score"), binary_label(F.col("true_label")).alias("y")
-    ).where(F.col("score").isNotNull())
-    steps = cumulative_counts(
-        labelled,
-        "score",
-        {"pos": F.sum("y"), "neg": F.sum(1 - F.col("y"))},
-        within=("model",),
-        descending=True,
-    )
-    totals = {"total_pos": F.sum("y"), "total_neg": F.sum(1 - F.col("y"))}
-    return with_group_stats(steps, ["model"], totals, source=labelled)
+    return climb(score_ladder(predictions, score))
 
 
-def auc_roc(predictions: DataFrame) -> DataFrame:
+def auc_roc(predictions: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """``model, auc_roc``: trapezoid area with ties, 0 when only one class is present."""
-    steps = score_steps(predictions)
+    steps = steps or score_steps(predictions)
     area = F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2.0))
     return steps.groupBy("model").agg(
         _ratio(area, F.max(F.col("total_pos").cast("double") * F.col("total_neg"))).alias("auc_roc")
@@ -104,9 +117,9 @@ def metrics(predictions: DataFrame) -> DataFrame:
     )
 
 
-def roc_points(predictions: DataFrame) -> DataFrame:
+def roc_points(predictions: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """``model, threshold, fpr, tpr`` for every distinct score plus the start at infinity."""
-    steps = score_steps(predictions)
+    steps = steps or score_steps(predictions)
     points = steps.select(
         "model",
         F.col("score").cast("double").alias("threshold"),
@@ -119,9 +132,9 @@ def roc_points(predictions: DataFrame) -> DataFrame:
     return points.unionByName(start)
 
 
-def pr_points(predictions: DataFrame) -> DataFrame:
+def pr_points(predictions: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """``model, threshold, precision, recall`` plus the closing point (1, 0) without threshold."""
-    steps = score_steps(predictions)
+    steps = steps or score_steps(predictions)
     points = steps.select(
         "model",
         F.col("score").cast("double").alias("threshold"),
@@ -134,9 +147,9 @@ def pr_points(predictions: DataFrame) -> DataFrame:
     return points.unionByName(end)
 
 
-def pr_summary(predictions: DataFrame) -> DataFrame:
+def pr_summary(predictions: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """``model, average_precision, pr_auc``: step sum and trapezoid area under the PR curve."""
-    steps = score_steps(predictions)
+    steps = steps or score_steps(predictions)
     tp, both = F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")
     before_tp = tp - F.col("pos")
     before_both = both - F.col("pos") - F.col("neg")
@@ -150,9 +163,9 @@ def pr_summary(predictions: DataFrame) -> DataFrame:
     )
 
 
-def best_f1_on_curve(predictions: DataFrame) -> DataFrame:
+def best_f1_on_curve(predictions: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """Point of the PR curve with the highest F1 per model, the lowest threshold on ties."""
-    steps = score_steps(predictions)
+    steps = steps or score_steps(predictions)
     tp, fp, fn = F.col("cum_pos"), F.col("cum_neg"), F.col("total_pos") - F.col("cum_pos")
     points = steps.select(
         "model",
@@ -279,20 +292,15 @@ def threshold_sweep(
 
 def candidate_sweep(predictions: DataFrame) -> DataFrame:
     """Sweep over every distinct score of a model (strictly above), however many there are."""
-    rows = predictions.select(
-        "model",
-        F.coalesce(F.nanvl("anomaly_score", F.lit(0.0)), F.lit(0.0)).alias("threshold"),
-        binary_label(F.col("true_label")).alias("y"),
-    )
-    sums = {"pos": F.sum("y"), "neg": F.sum(1 - F.col("y")), "one": F.max(F.lit(1))}
-    steps = cumulative_counts(rows, "threshold", sums, ("model",))
-    totals = {"_p": F.sum("y"), "_n": F.sum(1 - F.col("y"))}
-    bound = with_group_stats(steps, ["model"], totals, source=rows)
+    score = F.coalesce(F.nanvl("anomaly_score", F.lit(0.0)), F.lit(0.0))
+    ladder = score_ladder(predictions.withColumn("threshold", score), "threshold")
+    steps = running_counts(ladder.withColumn("one", F.lit(1)), "score", ["pos", "neg", "one"], ("model",))
+    bound = with_group_stats(steps, ["model"], {"_p": F.sum("pos"), "_n": F.sum("neg")}, source=ladder)
     tp, fp, fn = F.col("_p") - F.col("cum_pos"), F.col("_n") - F.col("cum_neg"), F.col("cum_pos")
     return bound.select(
         "model",
         (F.col("cum_one") - 1).cast("long").alias("step"),
-        "threshold",
+        F.col("score").alias("threshold"),
         _ratio(tp, tp + fp).alias("precision"),
         _ratio(tp, tp + fn).alias("recall"),
         _f1(tp, fp, fn).alias("f1_score"),
@@ -409,9 +417,11 @@ def precision_at_k(
     )
 
 
-def recall_at_fpr(predictions: DataFrame, levels: tuple[float, ...] = config.FPR_LEVELS) -> DataFrame:
+def recall_at_fpr(
+    predictions: DataFrame, levels: tuple[float, ...] = config.FPR_LEVELS, steps: DataFrame | None = None
+) -> DataFrame:
     """``model, max_fpr, recall``: recall at the last curve point within the rate."""
-    points = roc_points(predictions)
+    points = roc_points(predictions, steps)
     best = points.groupBy("model").agg(
         *[F.max(F.when(F.col("fpr") <= v, F.col("tpr"))).alias(f"r{i}") for i, v in enumerate(levels)]
     )
@@ -421,13 +431,20 @@ def recall_at_fpr(predictions: DataFrame, levels: tuple[float, ...] = config.FPR
     return best.select("model", F.inline(cells))
 
 
-def positive_ranks(predictions: DataFrame, keys: tuple[str, ...] = ("user", "day")) -> DataFrame:
-    """Rank of every positive by descending score (key breaks ties) and its top percentage."""
+def positive_ranks(
+    predictions: DataFrame, keys: tuple[str, ...] = ("user", "day"), stored: bool = False
+) -> DataFrame:
+    """Rank of every positive by descending score (key breaks ties) and its top percentage.
+
+    ``stored``: the predictions are a written table already.
+    """
     rows = predictions.select(
         "model", *keys, "anomaly_score", binary_label(F.col("true_label")).alias("true_label")
     )
+    if not stored:
+        rows = materialise(rows, "ranked-predictions")
     order = [-F.col("anomaly_score"), *[F.col(k) for k in keys]]
-    ranked = row_numbers(rows, order, ("model",), out="rank")
+    ranked = row_numbers(rows, order, ("model",), out="rank", stored=True)
     sized = with_group_stats(ranked, ["model"], {"_n": F.count(F.lit(1))}, source=rows)
     return sized.where(F.col("true_label") == 1).select(
         "model", *keys, "anomaly_score", "rank", (100.0 * F.col("rank") / F.col("_n")).alias("top_pct")
@@ -453,32 +470,45 @@ def comparison_table(predictions: DataFrame, extra: DataFrame | None = None) ->
     return table.unionByName(metrics(extra).select("model", *rounded))
 
 
-def imbalance_table(predictions: DataFrame, keys: tuple[str, ...] = ("user", "day")) -> DataFrame:
-    """Counts, imbalance ratio, AUC, precision@k, recall at FPR and ranks, for models with positives."""
-    y = binary_label(F.col("true_label"))
-    base = predictions.groupBy("model").agg(
-        F.count(F.lit(1)).alias("n_samples"), F.sum(y).alias("n_insiders")
+def imbalance_table(
+    predictions: DataFrame, keys: tuple[str, ...] = ("user", "day"), ks: tuple[int, ...] = (50, 100)
+) -> DataFrame:
+    """Counts, imbalance ratio, AUC, precision@k, recall at FPR and ranks, for models with positives.
+
+    The predictions are read once. Areas and recalls come from one ladder of the stored
+    rows; a positive's rank tells in which of the first k it counts. A k above the number
+    of a model's rows is left null.
+    """
+    wanted = predictions.select("model", *keys, "anomaly_score", "true_label")
+    rows = materialise(wanted, "imbalance-rows")
+    base = rows.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_samples"), F.sum(binary_label(F.col("true_label"))).alias("n_insiders")
     ).where(F.col("n_insiders") > 0)
-    at_k = precision_at_k(predictions, keys=keys).groupBy("model").agg(
-        *[F.max(F.when(F.col("k") == k, F.col("precision_at_k"))).alias(f"precision_at_{k}") for k in (50, 100)]
-    )
-    at_fpr = recall_at_fpr(predictions).groupBy("model").agg(
-        *[F.max(F.when(F.col("max_fpr") == v, F.col("recall"))).alias(f"recall_at_{round(v * 100)}pct_fpr") for v in (0.05, 0.10)]
+    steps = score_steps(rows)
+    # areas and recalls in one pass over the steps
+    area = F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2.0))
+    fpr, tpr = _ratio(F.col("cum_neg"), F.col("total_neg")), _ratio(F.col("cum_pos"), F.col("total_pos"))
+    levels = {f"recall_at_{round(v * 100)}pct_fpr": v for v in (0.05, 0.10)}
+    curves = steps.groupBy("model").agg(
+        _ratio(area, F.max(F.col("total_pos").cast("double") * F.col("total_neg"))).alias("auc_roc"),
+        *[F.coalesce(F.max(F.when(fpr <= v, tpr)), F.lit(0.0)).alias(n) for n, v in levels.items()],
+    )
+    ranks = positive_ranks(rows, keys, stored=True).groupBy("model").agg(
+        F.min("rank").alias("best_rank"),
+        F.max("rank").alias("worst_rank"),
+        F.avg("rank").alias("avg_rank"),
+        *[F.count_if(F.col("rank") <= k).alias(f"_hits_{k}") for k in ks],
     )
-    ranks = rank_summary(predictions, keys)
     # every side has one row per model
-    joined = base.join(auc_roc(predictions), "model").join(at_k, "model", "left")
-    joined = joined.join(at_fpr, "model", "left").join(ranks, "model", "left")
+    joined = base.join(curves, "model", "left").join(ranks, "model", "left")
     return joined.select(
         display_name(F.col("model")).alias("model"),
         "n_samples",
         "n_insiders",
         F.concat(F.lit("1:"), F.floor(F.col("n_samples") / F.col("n_insiders")).cast("string")).alias("imbalance_ratio"),
-        "auc_roc",
-        "precision_at_50",
-        "precision_at_100",
-        "recall_at_5pct_fpr",
-        "recall_at_10pct_fpr",
+        F.coalesce("auc_roc", F.lit(0.0)).alias("auc_roc"),
+        *[F.when(F.col("n_samples") >= k, _ratio(F.col(f"_hits_{k}"), F.lit(k))).alias(f"precision_at_{k}") for k in ks],
+        *levels,
         "best_rank",
         "worst_rank",
         "avg_rank",

@@ -58,6 +58,42 @@ def test_forest_with_disjoint_samples(planted):
     assert got.where("user = 'odd'").first().anomaly_score > got.approxQuantile("anomaly_score", [0.9], 0.001)[0]
 
 
+def test_forest_samples_of_repeated_rows(spark):
+    """200 000 rows with 40 distinct ones: full trees that see most of them, drawn in proportion."""
+    params = config.ForestParams(trees=50, sample_size=256)
+    rows = spark.range(200_000).select(
+        (F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 40)).cast("double").alias("a"), F.lit("k").alias("k")
+    )
+    drawn = isolation_forest._samples(rows, ["a"], F.col("k"), params, 200_000, 256).toPandas()
+    assert (drawn.groupby("tree").size() == 256).all() and drawn.tree.nunique() == 50
+    assert (drawn.groupby("tree").a.nunique() > 30).all()
+    # a third of the rows, and 1 / 40 of the rest, have the value 0
+    share = (drawn.a == 0).mean()
+    assert abs(share - (1 / 3 + 2 / 3 / 40)) < 5 * (0.35 * 0.65 / len(drawn)) ** 0.5
+    counts = drawn[drawn.a > 0].a.value_counts()
+    assert len(counts) == 39 and counts.min() > 0.7 * counts.mean() and counts.max() < 1.3 * counts.mean()
+
+
+def test_forest_samples_without_replacement(spark):
+    """A sample as large as the table is the table; half of it repeats no more than the table does."""
+    params = config.ForestParams(trees=4, sample_size=60)
+    rows = spark.createDataFrame([(float(i % 20), "k") for i in range(60)], "a double, k string").repartition(5)
+    for size in (60, 30):
+        drawn = isolation_forest._samples(rows, ["a"], F.col("k"), params, 60, size).toPandas()
+        assert (drawn.groupby("tree").size() == size).all()
+        assert drawn.groupby(["tree", "a"]).size().max() <= 3
+        assert size < 60 or (drawn.groupby(["tree", "a"]).size() == 3).all()
+
+
+def test_forest_draws_are_uniform():
+    rows = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 100_000)
+    for stream in (0, 1, 77):
+        u = isolation_forest._uniform(rows, stream, 42)
+        assert abs(u.mean() - 0.5) < 0.005 and abs((u < 0.01).mean() - 0.01) < 0.002 and 0 < u.min() and u.max() < 1
+    a, b = (isolation_forest._uniform(rows, t, 42) for t in (0, 1))
+    assert abs(np.corrcoef(a, b)[0, 1]) < 0.02
+
+
 def test_forest_with_few_rows(planted):
     got = isolation_forest.isolation_forest(planted.limit(3), ["a", "b", "c"])
     assert got.count() == 3
