@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from dayglass import config
-from dayglass.operators.ordering import quantiles
+from dayglass.operators.ordering import quantiles, row_numbers
+from dayglass.session import materialise
 
 
 def drop_unparsed_dates(df: DataFrame, ts: str = "date") -> DataFrame:
@@ -60,9 +61,13 @@ def fill_missing(
         means = df.agg(*[F.avg(c).alias(c) for c in chosen]).first()
         fills = {c: F.lit(means[c]) for c in chosen}
     elif strategy == "fill_median":
-        fills = {c: quantiles(df.select(c), c, {"m": 0.5}).scalar() for c in chosen}
+        # one row of medians, all columns in one pass each of sketch and counts
+        long = _unpivoted(df, chosen, "double")
+        medians = {r["_column"]: r["m"] for r in quantiles(long, "_value", {"m": 0.5}, ("_column",)).collect()}
+        fills = {c: F.lit(medians.get(c)) for c in chosen}
     elif strategy == "fill_mode":
-        fills = {c: _mode(df, c) for c in chosen}
+        modes = modes_of(df, chosen).first()
+        fills = {c: F.lit(modes[c]).cast(df.schema[c].dataType) for c in chosen}
     else:
         raise ValueError(f"unknown strategy {strategy}")
     return df.select(
@@ -70,9 +75,37 @@ def fill_missing(
     )
 
 
-def _mode(df: DataFrame, column: str) -> Column:
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.orderBy(F.desc("_n"), F.asc(column)).limit(1).select(column).scalar()
+def _unpivoted(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
+    """(``_column``, ``_value``) of all non-null cells, cast to one type."""
+    cells = [F.struct(F.lit(c).alias("_column"), F.col(c).cast(kind).alias("_value")) for c in columns]
+    return df.select(F.inline(F.array(*cells))).where(F.col("_value").isNotNull())
+
+
+def modes_of(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row with each column's most frequent value, the smallest one on ties; null where all are.
+
+    Cells become (column, value) and are counted in one pass, however many columns there
+    are. A value travels in a slot of its own type, so it compares as it does at home.
+    """
+    kinds = sorted({df.schema[c].dataType.simpleString() for c in columns})
+    slot = {k: f"_slot{i}" for i, k in enumerate(kinds)}
+
+    def cell(place: int, name: str) -> Column:
+        own = df.schema[name].dataType.simpleString()
+        held = [(F.col(name) if k == own else F.lit(None)).cast(k).alias(slot[k]) for k in kinds]
+        return F.struct(F.lit(place).alias("_column"), F.col(name).isNotNull().alias("_there"), *held)
+
+    cells = df.select(F.inline(F.array(*[cell(i, c) for i, c in enumerate(columns)]))).where("_there")
+    counted = cells.groupBy("_column", *slot.values()).agg(F.count(F.lit(1)).alias("_n"))
+    value = F.struct(*slot.values())
+    first = F.struct(-F.col("_n"), *slot.values())
+
+    def mode(place: int, name: str) -> Column:
+        mine = F.col("_column") == place
+        best = F.min_by(F.when(mine, value), F.when(mine, first))
+        return best[slot[df.schema[name].dataType.simpleString()]].alias(name)
+
+    return counted.agg(*[mode(i, c) for i, c in enumerate(columns)])
 
 
 def fill_by_type(df: DataFrame, text: str = "UNKNOWN") -> DataFrame:
@@ -119,12 +152,37 @@ def one_hot(df: DataFrame, column: str, categories: Iterable[str]) -> DataFrame:
     return df.withColumns(flags).drop(column)
 
 
-def categories_of(df: DataFrame, column: str) -> list[str]:
-    """Sorted category names for ``one_hot``, which makes a column of each."""
-    found = df.select(column).where(F.col(column).isNotNull()).distinct().collect()
+MAX_CATEGORIES = 1_000  # columns that a one-hot table may get
+
+
+def categories_of(df: DataFrame, column: str, limit: int = MAX_CATEGORIES) -> list[str]:
+    """Sorted category names for ``one_hot``, which makes a column of each; more than ``limit`` are refused."""
+    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"{column} has more than {limit} categories: use category_dictionary and category_index")
     return sorted(r[0] for r in found)
 
 
+def category_dictionary(df: DataFrame, column: str) -> DataFrame:
+    """Written table ``category, index`` of all categories in ascending order, indexed from 0; any number of them."""
+    distinct = df.select(F.col(column).alias("category")).where(F.col("category").isNotNull()).distinct()
+    numbered = row_numbers(distinct, [F.col("category")], out="index")
+    return materialise(numbered.withColumn("index", F.col("index") - 1), "categories")
+
+
+def category_index(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
+    """Replace the column by ``<column>_index``, the place of the single 1 in its one-hot row.
+
+    Null and what the dictionary does not have get the place after the last, the null
+    category of ``one_hot``. The dictionary is joined, broadcast where its size allows.
+    """
+    last = dictionary.agg(F.count(F.lit(1))).scalar()
+    known = dictionary.select(F.col("category").alias("_category"), F.col("index").alias("_index"))
+    joined = df.join(known, F.col(column) == F.col("_category"), "left")
+    kept = [F.col(c) for c in df.columns if c != column]
+    return joined.select(*kept, F.coalesce("_index", last).alias(f"{column}_index"))
+
+
 def add_pseudonym(df: DataFrame, column: str) -> DataFrame:
     from dayglass.functions.text import pseudonym
 

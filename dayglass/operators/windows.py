@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from dayglass import config
 from dayglass.functions.numeric import zscore
+from dayglass.operators.moments import moments, sample_std
 
 
 def self_zscores(
@@ -33,28 +34,25 @@ def self_zscores(
 
 
 def peer_zscores(
-    daily: DataFrame, measures: list[str], group: tuple[str, ...] = ("role", "date")
+    daily: DataFrame, measures: list[str], group: tuple[str, ...] = ("role", "date"), stats: DataFrame | None = None
 ) -> DataFrame:
     """``<measure>_zscore_peer``: against everyone of the same role on the same date.
 
-    The statistics are aggregated first and joined back. A window over the
-    group would pull a role with a third of all users into one task per date.
-    Spark broadcasts the statistics when their measured size allows.
+    ``stats`` are stored moments of the groups (see ``moments``), made from ``daily``
+    where none are given. They are joined back: a window over the group would pull a role
+    with a third of all users into one task per date. Spark broadcasts the moments when
+    their measured size allows.
     """
     keys = list(group)
-    parts = []
-    for m in measures:
-        x = F.col(m).cast("double")
-        parts.append(F.avg(x).alias(f"_avg_{m}"))
-        parts.append(F.stddev_samp(x).alias(f"_std_{m}"))
-    stats = daily.groupBy(*keys).agg(*parts)
+    stats = moments(daily, keys, measures) if stats is None else stats
+    own = stats.select(*keys, *[F.col(m).alias(f"_of_{m}") for m in measures])
     scores = [
-        zscore(F.col(m).cast("double"), F.col(f"_avg_{m}"), F.col(f"_std_{m}")).alias(
-            f"{m}_zscore_peer"
-        )
+        zscore(
+            F.col(m).cast("double"), F.when(F.col(f"_of_{m}.n") > 0, F.col(f"_of_{m}.mean")), sample_std(F.col(f"_of_{m}"))
+        ).alias(f"{m}_zscore_peer")
         for m in measures
     ]
-    return daily.join(stats, keys).select(*[F.col(c) for c in daily.columns], *scores)
+    return daily.join(own, keys).select(*[F.col(c) for c in daily.columns], *scores)
 
 
 def sequences(

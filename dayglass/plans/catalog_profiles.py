@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from dayglass import config
 from dayglass.functions import temporal
 from dayglass.functions.numeric import guarded_ratio
-from dayglass.operators import enrich, ordering, profiles, scaling, splits, windows
+from dayglass.operators import enrich, moments, ordering, profiles, scaling, splits, windows
 from dayglass.plans import stages
 from dayglass.plans.oracle_parts import ACT, DAILY, FLAGS, ROLE_DAILY, r
 from dayglass.plans.registry import query
-from dayglass.session import scratch_path
+from dayglass.session import materialise, scratch_path
 from dayglass.sinks import writers
 from dayglass.sources import adapter
 
@@ -224,15 +224,16 @@ def self_z(spark: Spark, sf_dir: str) -> DataFrame:
 )
 def peer_z(spark: Spark, sf_dir: str) -> DataFrame:
     """Z-scores within role and date."""
-    daily = profiles.role_daily_profile(flagged_log(spark, sf_dir))
+    daily = materialise(profiles.role_daily_profile(flagged_log(spark, sf_dir)), "role-daily")
     scored = windows.peer_zscores(daily, list(ROLE_MEASURES))
     kept = ["date", "user_id", "dataset", "role"]
     return rounded(scored.select(*kept, *[f"{m}_zscore_peer" for m in ROLE_MEASURES]), 4)
 
 
 def enriched_daily(spark: Spark, sf_dir: str) -> DataFrame:
-    daily = profiles.role_daily_profile(flagged_log(spark, sf_dir))
-    return windows.peer_zscores(windows.self_zscores(daily, list(ROLE_MEASURES)), list(ROLE_MEASURES))
+    daily = materialise(profiles.role_daily_profile(flagged_log(spark, sf_dir)), "role-daily")
+    stats = moments.moments(daily, ["role", "date"], list(ROLE_MEASURES))
+    return windows.peer_zscores(windows.self_zscores(daily, list(ROLE_MEASURES)), list(ROLE_MEASURES), stats=stats)
 
 
 _Z = [f"{m}_zscore_{k}" for k in ("self", "peer") for m in ROLE_MEASURES]

@@ -566,6 +566,21 @@ def one_hot(spark: Spark, sf_dir: str) -> DataFrame:
     return cleaning.one_hot(people, "role", cleaning.categories_of(people, "role"))
 
 
+@query(
+    "p26_category_index",
+    """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 9 <> 0 THEN c_nationkey || '-' || c_mktsegment END AS role FROM customer),
+    d AS (SELECT role, row_number() OVER (ORDER BY role) - 1 AS i FROM (SELECT DISTINCT role FROM c WHERE role IS NOT NULL))
+    SELECT c_custkey, coalesce(i, (SELECT count(*) FROM d)) AS role_index FROM c LEFT JOIN d USING (role)""",
+)
+def category_index(spark: Spark, sf_dir: str) -> DataFrame:
+    """Sparse form of the one-hot columns: the place of the 1."""
+    name = F.concat_ws("-", F.col("c_nationkey").cast("string"), "c_mktsegment")
+    people = adapter.table(spark, sf_dir, "customer").select(
+        "c_custkey", F.when(F.col("c_custkey") % 9 != 0, name).alias("role")
+    )
+    return cleaning.category_index(people, "role", cleaning.category_dictionary(people, "role"))
+
+
 @query(
     "p27_mean_absolute",
     f"""WITH {DAILY} SELECT "user", day, {r('(abs(daily_activity_count - 3) + abs(unique_pcs - 5) + abs(logon_count)) / 3.0')}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,23 +15,38 @@ from dayglass.operators.ordering import union_all
 from dayglass.sources.schemas import HEADERLESS
 
 
+_SNIFFED_BYTES = 1 << 16  # of a file, at most
+
+
+def _first_line(spark: SparkSession, file: str) -> str:
+    """The first line of one file, from its first bytes."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        line = jvm.org.apache.hadoop.io.Text()
+        reader = jvm.org.apache.hadoop.util.LineReader(codec.createInputStream(stream) if codec else stream)
+        reader.readLine(line, _SNIFFED_BYTES, _SNIFFED_BYTES)
+        return line.toString()
+    finally:
+        stream.close()
+
+
 def has_header(spark: SparkSession, path: str) -> bool:
     """False when the first lines start with ``{``, the mark of files without header.
 
-    All files of a folder must agree; a mixed folder is refused.
+    All files of a folder must agree; a mixed folder is refused. The files are listed and
+    each is opened for its first bytes only, so no job runs and what is read does not grow
+    with the log. Empty files do not count.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("at"),
-        F.monotonically_increasing_id().alias("row"),
-        F.trim("value").startswith("{").alias("bare"),
-    )
-    # per file the first line of its first block; one row in the end
-    firsts = lines.groupBy("file").agg(F.min_by("bare", F.struct("at", "row")).alias("bare"))
-    found = firsts.agg(F.min("bare").alias("all_bare"), F.max("bare").alias("any_bare")).first()
-    if found["all_bare"] != found["any_bare"]:
+    files = spark.read.text(path).inputFiles()
+    with ThreadPoolExecutor(16) as pool:
+        firsts = [line.strip() for line in pool.map(lambda f: _first_line(spark, f), files)]
+    bare = {line.startswith("{") for line in firsts if line}
+    if len(bare) > 1:
         raise ValueError(f"{path} mixes files with and without header")
-    return not found["any_bare"]
+    return bare != {True}
 
 
 def read_log_csv(spark: SparkSession, path: str, kind: str, multi_line: bool = False) -> DataFrame:

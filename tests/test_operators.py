@@ -16,6 +16,7 @@ from dayglass.operators import (
     ensemble,
     evaluation,
     labelling,
+    moments,
     profiles,
     scaling,
     splits,
@@ -369,3 +370,80 @@ def test_joins_without_broadcast_give_the_same(spark):
         assert run() == small and len(small) == 600
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_moments_merge(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(g), float(v) + 1e6, None if v < 0 else float(v)) for g, v in zip(rng.integers(0, 5, 600), rng.normal(size=600))]
+    schema = "g int, a double, b double"
+    df = spark.createDataFrame(rows, schema)
+    whole = moments.moments(df, ["g"], ["a", "b"])
+    parts = [moments.moments(spark.createDataFrame(rows[i::4], schema).where("g < 4 or a > 0"), ["g"], ["a", "b"]) for i in range(4)]
+    merged = {r.g: r for r in moments.merge_moments(parts, ["g"]).collect()}
+    for r in whole.collect():
+        for m in ("a", "b"):
+            x = np.array([v[1 if m == "a" else 2] for v in rows if v[0] == r.g and v[1 if m == "a" else 2] is not None])
+            for got in (r[m], merged[r.g][m]):
+                assert got.n == len(x) and np.isclose(got["mean"], x.mean(), rtol=1e-14)
+                assert np.isclose(got.m2, ((x - x.mean()) ** 2).sum(), rtol=1e-9)
+
+
+def test_peer_zscores_from_stored_moments(spark):
+    """A new day is scored from its own moments and appended to the others."""
+    rows = [(d, f"u{i}", "r" + str(i % 2), float(i * d % 7)) for d in (1, 2, 3) for i in range(8)]
+    daily = spark.createDataFrame(rows, "date int, user_id string, role string, m double")
+    old, new = daily.where("date < 3"), daily.where("date = 3")
+    stats = moments.merge_moments([moments.moments(p, ["role", "date"], ["m"]) for p in (old, new)], ["role", "date"])
+    want = {(r.date, r.user_id): r.m_zscore_peer for r in windows.peer_zscores(daily, ["m"]).collect()}
+    got = {(r.date, r.user_id): r.m_zscore_peer for r in windows.peer_zscores(daily, ["m"], stats=stats).collect()}
+    assert want.keys() == got.keys() and all(np.isclose(got[k], want[k]) for k in want)
+
+
+def test_modes_of_many_columns_in_one_pass(spark):
+    rows = [(1, "b", None, 2.5, True), (1, "a", None, 2.5, None), (2, "b", None, 1.5, False), (2, "a", None, None, False)]
+    df = spark.createDataFrame(rows, "i int, s string, n int, d double, f boolean")
+    modes = cleaning.modes_of(df, df.columns)
+    assert modes.first().asDict() == {"i": 1, "s": "a", "n": None, "d": 2.5, "f": False}
+    filled = cleaning.fill_missing(df, "fill_mode")
+    assert filled.dtypes == df.dtypes and [r.d for r in filled.where("i = 2 and s = 'a'").collect()] == [2.5]
+    plan = modes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    medians = cleaning.fill_missing(df, "fill_median", ["i", "d", "n"]).where("s = 'a' and i = 2").first()
+    assert medians.d == 2.5 and medians.n is None
+
+
+def test_category_dictionary_and_index(spark):
+    rows = [(i, None if i % 10 == 0 else f"c{i % 137:03d}") for i in range(2_000)]
+    df = spark.createDataFrame(rows, "k int, c string")
+    dictionary = cleaning.category_dictionary(df, "c")
+    names = sorted({c for _, c in rows if c})
+    assert {r.category: r.index for r in dictionary.collect()} == {c: i for i, c in enumerate(names)}
+    more = df.unionByName(spark.createDataFrame([(9999, "unseen")], df.schema))
+    got = {r.k: r.c_index for r in cleaning.category_index(more, "c", dictionary).collect()}
+    assert got == {**{k: names.index(c) if c else len(names) for k, c in rows}, 9999: len(names)}
+    with pytest.raises(ValueError, match="more than 100"):
+        cleaning.categories_of(df, "c", limit=100)
+
+
+def test_header_sniff_reads_first_bytes_only(spark, tmp_path):
+    import gzip
+
+    from dayglass.sources import logs
+
+    def folder(name, *firsts):
+        (tmp_path / name).mkdir()
+        for i, first in enumerate(firsts):
+            (tmp_path / name / f"part {i}.csv").write_text(first + "x,y\n" * 50_000)
+        (tmp_path / name / "empty.csv").write_text("")
+        return str(tmp_path / name)
+
+    spark.sparkContext.setJobGroup("sniff", "no job may run")
+    assert logs.has_header(spark, folder("with", "id,date\n", "id,date\n"))
+    assert not logs.has_header(spark, folder("without", "{a},1\n", " {b},2\n"))
+    with pytest.raises(ValueError, match="mixes"):
+        logs.has_header(spark, folder("mixed", "id,date\n", "{b},2\n"))
+    with gzip.open(tmp_path / "zipped.csv.gz", "wt") as f:
+        f.write("{a},1\n")
+    assert not logs.has_header(spark, str(tmp_path / "zipped.csv.gz"))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("sniff")
+    spark.sparkContext.setJobGroup("tests", "")
