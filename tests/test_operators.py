@@ -417,7 +417,7 @@ def test_category_dictionary_and_index(spark):
     df = spark.createDataFrame(rows, "k int, c string")
     dictionary = cleaning.category_dictionary(df, "c")
     names = sorted({c for _, c in rows if c})
-    assert {r.category: r.index for r in dictionary.collect()} == {c: i for i, c in enumerate(names)}
+    assert {r["category"]: r["index"] for r in dictionary.collect()} == {c: i for i, c in enumerate(names)}
     more = df.unionByName(spark.createDataFrame([(9999, "unseen")], df.schema))
     got = {r.k: r.c_index for r in cleaning.category_index(more, "c", dictionary).collect()}
     assert got == {**{k: names.index(c) if c else len(names) for k, c in rows}, 9999: len(names)}
