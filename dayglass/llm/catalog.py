@@ -235,28 +235,44 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op9_substring_dedup",
     r"""
-    WITH units AS (
-      SELECT doc_id, n - 1 AS line, lines[n] AS line_text, list_sum([length(x) + 1 for x in lines[1:n - 1]]) AS before,
-             array_to_string(regexp_extract_all(
-               translate(lines[n], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    WITH cut AS (
+      SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+             regexp_extract_all(coalesce(text, ''), '[^.!?\n\x{3002}\x{FF01}\x{FF1F}]*[.!?\n\x{3002}\x{FF01}\x{FF1F}]+|[^.!?\n\x{3002}\x{FF01}\x{FF1F}]+') AS u
+      FROM documents
+    ), tiles AS (
+      SELECT r, doc_id, i, x, sum(length(x)) OVER (PARTITION BY r ORDER BY i) - length(x) AS pos,
+             array_to_string(regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), ' ') AS words
-      FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines,
-                   unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS n FROM documents)
+      FROM (SELECT r, doc_id, unnest(u) AS x, unnest(range(1, len(u) + 1)) AS i FROM cut)
+    ), units AS (
+      SELECT *, row_number() OVER (PARTITION BY r ORDER BY i) - 1 AS place,
+             greatest(len(string_split(words, ' ')), length(replace(words, ' ', '')) // 8) AS w
+      FROM tiles WHERE words <> ''
     ), ranked AS (
-      SELECT *, row_number() OVER (PARTITION BY words ORDER BY doc_id, line) AS k
-      FROM units WHERE len(string_split(words, ' ')) >= 5
+      SELECT *, row_number() OVER (PARTITION BY words ORDER BY doc_id, place) AS k FROM units
+    ), runs AS (
+      SELECT r, min(pos) AS start, max(pos + length(x)) AS stop,
+             sum(CASE WHEN w >= 3 THEN w ELSE 0 END) AS weight
+      FROM (SELECT *, place - row_number() OVER (PARTITION BY r ORDER BY place) AS run FROM ranked WHERE k > 1)
+      GROUP BY r, run
     ), gone AS (
-      SELECT doc_id, line, coalesce(before, 0)::BIGINT AS at, length(line_text) AS n FROM ranked WHERE k > 1
+      SELECT r, start, stop FROM runs WHERE weight >= 20
+    ), kept AS (
+      SELECT r, string_agg(x, '' ORDER BY i) AS t
+      FROM tiles ANTI JOIN gone ON tiles.r = gone.r AND tiles.pos >= gone.start AND tiles.pos < gone.stop GROUP BY r
+    ), spans AS (
+      SELECT r, count(*) AS n, sum(stop - start) AS chars,
+             string_agg(start::BIGINT || '+' || (stop - start)::BIGINT, ',' ORDER BY start) AS spans
+      FROM gone GROUP BY r
     )
-    SELECT u.doc_id, count(g.line) AS n_removed, coalesce(sum(g.n), 0)::BIGINT AS removed_chars,
-           coalesce(string_agg(g.at || '+' || g.n, ',' ORDER BY g.at), '') AS removed_spans,
-           sha256(coalesce(string_agg(u.line_text, chr(10) ORDER BY u.line) FILTER (g.line IS NULL), '')) AS cleaned_sha256
-    FROM units u LEFT JOIN gone g USING (doc_id, line) GROUP BY 1
+    SELECT doc_id, coalesce(n, 0) AS n_removed, coalesce(chars, 0)::BIGINT AS removed_chars, coalesce(spans, '') AS removed_spans,
+           sha256(coalesce(kept.t, '')) AS cleaned_sha256
+    FROM cut LEFT JOIN spans USING (r) LEFT JOIN kept USING (r)
     """,
 )
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines removed from every document because an earlier document or place has them."""
-    done = substring_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    """Passages removed from every document because an earlier document or place has them."""
+    done = substring_dedup.passage_dedup(table(spark, sf_dir, "documents"))
     removed = F.coalesce("_removed", F.array().cast(done.schema["_removed"].dataType))
     spans = F.transform(removed, lambda u: F.concat(u["start"].cast("string"), F.lit("+"), u["length"].cast("string")))
     return done.select(
