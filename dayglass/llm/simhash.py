@@ -19,6 +19,7 @@ null id never is a component's id unless all its ids are null. Empty tables give
 
 from __future__ import annotations
 
+import math
 import re
 import sys
 from collections.abc import Callable, Iterator
@@ -186,30 +187,13 @@ def near_duplicates(
 # exactly 0.8 shares none of ``BANDS`` bands with chance 4e-13. Every pair that shares one
 # is a candidate only: links are decided by the exact similarity of the shingle sets.
 
-WIDE_WORDS = 5  # of 64 bits
 BANDS, BAND_ROWS = 72, 5
-BLOCK = 256  # members of a band value that are compared with each other in one task
+BLOCK = 64  # members of a band value up to which they are compared with each other
+MOST_CELLS = 1 << 21  # of the table of shingle counts that is broadcast
 _CHUNK = 2048  # shingles that meet all hash functions at a time
 _ODD = np.random.default_rng(42).integers(0, 1 << 31, (2, BANDS * BAND_ROWS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def wide_fingerprint(text: str | None, width: int) -> list[int]:
-    hashes = shingle_set(text, width)
-    if not len(hashes):
-        return [0] * WIDE_WORDS
-    ones = np.zeros((WIDE_WORDS, 64), dtype=np.int64)
-    for i in range(0, len(hashes), _BLOCK):
-        block = hashes[i : i + _BLOCK]
-        for k in range(WIDE_WORDS):
-            # one hash gives all words: shifted by a constant each, then mixed again
-            x = block + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            octets = (x ^ (x >> np.uint64(31))).astype(">u8").view(np.uint8).reshape(-1, 8)
-            ones[k] += np.unpackbits(octets, axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes), axis=1).view(">i8").ravel().tolist()
-
-
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Hashes of the distinct shingles, sorted."""
     parts, digest = shingles(text, width), xxhash.xxh64_intdigest
@@ -233,21 +217,87 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def prefix_length(size: int, similarity: float) -> int:
+    """Of two sets that similar, in any common order of elements, the first so many hold one they share."""
+    return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
+
+
+def _rare_first(sets: DataFrame, similarity: float) -> DataFrame:
+    """Rows (``_at``, ``_node``): the rarest shingles of each set, enough to meet every set that similar.
+
+    Rarity is read from a table of counts with a bounded number of cells that shingles
+    are hashed to. Any order that all sets share meets all pairs, so what the counts leave
+    open, or get wrong, costs time and no pair. Texts that merely have a common passage
+    meet nobody by it: their own words are rarer.
+    """
+    total = sets.agg(F.sum(F.size("_set"))).first()[0] or 1
+    cells = min(MOST_CELLS, 1 << max(10, int(total).bit_length()))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(cells, dtype=np.int64)
+        for batch in batches:
+            for own in batch["_set"]:
+                np.add.at(counts, np.asarray(own, dtype=np.int64) & (cells - 1), 1)
+        used = np.flatnonzero(counts)
+        yield pd.DataFrame({"cell": used, "n": counts[used]})
+
+    # at most ``cells`` rows
+    found = sets.mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(cells, dtype=np.uint32)
+    often[found["cell"].to_numpy(dtype=np.int64)] = np.minimum(found["n"].to_numpy(dtype=np.int64), (1 << 32) - 1)
+    shared = sets.sparkSession.sparkContext.broadcast(often)
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = shared.value
+        for batch in batches:
+            values, nodes = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+            for node, own in zip(batch["_node"], batch["_set"]):
+                own = np.asarray(own, dtype=np.int64)
+                first = np.lexsort((own, counts[own & (cells - 1)]))[: prefix_length(len(own), similarity)]
+                values.append(own[first])
+                nodes.append(np.full(len(first), node, dtype=np.int64))
+            yield pd.DataFrame({"_at": np.concatenate(values), "_node": np.concatenate(nodes)})
+
+    return sets.mapInPandas(pick, "_at long, _node long")
+
+
+def _sized(rows: DataFrame, label: str) -> DataFrame:
+    """Values that several nodes have, written: (``_at``, ``_node``, ``_n``)."""
+    sizes = rows.groupBy("_at").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return materialise(rows.join(sizes, "_at").select("_at", "_node", "_n"), label)
+
+
 def similar_links(
     keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, block: int = BLOCK
 ) -> DataFrame:
     """Links (``a``, ``b``) that hang together what is of at least that exact similarity and shares a band.
 
     ``keyed`` has distinct rows (``_node``, ``_keys``); ``sets_of`` gives (``_node``, ``_set``)
-    for a table of nodes. Every member of a band value is compared with its smallest one
-    first. Then members that do not hang together yet are compared with each other: pair
-    by pair up to ``block`` members, block against block beyond, so that every two meet
-    in some task and no task holds more than a few blocks.
+    for a table of nodes. Nodes that no band value holds more than ``block`` of are
+    compared where they meet. Nodes of a crowded value meet each other anew, by their
+    rarest shingles instead of their bands, which loses no pair of that similarity.
     """
-    rows = keyed.select("_node", F.explode("_keys").alias("_at"))
-    sizes = rows.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_node").alias("_first")).where("_n > 1")
-    met = materialise(rows.join(sizes, "_at").select("_at", "_node", "_n", "_first"), "similar-meetings")
+    met = _sized(keyed.select("_node", F.explode("_keys").alias("_at")), "similar-meetings")
     sets = materialise(sets_of(met.select("_node").distinct()).select("_node", "_set"), "similar-sets")
+    busy = materialise(met.where(F.col("_n") > block).select("_node").distinct(), "similar-busy")
+    marked = busy.select(F.col("_node").alias("_known"))
+    light = met.where(F.col("_n") <= block).join(marked, F.col("_node") == F.col("_known"), "left")
+    light = light.select("_at", "_node", "_n", F.col("_known").isNotNull().alias("_busy"))
+    near = _group_links(light, sets, similarity, block)
+    crowd = _sized(_rare_first(sets.join(busy, "_node", "left_semi"), similarity), "similar-rare")
+    crowd = crowd.withColumn("_busy", F.lit(False))
+    return near.unionByName(_group_links(crowd, sets, similarity, block))
+
+
+def _group_links(met: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links between nodes of a value: rows (``_at``, ``_node``, ``_n`` of the value, ``_busy``).
+
+    Two busy nodes are left to others. Every member of a value is compared with the
+    member that shares most with all others first. Then members that do not hang together
+    yet are compared with each other: pair by pair up to ``block`` members, block against
+    block beyond, so that every two meet in some task and no task holds more than a few
+    blocks.
+    """
 
     def alike(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("_node").alias("a"), F.col("_set").alias("_a"))
@@ -257,18 +307,25 @@ def similar_links(
         met = pairs.distinct().join(left, "a").join(right, "b").where(near)
         return met.where(shared / (both - shared) >= similarity).select("a", "b")
 
-    stars = met.where(F.col("_node") != F.col("_first")).select(F.col("_first").alias("a"), F.col("_node").alias("b"))
-    stars = materialise(alike(stars), "similar-stars")
+    # a copy that others were made from shares more of its values, with more of them, than they do
+    popular = met.groupBy("_node").agg(F.sum("_n").alias("_popular"))
+    ranked = met.join(popular, "_node").select("_at", "_node", "_busy", "_popular")
+    hub = F.max_by(F.struct(F.col("_node").alias("node"), F.col("_busy").alias("busy")), F.struct("_popular", "_node"))
+    hubs = materialise(ranked.groupBy("_at").agg(hub.alias("_hub")), "similar-hubs")
+    others = met.join(hubs, "_at").where((F.col("_node") != F.col("_hub.node")) & ~(F.col("_busy") & F.col("_hub.busy")))
+    ends = F.least("_hub.node", "_node").alias("a"), F.greatest("_hub.node", "_node").alias("b")
+    stars = materialise(alike(others.select(*ends)), "similar-stars")
     roots = components(stars).withColumnRenamed("node", "_node")
-    rooted = met.drop("_first").join(roots, "_node", "left").withColumn("_root", F.coalesce("root", "_node")).drop("root")
+    rooted = met.join(roots, "_node", "left").withColumn("_root", F.coalesce("root", "_node")).drop("root")
     rooted = materialise(rooted, "similar-rooted")
-    apart = rooted.groupBy("_at").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high"))
-    rest = rooted.join(apart.where("_low < _high").select("_at"), "_at")
+    apart = rooted.groupBy("_at").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high"), F.min("_busy").alias("_all_busy"))
+    rest = rooted.join(apart.where((F.col("_low") < F.col("_high")) & ~F.col("_all_busy")).select("_at"), "_at")
 
     few = rest.where(F.col("_n") <= block)
-    left = few.select("_at", F.col("_node").alias("a"), F.col("_root").alias("_a"))
-    right = few.select("_at", F.col("_node").alias("b"), F.col("_root").alias("_b"))
-    pairs = left.join(right, "_at").where((F.col("a") < F.col("b")) & (F.col("_a") != F.col("_b"))).select("a", "b")
+    left = few.select("_at", F.col("_node").alias("a"), F.col("_root").alias("_a"), F.col("_busy").alias("_ab"))
+    right = few.select("_at", F.col("_node").alias("b"), F.col("_root").alias("_b"), F.col("_busy").alias("_bb"))
+    wanted = (F.col("a") < F.col("b")) & (F.col("_a") != F.col("_b")) & ~(F.col("_ab") & F.col("_bb"))
+    pairs = left.join(right, "_at").where(wanted).select("a", "b")
 
     # blocks of one large component each, and blocks of smaller ones
     crowd = rest.where(F.col("_n") > block)

@@ -156,3 +156,34 @@ def test_near_copies_match_exact_components(spark):
     want = set(grouped(order, same).values())
     got = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id for r in got.collect()} == want
+
+
+def test_near_copies_among_texts_with_one_common_passage(spark):
+    """A family of 3 000 near copies, and as many texts that share a passage but are no copies."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(140)]
+    passage = [f"p{i}" for i in range(110)]
+    rows, copies = [], 3_000
+    for k in range(copies):
+        words = list(base)
+        if k:
+            words[rng.randrange(140)] = f"edit{k}"
+        rows.append((k, " ".join(words)))
+    for k in range(copies):
+        own = [f"own{k}x{i}" for i in range(32)]
+        rows.append((10_000 + k, " ".join(own[:16] + passage + own[16:])))
+    rows += [(20_000 + k, " ".join([f"own{k}x{i}" for i in range(16)] + passage + [f"own{k}x{i}" for i in range(16, 32)] + ["end"])) for k in range(5)]
+    got = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert got == {0} | {10_000 + k for k in range(copies)}
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.9])
+def test_prefixes_of_similar_sets_meet(similarity):
+    rng = random.Random(2)
+    for _ in range(3_000):
+        universe = rng.sample(range(1000), rng.randint(1, 40))
+        a = {x for x in universe if rng.random() < 0.95}
+        b = {x for x in universe if rng.random() < 0.95}
+        if a and b and jaccard(a, b) >= similarity:
+            first = [set(sorted(x)[: simhash.prefix_length(len(x), similarity)]) for x in (a, b)]
+            assert first[0] & first[1]
