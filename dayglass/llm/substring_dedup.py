@@ -154,6 +154,8 @@ def repeated_runs(
     rank = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_place").alias("place"))
     # of a unit that stands once nothing more is needed
     first = units.groupBy("_digest").agg(F.min(rank).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    # written, so that the join may split a unit that very many documents have
+    first = materialise(first, "passage-firsts")
     again = units.join(first, "_digest").where(~rank.eqNullSafe(F.col("_first"))).select("_id", "_hash", "_place", "_weight").distinct()
     # the repeated units of one document; neighbours keep the same distance to their number
     number = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_place"))
