@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from dayglass import config
 from dayglass.functions.numeric import min_max
-from dayglass.operators.ordering import cumulative_counts, row_numbers, with_group_stats
+from dayglass.operators.ordering import row_numbers, with_group_stats
+from dayglass.operators.weight_search import best_thresholds, score_cells
 
 KEYS = ("user", "day")
 
@@ -219,36 +220,16 @@ def search_weights(
 ) -> DataFrame:
     """Best F1 over thresholds for every weight choice: ``choice, w_<model>, threshold, f1_score``.
 
-    Each user is scored under all choices (66 for three models) and the
-    running counts are kept per choice.
+    Users with equal scores are one cell, scored under all choices (66 for three models)
+    at once; see ``weight_search`` for how few scores are told apart.
     """
     uniform = dict.fromkeys(models, 1.0)
     scored = user_ensemble(predictions, uniform, how="inner").drop("anomaly_score")
-    choices = F.array(
-        *[
-            F.struct(F.lit(i).alias("choice"), *[F.lit(w).alias(f"w_{m}") for m, w in zip(models, ws)])
-            for i, ws in enumerate(weight_choices(models, steps))
-        ]
-    )
-    wide = scored.select("*", F.inline(choices))
-    total = F.lit(0.0)
-    for m in models:
-        total = total + F.col(f"score_{m}") * F.col(f"w_{m}")
-    weights = [f"w_{m}" for m in models]
-    rows = wide.select("choice", *weights, "true_label", total.alias("score"))
-    steps_of = cumulative_counts(
-        rows,
-        "score",
-        {"pos": F.sum("true_label"), "neg": F.sum(1 - F.col("true_label"))},
-        within=("choice", *weights),
-        descending=True,
-    )
-    # every choice sees the same users, so one total serves all
-    sized = with_group_stats(steps_of, [], {"_p": F.sum("true_label")}, source=scored)
-    f1 = F.coalesce(F.try_divide(2.0 * F.col("cum_pos"), F.col("_p") + F.col("cum_pos") + F.col("cum_neg")), F.lit(0.0))
-    points = sized.select("choice", *weights, F.col("score").alias("threshold"), f1.alias("f1_score"))
-    best = F.max_by(F.struct("threshold", "f1_score"), F.struct(F.col("f1_score"), -F.col("threshold")))
-    return points.groupBy("choice", *weights).agg(best.alias("b")).select("choice", *weights, "b.*")
+    scores = [f"score_{m}" for m in models]
+    choices = weight_choices(models, steps)
+    best = best_thresholds(score_cells(scored, scores), scores, choices)
+    named = F.array(*[F.struct(*[F.lit(w).alias(f"w_{m}") for m, w in zip(models, ws)]) for ws in choices])
+    return best.select("choice", F.inline(F.array(F.get(named, F.col("choice")))), "threshold", "f1_score")
 
 
 def best_weights(search: DataFrame) -> DataFrame:

@@ -55,6 +55,54 @@ def peer_zscores(
     return daily.join(own, keys).select(*[F.col(c) for c in daily.columns], *scores)
 
 
+def user_series(
+    daily: DataFrame, features: list[str], user: str = "user", day: str = "day", label: str | None = "is_anomaly"
+) -> DataFrame:
+    """One row per user: ``user`` and ``points``, its daily rows in order of day (``day, row, label``).
+
+    Stored in place of sequences, which repeat every day once for each window it is in.
+    A user has one point a day however many events there are.
+    """
+    row = F.array(*[F.col(c).cast("double") for c in features])
+    mark = F.col(label).cast("int") if label is not None and label in daily.columns else F.lit(None).cast("int")
+    point = F.struct(F.col(day).alias("day"), row.alias("row"), mark.alias("label"))
+    return daily.groupBy(F.col(user).alias("user")).agg(F.sort_array(F.collect_list(point)).alias("points"))
+
+
+def sequence_views(
+    series: DataFrame, length: int = config.SEQUENCE_LENGTH, stride: int = 1, label_rule: str = "last"
+) -> DataFrame:
+    """Windows of ``length`` points of each series, cut as they are read: ``user, end_day, seq, label``.
+
+    ``label_rule`` is ``last`` (label of the last day) or ``any``. Users with fewer points
+    give none. ``stride`` counts from a user's first point.
+    """
+    if label_rule not in ("last", "any"):
+        raise ValueError(f"unknown label rule {label_rule}")
+
+    def views(points: Column) -> Column:
+        first = F.sequence(F.lit(1), F.greatest(F.size(points) - length + 1, F.lit(1)), F.lit(stride))
+
+        def view(start: Column) -> Column:
+            inside = F.slice(points, start, length)
+            last = F.element_at(points, start + length - 1)
+            if label_rule == "last":
+                mark = last["label"]
+            else:
+                mark = F.exists(inside, lambda p: F.coalesce(p["label"] == 1, F.lit(False))).cast("int")
+            return F.struct(
+                last["day"].alias("end_day"), F.transform(inside, lambda p: p["row"]).alias("seq"),
+                F.coalesce(mark, F.lit(0)).alias("label"),
+            )
+
+        return F.transform(first, view)
+
+    long_enough = series.where(F.size("points") >= length)
+    # the points are bound once, so no view sorts them again
+    bound = F.flatten(F.transform(F.array("points"), views))
+    return long_enough.select("user", F.inline(bound))
+
+
 def sequences(
     daily: DataFrame,
     features: list[str],
@@ -65,33 +113,8 @@ def sequences(
     day: str = "day",
     label: str | None = "is_anomaly",
 ) -> DataFrame:
-    """Sliding windows of ``length`` daily rows per user: ``user, end_day, seq, label``.
-
-    ``label_rule`` is ``last`` (label of the last day) or ``any``. Users with
-    fewer rows give none. ``stride`` counts from a user's first row.
-    """
-    ordered = Window.partitionBy(user).orderBy(day)
-    frame = ordered.rowsBetween(-(length - 1), 0)
-    row = F.array(*[F.col(c).cast("double") for c in features])
-    if label is None or label not in daily.columns:
-        mark: Column = F.lit(0)
-    elif label_rule == "last":
-        mark = F.col(label).cast("int")
-    elif label_rule == "any":
-        mark = F.max((F.col(label) == 1).cast("int")).over(frame)
-    else:
-        raise ValueError(f"unknown label rule {label_rule}")
-    windows = daily.select(
-        F.col(user).alias("user"),
-        F.col(day).alias("end_day"),
-        F.collect_list(row).over(frame).alias("seq"),
-        F.coalesce(mark, F.lit(0)).alias("label"),
-        F.row_number().over(ordered).alias("_n"),
-    )
-    whole = F.col("_n") >= length
-    if stride > 1:
-        whole = whole & ((F.col("_n") - length) % stride == 0)
-    return windows.where(whole).drop("_n")
+    """Sliding windows of ``length`` daily rows per user: ``user, end_day, seq, label`` (see ``sequence_views``)."""
+    return sequence_views(user_series(daily, features, user, day, label), length, stride, label_rule)
 
 
 def mark_spikes(

@@ -27,7 +27,7 @@ from dayglass.operators.ordering import union_all
 from dayglass.operators.profiles import daily_profile, measure_columns, static_profile
 from dayglass.operators.scaling import fit_scaler
 from dayglass.operators.splits import assign_split
-from dayglass.operators.windows import sequences
+from dayglass.operators.windows import user_series
 from dayglass.sinks import writers
 
 log = logging.getLogger(__name__)
@@ -58,12 +58,12 @@ def build_profiles(unified: DataFrame, out: str) -> dict[str, DataFrame]:
     static = static_profile(daily)
     features = [c for c in static.columns if c != "user"]
     writers.write_params(fit_scaler(static, features), f"{out}/static_scaler")
-    writers.write_sequences(sequences(daily, measure_columns(daily)), f"{out}/sequences")
+    writers.write_sequences(user_series(daily, measure_columns(daily)), f"{out}/sequences")
     return {
         "daily": daily,
         "static": static,
         "scaler": writers.read_params(spark, f"{out}/static_scaler"),
-        "sequences": spark.read.parquet(f"{out}/sequences"),
+        "sequences": writers.read_sequences(spark, f"{out}/sequences"),
     }
 
 

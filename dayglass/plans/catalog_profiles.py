@@ -325,8 +325,8 @@ def sequences_any(spark: Spark, sf_dir: str) -> DataFrame:
 @query("k4_sequence_roundtrip", _cells_sql(1, _LAST))
 def sequence_sink(spark: Spark, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "sequences")
-    writers.write_sequences(windows.sequences(stages.daily(spark, sf_dir), list(_SEQ_FEATURES)), path)
-    return _cells(spark.read.parquet(path))
+    writers.write_sequences(windows.user_series(stages.daily(spark, sf_dir), list(_SEQ_FEATURES)), path)
+    return _cells(writers.read_sequences(spark, path))
 
 
 # --- scaling ----------------------------------------------------------------

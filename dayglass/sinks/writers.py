@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dayglass.operators.windows import sequence_views
 
 # CSV keeps microseconds; the default layouts would cut them to milliseconds
 CSV_TIMES = {
@@ -30,9 +31,14 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).options(header=True, **CSV_TIMES).csv(path)
 
 
-def write_sequences(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Sequence rows with nested arrays; no window long enough gives an empty typed table."""
-    df.write.mode(mode).parquet(path)
+def write_sequences(series: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Series of all users, from which sequences are cut as they are read; none gives an empty typed table."""
+    series.write.mode(mode).parquet(path)
+
+
+def read_sequences(spark: SparkSession, path: str, **views: object) -> DataFrame:
+    """Sequences of written series; ``views`` as for ``sequence_views``."""
+    return sequence_views(spark.read.parquet(path), **views)
 
 
 def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> None:

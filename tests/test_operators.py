@@ -20,6 +20,7 @@ from dayglass.operators import (
     profiles,
     scaling,
     splits,
+    weight_search,
     windows,
 )
 
@@ -447,3 +448,48 @@ def test_header_sniff_reads_first_bytes_only(spark, tmp_path):
     assert not logs.has_header(spark, str(tmp_path / "zipped.csv.gz"))
     assert not spark.sparkContext.statusTracker().getJobIdsForGroup("sniff")
     spark.sparkContext.setJobGroup("tests", "")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_weight_search_matches_every_threshold(spark, seed, monkeypatch):
+    """All choices, all distinct scores, few bins and many ties; and rows are not multiplied by choices."""
+    rng = np.random.default_rng(seed)
+    monkeypatch.setattr(weight_search, "BINS", [7, 64, 2048][seed])
+    n = 700
+    y = (rng.random(n) < 0.2).astype(int)
+    x = np.clip(rng.normal(0.3, 0.2, (n, 3)) + 0.25 * y[:, None], 0, 1).round(2)
+    x[: n // 3] = x[0]  # one cell holds a third
+    scores = ["score_a", "score_b", "score_c"]
+    df = spark.createDataFrame([(*map(float, r), int(t)) for r, t in zip(x, y)], "score_a double, score_b double, score_c double, true_label int")
+    choices = ensemble.weight_choices(("a", "b", "c"), 10)
+    cells = weight_search.score_cells(df.repartition(4), scores)
+    assert cells.count() == len(np.unique(x, axis=0))
+    got = {r.choice: (r.threshold, r.f1_score) for r in weight_search.best_thresholds(cells, scores, choices).collect()}
+    for i, w in enumerate(choices):
+        s = 0.0 + x[:, 0] * w[0] + x[:, 1] * w[1] + x[:, 2] * w[2]
+        best = max((2 * (y[s >= t]).sum() / (y.sum() + (s >= t).sum()), -t) for t in np.unique(s))
+        assert np.isclose(got[i][1], best[0], rtol=1e-12) and got[i][0] == -best[1]
+
+
+def test_weight_search_without_positives(spark):
+    df = spark.createDataFrame([(0.1, 0.2, 0), (0.3, 0.4, 0)], "score_a double, score_b double, true_label int")
+    cells = weight_search.score_cells(df, ["score_a", "score_b"])
+    got = weight_search.best_thresholds(cells, ["score_a", "score_b"], [(0.5, 0.5), (1.0, 0.0)]).collect()
+    assert {r.f1_score for r in got} == {0.0} and len(got) == 2
+
+
+def test_stored_series_are_as_small_as_the_daily_table(spark, tmp_path):
+    from dayglass.sinks import writers
+
+    rng = np.random.default_rng(0)
+    rows = [(f"u{u}", d, float(rng.random()), float(rng.random()), int(d == 20)) for u in range(40) for d in range(60)]
+    daily = spark.createDataFrame(rows, "user string, day int, a double, b double, is_anomaly int").repartition(3)
+    series = windows.user_series(daily, ["a", "b"])
+    writers.write_sequences(series.coalesce(1), str(tmp_path / "series"))
+    daily.coalesce(1).write.parquet(str(tmp_path / "daily"))
+    windows.sequences(daily, ["a", "b"]).coalesce(1).write.parquet(str(tmp_path / "windows"))
+    size = {n: sum(f.stat().st_size for f in (tmp_path / n).glob("*.parquet")) for n in ("series", "daily", "windows")}
+    assert size["series"] < 1.3 * size["daily"] and size["series"] < size["windows"]
+    back = writers.read_sequences(spark, str(tmp_path / "series"), stride=10, label_rule="any").collect()
+    want = windows.sequences(daily, ["a", "b"], stride=10, label_rule="any").collect()
+    assert sorted(map(str, back)) == sorted(map(str, want)) and len(back) == 40 * 5
