@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dayglass.plans import catalog_models, catalog_profiles, catalog_sources  # noqa: F401
+from dayglass.plans import catalog_exact, catalog_models, catalog_profiles, catalog_sources  # noqa: F401
 from dayglass.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -117,8 +117,10 @@ def deviation(spark: Spark, sf_dir: str) -> DataFrame:
 
 @query("m10_sequence_reconstruction")
 def reconstruction(spark: Spark, sf_dir: str) -> DataFrame:
+    """Fitted on the training part of the windows (70 %), scored on the test part (15 %)."""
     found = windows.sequences(stages.daily(spark, sf_dir), list(_SEQ_FEATURES))
-    return sequence.sequence_reconstruction(found, found)
+    split = splits.assign_split(found, F.concat_ws("|", "user", F.col("end_day").cast("string")))
+    return sequence.sequence_reconstruction(split.where(F.col("split") == "train"), split.where(F.col("split") == "test"))
 
 
 @query(
