@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from dayglass.plans import catalog_exact, catalog_models, catalog_profiles, catalog_sources  # noqa: F401
+from dayglass.plans import (  # noqa: F401
+    catalog_exact,
+    catalog_models,
+    catalog_profiles,
+    catalog_sources,
+    catalog_tables,
+)
 from dayglass.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
