@@ -236,6 +236,30 @@ def statistics_profile(
     return stats.na.fill(0) if fill else stats
 
 
+def full_static_table(
+    daily: DataFrame,
+    attributes: DataFrame,
+    categories: dict[str, list[str]],
+    user: str = "user",
+    label: str = "is_anomaly",
+    measures: list[str] | None = None,
+) -> DataFrame:
+    """Per user: statistics of every measure, its attributes, and ``is_insider``, nulls read as 0.
+
+    ``attributes`` has one row per user; its columns in ``categories`` become 0/1 columns,
+    null being a category of its own, and the others stay as they are. A user without
+    attributes has 0 in all of them.
+    """
+    from dayglass.operators.cleaning import one_hot
+
+    stats = statistics_profile(daily, user, measures, with_sum=True, fill=True)
+    encoded = attributes
+    for column, names in categories.items():
+        encoded = one_hot(encoded, column, names)
+    labels = daily.groupBy(user).agg(F.max(label).alias("is_insider"))
+    return stats.join(encoded, user, "left").na.fill(0).join(labels, user).na.fill(0, ["is_insider"])
+
+
 def zscore_profile(enriched: DataFrame, user: str = "user_id", label: str = "is_insider_max") -> DataFrame:
     """Per user: max and mean of z-score columns, sums of base columns, label maximum."""
     parts = []

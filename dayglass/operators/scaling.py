@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dayglass.functions.numeric import min_max
 from dayglass.operators.ordering import with_group_stats
+from dayglass.session import materialise
 
 
 def fit_scaler(df: DataFrame, features: list[str]) -> DataFrame:
@@ -61,6 +62,16 @@ def scale(df: DataFrame, features: list[str], params: DataFrame | None = None) -
     return apply_scaler(df, fit_scaler(df, features) if params is None else params, features)
 
 
+def scaled_with_parameters(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """All columns but the keys scaled by parameters of their own, and those parameters to store.
+
+    The table is read twice, for the parameters and when the result is used: pass a written one.
+    """
+    features = [c for c in df.columns if c not in keys]
+    params = materialise(fit_scaler(df, features), "scaler")
+    return apply_scaler(df, params, features), params
+
+
 def normalise(
     df: DataFrame, column: str, within: tuple[str, ...] = (), out: str | None = None
 ) -> DataFrame:

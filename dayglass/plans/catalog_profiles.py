@@ -331,6 +331,81 @@ def sequence_sink(spark: Spark, sf_dir: str) -> DataFrame:
 
 # --- scaling ----------------------------------------------------------------
 
+_DAILY_KEYS = ["date", "user_id", "dataset", "role", "is_insider_max"]
+
+
+def _scaled_all(source: str, keys: list[str], columns: list[str]) -> str:
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in columns)
+    cols = ", ".join(f"{r(f'({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END', 3)} AS {c}" for c in columns)
+    return f"st AS (SELECT {stats} FROM {source}) SELECT {', '.join(keys)}, {cols} FROM {source}, st"
+
+
+@query("m1_scaled_enriched_daily", f"WITH {_PEER_SQL}, {_scaled_all('pz', _DAILY_KEYS, [*ROLE_MEASURES, *_Z])}")
+def scaled_enriched(spark: Spark, sf_dir: str) -> DataFrame:
+    """Role-aware daily rows with both z-scores, scaled by their own parameters."""
+    enriched = materialise(enriched_daily(spark, sf_dir), "enriched-daily")
+    scaled, _ = scaling.scaled_with_parameters(enriched, _DAILY_KEYS)
+    return scaled.select(*_DAILY_KEYS, *[F.round(c, 3).alias(c) for c in [*ROLE_MEASURES, *_Z]])
+
+
+_STATIC = [f"{z}_{f}" for z in _Z for f in ("max", "mean")] + [f"{c}_sum" for c in _SUMS]
+
+
+@query(
+    "m1_scaled_zscore_static",
+    f"WITH {_PEER_SQL}, us AS (SELECT user_id, "
+    + ", ".join(f"max({z}) AS {z}_max, avg({z}) AS {z}_mean" for z in _Z)
+    + ", "
+    + ", ".join(f"CAST(sum({c}) AS DOUBLE) AS {c}_sum" for c in _SUMS)
+    + f", max(is_insider_max) AS is_insider FROM pz GROUP BY 1), {_scaled_all('us', ['user_id', 'is_insider'], _STATIC)}",
+)
+def scaled_static(spark: Spark, sf_dir: str) -> DataFrame:
+    """The static profile of z-scores and totals, scaled by parameters of its own."""
+    static = materialise(profiles.zscore_profile(enriched_daily(spark, sf_dir)), "zscore-static")
+    scaled, _ = scaling.scaled_with_parameters(static, ["user_id", "is_insider"])
+    return scaled.select("user_id", "is_insider", *[F.round(c, 3).alias(c) for c in _STATIC])
+
+
+_ROLES = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+_DOMAINS = tuple(f"d{i}" for i in range(5))
+
+
+@query(
+    "a8_full_static_table",
+    f"""WITH {DAILY}, stats AS (SELECT "user", """
+    + ", ".join(
+        f"""avg({m}) AS {m}_mean, coalesce(stddev_samp({m}), 0) AS {m}_std, min({m}) AS {m}_min, max({m}) AS {m}_max,
+        median({m}) AS {m}_median, sum({m}) AS {m}_sum"""
+        for m in MEASURES
+    )
+    + """, max(is_anomaly) AS is_insider FROM daily GROUP BY 1),
+    att AS (SELECT 'U' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS "user", CASE WHEN c_custkey % 9 <> 0 THEN c_mktsegment END AS role,
+      CASE WHEN c_custkey % 7 <> 0 THEN 'd' || c_nationkey % 5 END AS domain, c_custkey % 10 AS o FROM customer WHERE c_custkey % 4 <> 0)
+    SELECT stats."user", """
+    + ", ".join(f"{r(f'{m}_{f}')} AS {m}_{f}" for m in MEASURES for f in ("mean", "std", "min", "max", "median", "sum"))
+    + ", "
+    + ", ".join(f"coalesce(CAST(role = '{v}' AS INTEGER), 0) AS role_{v}" for v in _ROLES)
+    + """, CAST(att."user" IS NOT NULL AND role IS NULL AS INTEGER) AS role_nan, """
+    + ", ".join(f"coalesce(CAST(domain = '{v}' AS INTEGER), 0) AS domain_{v}" for v in _DOMAINS)
+    + """, CAST(att."user" IS NOT NULL AND domain IS NULL AS INTEGER) AS domain_nan, CAST(coalesce(o, 0) AS BIGINT) AS O, is_insider
+    FROM stats LEFT JOIN att ON att."user" = stats."user" """,
+)
+def full_static(spark: Spark, sf_dir: str) -> DataFrame:
+    """Statistics, one-hot role and domain, traits and label of every user."""
+    key = F.col("c_custkey")
+    people = adapter.table(spark, sf_dir, "customer").where(key % 4 != 0)
+    attributes = people.select(
+        F.concat(F.lit("U"), F.lpad(key.cast("string"), 6, "0")).alias("user"),
+        F.when(key % 9 != 0, F.col("c_mktsegment")).alias("role"),
+        F.when(key % 7 != 0, F.concat(F.lit("d"), (F.col("c_nationkey") % 5).cast("string"))).alias("domain"),
+        (key % 10).cast("long").alias("O"),
+    )
+    table = profiles.full_static_table(
+        stages.daily(spark, sf_dir), attributes, {"role": list(_ROLES), "domain": list(_DOMAINS)}, measures=list(MEASURES)
+    )
+    statistics = [f"{m}_{f}" for m in MEASURES for f in ("mean", "std", "min", "max", "median", "sum")]
+    return table.select(*[F.round(F.col(c).cast("double"), 6).alias(c) if c in statistics else c for c in table.columns])
+
 
 def _scaled_sql(features: tuple[str, ...], digits: int = 6) -> str:
     stats = ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in features)
