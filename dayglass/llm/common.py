@@ -35,6 +35,32 @@ def unpacked(df: DataFrame) -> DataFrame:
     return df.select("_row.*")
 
 
+_MARK_BITS = 32_768  # of one value of bitmap_construct_agg
+MARK_WORDS = 1_024  # of 4 KB each: a broadcast bitmap holds 4 MB at most
+
+
+def with_marks(rows: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """Add ``_marked``: true wherever the key is among the ``_key`` values of ``wanted``, and for some others.
+
+    The values set bits of a bitmap of fixed size, which is broadcast whatever their
+    number: rows are told apart as they are read, and what is not marked need not be
+    shuffled to meet them. The fuller the bitmap, the more rows are marked for nothing.
+    """
+    size = MARK_WORDS * _MARK_BITS
+
+    def placed(of: Column) -> tuple[Column, Column]:
+        bit = F.pmod(F.xxhash64(of), F.lit(size))
+        return F.floor(bit / _MARK_BITS), bit % _MARK_BITS
+
+    word, at = placed(F.col("_key"))
+    bitmap = wanted.select(word.alias("_word"), at.alias("_at")).groupBy("_word").agg(F.bitmap_construct_agg("_at").alias("_marks"))
+    word, at = placed(key)
+    found = rows.withColumns({"_word": word, "_at": at}).join(F.broadcast(bitmap), "_word", "left")
+    byte = F.conv(F.hex(F.expr("substring(_marks, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("long")
+    marked = F.coalesce(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1, F.lit(False))
+    return found.withColumn("_marked", marked).drop("_word", "_at", "_marks")
+
+
 def finite(vector: Column) -> Column:
     """Whether a vector is there and has neither null nor non-finite entries."""
     return vector.isNotNull() & F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))

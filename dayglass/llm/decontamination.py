@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayglass.llm.common import ascii_lower, broadcast_if_small, packed, unpacked
+from dayglass.llm.common import ascii_lower, broadcast_if_small, packed, unpacked, with_marks
 from dayglass.session import materialise
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -133,7 +133,13 @@ def remove_documents(
     docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", **names: str
 ) -> DataFrame:
     """Documents without any hit, all their columns."""
-    return unpacked(_with_spans(docs, items, width, id_col, text_col, names, "left_anti"))
+    hit = _hit_documents(docs, items, width, id_col, text_col, names)
+    rows = packed(docs, id_col, text_col).withColumn("_hash", F.xxhash64("_text"))
+    # what has no hit passes as it is read
+    found = with_marks(rows, F.xxhash64("_id", "_hash"), hit.select(F.xxhash64("_hit_id", "_hit_text").alias("_key")))
+    same = F.col("_id").eqNullSafe(F.col("_hit_id")) & (F.col("_hash") == F.col("_hit_text"))
+    clean = found.where("_marked").join(hit.hint("merge"), same, "left_anti")
+    return unpacked(found.where("not _marked")).unionByName(unpacked(clean))
 
 
 def remove_spans(
@@ -153,13 +159,19 @@ def remove_spans(
     return joined.select(*[cleaned.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
-def _with_spans(
-    docs: DataFrame, items: DataFrame, width: int, id_col: str, text_col: str, names: dict[str, str], how: str
-) -> DataFrame:
+def _hit_documents(docs: DataFrame, items: DataFrame, width: int, id_col: str, text_col: str, names: dict[str, str]) -> DataFrame:
+    """Written table of the documents with a hit: (``_hit_id``, ``_hit_text``, ``_spans``)."""
     found = contamination(docs, items, width, id_col, text_col, **names).where("n_hit > 0")
     hit = found.select(
         F.col(id_col).alias("_hit_id"), F.col("text_hash").alias("_hit_text"), F.col("spans").alias("_spans")
     ).distinct()
+    return materialise(hit, "test-hit-documents")
+
+
+def _with_spans(
+    docs: DataFrame, items: DataFrame, width: int, id_col: str, text_col: str, names: dict[str, str], how: str
+) -> DataFrame:
+    hit = _hit_documents(docs, items, width, id_col, text_col, names)
     same = F.col("_id").eqNullSafe(F.col("_hit_id")) & (F.xxhash64("_text") == F.col("_hit_text"))
     # hits grow with the documents: always a shuffled join
     return packed(docs, id_col, text_col).join(hit.hint("merge"), same, how)

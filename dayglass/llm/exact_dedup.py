@@ -13,61 +13,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayglass.llm.common import packed, unpacked
+from dayglass.llm.common import broadcast_if_small, packed, unpacked, with_marks
 from dayglass.session import materialise
 
-_WORD_BITS = 32_768  # bits of one value of bitmap_construct_agg
-FILTER_WORDS = 1_024  # 4 KB each: the broadcast filter holds 4 MB at most
+PREFIX = 256  # characters
 
 
-def _bit(length: str, prefix: str) -> Column:
-    return F.pmod(F.xxhash64(length, prefix), F.lit(FILTER_WORDS * _WORD_BITS))
+def _length(text: Column) -> Column:
+    return F.octet_length(text)
 
 
-def _survivors(signatures: DataFrame) -> DataFrame:
-    """(length, prefix) values that more than one row has, found length first."""
-    lengths = signatures.groupBy("_length").agg(F.sum("_n").alias("_n")).where("_n > 1").select("_length")
-    return signatures.where("_n > 1").join(lengths, "_length", "left_semi").select("_length", "_prefix")
+def _survivors(texts: DataFrame, prefix_chars: int) -> DataFrame:
+    """Written table of ``_key``, a hash of (length, prefix hash) that several rows have.
+
+    Lengths are counted first. The prefix is hashed only where another row has the length.
+    """
+    sized = texts.select(_length(F.col("_text")).alias("_length"), F.substring("_text", 1, prefix_chars).alias("_start"))
+    counts = sized.groupBy("_length").agg(F.count(F.lit(1)).alias("_n"))
+    lengths = materialise(counts.where("_n > 1").select("_length"), "exact-lengths")
+    met = sized.join(broadcast_if_small(lengths), "_length", "left_semi")
+    signed = met.groupBy(_signature(F.col("_length"), F.col("_start")).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    return materialise(signed.where("_n > 1").select("_key"), "exact-signatures")
+
+
+def _signature(length: Column, start: Column) -> Column:
+    return F.xxhash64(length, start)
+
+
+def _with_candidates(rows: DataFrame, prefix_chars: int) -> DataFrame:
+    """Add ``_marked`` to rows with ``_text``: whether length and prefix may be another row's as well."""
+    key = _signature(_length(F.col("_text")), F.substring("_text", 1, prefix_chars))
+    return with_marks(rows, key, _survivors(rows, prefix_chars))
 
 
 def exact_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    prefix_chars: int = 256,
+    prefix_chars: int = PREFIX,
     digest_all: bool = False,
 ) -> DataFrame:
     """One row per document: id, ``keep_id`` (largest id of its group), ``group_size``, ``kept``, ``rows`` (that repeat it), ``text_sha256``.
 
-    The first pass counts the texts of each length and prefix hash. What shares both with
-    another row is marked in a bitmap of fixed size, so the second pass can tell
-    candidates apart as it reads and no text is ever shuffled. A wrongly marked text
-    merely gets hashed; the full hash decides. Texts without a candidate have a null
-    digest unless ``digest_all`` is set.
+    What shares length and prefix with another row is marked in a bitmap of fixed size, so
+    the last pass tells candidates apart as it reads and no text is ever shuffled. A
+    wrongly marked text merely gets hashed; the full hash decides. Texts without a
+    candidate have a null digest unless ``digest_all`` is set.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(
-        F.col(id_col).alias("_id"),
-        F.octet_length(text).alias("_length"),
-        F.xxhash64(F.substring(text, 1, prefix_chars)).alias("_prefix"),
-        text.alias("_text"),
-    )
-    counted = keyed.groupBy("_length", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    signatures = materialise(counted, "exact-signatures")
-    bit = _bit("_length", "_prefix")
-    marks = _survivors(signatures).select(
-        F.floor(bit / _WORD_BITS).alias("_word"), (bit % _WORD_BITS).alias("_at")
-    )
-    # at most FILTER_WORDS rows of 4 KB
-    bitmap = marks.groupBy("_word").agg(F.bitmap_construct_agg("_at").alias("_marks"))
-    placed = keyed.withColumns({"_word": F.floor(bit / _WORD_BITS), "_at": bit % _WORD_BITS})
-    byte = F.conv(F.hex(F.expr("substring(_marks, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("long")
-    marked = F.coalesce(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1, F.lit(False))
-    found = placed.join(F.broadcast(bitmap), "_word", "left").withColumn("_candidate", marked)
+    keyed = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    found = _with_candidates(keyed, prefix_chars).withColumnRenamed("_marked", "_candidate")
     digest = F.sha2(F.col("_text").cast("binary"), 256)
     signed = found.select(
         "_id",
-        "_length",
+        _length(F.col("_text")).alias("_length"),
         "_candidate",
         (digest if digest_all else F.when(F.col("_candidate"), digest)).alias("_digest"),
     )
@@ -84,6 +82,8 @@ def exact_groups(
     # repeated rows collapse first, then each group to one row
     members = signed.where("_candidate").groupBy("_id", *same).agg(F.count(F.lit(1)).alias("_rows"))
     groups = members.groupBy(*same).agg(F.max("_id").alias("keep_id"), F.sum("_rows").alias("group_size"))
+    # written, so that the join may split a group that holds very many rows
+    members, groups = materialise(members, "exact-members"), materialise(groups, "exact-group-sizes")
     grouped = members.join(groups, same).select(
         F.col("_id").alias(id_col),
         "keep_id",
@@ -95,17 +95,24 @@ def exact_groups(
     return singles.unionByName(grouped)
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, all their columns; of rows repeating id and text, one stays."""
-    groups = materialise(exact_groups(docs, id_col, text_col), "exact-groups")
-    verdict = groups.where("group_size > 1").select(
-        F.col(id_col).alias("_verdict_id"), F.col("text_sha256").alias("_sha"), "kept", "rows"
-    )
-    digest = F.sha2(F.coalesce("_text", F.lit("")).cast("binary"), 256)
-    rows = packed(docs, id_col, text_col).withColumn("_digest", digest)
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX) -> DataFrame:
+    """The documents that stay, all their columns; of rows repeating id and text, one stays.
+
+    A text without a candidate passes as it is read; the others meet their group's verdict.
+    """
+    rows = packed(docs, id_col, text_col).withColumn("_text", F.coalesce("_text", F.lit("")))
+    found = _with_candidates(rows, prefix_chars)
+    alone, candidates = found.where(~F.col("_marked")), found.where("_marked")
+    digest = F.sha2(F.col("_text").cast("binary"), 256)
+    signed = materialise(candidates.select("_id", digest.alias("_digest")), "exact-digests")
+    members = signed.groupBy("_id", "_digest").agg(F.count(F.lit(1)).alias("rows"))
+    groups = members.groupBy("_digest").agg(F.max("_id").alias("keep_id"))
+    members, groups = materialise(members, "exact-members"), materialise(groups, "exact-group-sizes")
+    kept = members.join(groups, "_digest").where(F.col("_id").eqNullSafe(F.col("keep_id")))
+    verdict = kept.select(F.col("_id").alias("_verdict_id"), F.col("_digest").alias("_sha"), "rows")
     same = F.col("_id").eqNullSafe(F.col("_verdict_id")) & (F.col("_digest") == F.col("_sha"))
     # verdicts grow with the documents: always a shuffled join
-    joined = rows.join(verdict.hint("merge"), same, "left")
-    once = joined.where(F.col("kept").isNull() | (F.col("kept") & (F.col("rows") == 1)))
-    repeated = joined.where(F.col("kept") & (F.col("rows") > 1)).dropDuplicates(["_id", "_digest"])
-    return unpacked(once).unionByName(unpacked(repeated))
+    joined = candidates.withColumn("_digest", digest).join(verdict.hint("merge"), same)
+    once = joined.where("rows = 1")
+    repeated = joined.where("rows > 1").dropDuplicates(["_id", "_digest"])
+    return unpacked(alone).unionByName(unpacked(once)).unionByName(unpacked(repeated))
