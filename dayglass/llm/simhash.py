@@ -32,7 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayglass.llm.common import packed, small_batches, unpacked
+from dayglass.llm.common import packed, small_batches, unpacked, with_marks
 from dayglass.llm.graph import components
 from dayglass.session import materialise
 
@@ -189,6 +189,7 @@ def near_duplicates(
 
 BANDS, BAND_ROWS = 72, 5
 BLOCK = 64  # members of a band value up to which they are compared with each other
+FACED = 1_024  # members of a rare shingle that face as many others in one task
 MOST_CELLS = 1 << 21  # of the table of shingle counts that is broadcast
 _CHUNK = 2048  # shingles that meet all hash functions at a time
 _ODD = np.random.default_rng(42).integers(0, 1 << 31, (2, BANDS * BAND_ROWS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -223,7 +224,7 @@ def prefix_length(size: int, similarity: float) -> int:
 
 
 def _rare_first(sets: DataFrame, similarity: float) -> DataFrame:
-    """Rows (``_at``, ``_node``): the rarest shingles of each set, enough to meet every set that similar.
+    """Rows (``_at``, ``_node``, ``_pos``, ``_size``): the rarest shingles of each set, enough to meet every set that similar.
 
     Rarity is read from a table of counts with a bounded number of cells that shingles
     are hashed to. Any order that all sets share meets all pairs, so what the counts leave
@@ -250,54 +251,42 @@ def _rare_first(sets: DataFrame, similarity: float) -> DataFrame:
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = shared.value
         for batch in batches:
-            values, nodes = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+            rows = [np.empty((4, 0), dtype=np.int64)]
             for node, own in zip(batch["_node"], batch["_set"]):
                 own = np.asarray(own, dtype=np.int64)
                 first = np.lexsort((own, counts[own & (cells - 1)]))[: prefix_length(len(own), similarity)]
-                values.append(own[first])
-                nodes.append(np.full(len(first), node, dtype=np.int64))
-            yield pd.DataFrame({"_at": np.concatenate(values), "_node": np.concatenate(nodes)})
+                same = np.full(len(first), node, dtype=np.int64), np.full(len(first), len(own), dtype=np.int64)
+                rows.append(np.stack([own[first], same[0], np.arange(len(first)), same[1]]))
+            yield pd.DataFrame(dict(zip(("_at", "_node", "_pos", "_size"), np.concatenate(rows, axis=1))))
 
-    return sets.mapInPandas(pick, "_at long, _node long")
+    return sets.mapInPandas(pick, "_at long, _node long, _pos long, _size long")
 
 
 def _sized(rows: DataFrame, label: str) -> DataFrame:
-    """Values that several nodes have, written: (``_at``, ``_node``, ``_n``)."""
+    """Rows of values that several nodes have, written, with ``_n``, the number of the value's nodes."""
     sizes = rows.groupBy("_at").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return materialise(rows.join(sizes, "_at").select("_at", "_node", "_n"), label)
+    return materialise(rows.join(sizes, "_at"), label)
 
 
 def similar_links(
-    keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, block: int = BLOCK
+    keyed: DataFrame,
+    sets_of: Callable[[DataFrame], DataFrame],
+    similarity: float,
+    block: int = BLOCK,
+    faced: int = FACED,
 ) -> DataFrame:
     """Links (``a``, ``b``) that hang together what is of at least that exact similarity and shares a band.
 
     ``keyed`` has distinct rows (``_node``, ``_keys``); ``sets_of`` gives (``_node``, ``_set``)
-    for a table of nodes. Nodes that no band value holds more than ``block`` of are
-    compared where they meet. Nodes of a crowded value meet each other anew, by their
-    rarest shingles instead of their bands, which loses no pair of that similarity.
+    for a table of nodes. Every member of a value is compared with the member that shares
+    most with all others first, and then with those it does not hang together with yet.
+    Up to ``block`` members of a band value do so pair by pair. Nodes of a crowded value
+    meet each other anew, by their rarest shingles instead of their bands, which loses no
+    pair of that similarity, and of the pairs that meet there only those are compared
+    whose places in their sets leave room for it.
     """
     met = _sized(keyed.select("_node", F.explode("_keys").alias("_at")), "similar-meetings")
     sets = materialise(sets_of(met.select("_node").distinct()).select("_node", "_set"), "similar-sets")
-    busy = materialise(met.where(F.col("_n") > block).select("_node").distinct(), "similar-busy")
-    marked = busy.select(F.col("_node").alias("_known"))
-    light = met.where(F.col("_n") <= block).join(marked, F.col("_node") == F.col("_known"), "left")
-    light = light.select("_at", "_node", "_n", F.col("_known").isNotNull().alias("_busy"))
-    near = _group_links(light, sets, similarity, block)
-    crowd = _sized(_rare_first(sets.join(busy, "_node", "left_semi"), similarity), "similar-rare")
-    crowd = crowd.withColumn("_busy", F.lit(False))
-    return near.unionByName(_group_links(crowd, sets, similarity, block))
-
-
-def _group_links(met: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Links between nodes of a value: rows (``_at``, ``_node``, ``_n`` of the value, ``_busy``).
-
-    Two busy nodes are left to others. Every member of a value is compared with the
-    member that shares most with all others first. Then members that do not hang together
-    yet are compared with each other: pair by pair up to ``block`` members, block against
-    block beyond, so that every two meet in some task and no task holds more than a few
-    blocks.
-    """
 
     def alike(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("_node").alias("a"), F.col("_set").alias("_a"))
@@ -307,6 +296,26 @@ def _group_links(met: DataFrame, sets: DataFrame, similarity: float, block: int)
         met = pairs.distinct().join(left, "a").join(right, "b").where(near)
         return met.where(shared / (both - shared) >= similarity).select("a", "b")
 
+    busy = materialise(met.where(F.col("_n") > block).select("_node").distinct(), "similar-busy")
+    marked = busy.select(F.col("_node").alias("_known"))
+    light = met.where(F.col("_n") <= block).join(marked, F.col("_node") == F.col("_known"), "left")
+    light = light.select("_at", "_node", "_n", F.col("_known").isNotNull().alias("_busy"))
+    stars, rest = _star_links(light, alike)
+    left = rest.select("_at", F.col("_node").alias("a"), F.col("_root").alias("_a"), F.col("_busy").alias("_ab"))
+    right = rest.select("_at", F.col("_node").alias("b"), F.col("_root").alias("_b"), F.col("_busy").alias("_bb"))
+    wanted = (F.col("a") < F.col("b")) & (F.col("_a") != F.col("_b")) & ~(F.col("_ab") & F.col("_bb"))
+    links = stars.unionByName(alike(left.join(right, "_at").where(wanted).select("a", "b")))
+
+    crowd = _sized(_rare_first(sets.join(busy, "_node", "left_semi"), similarity), "similar-rare")
+    stars, rest = _star_links(crowd.withColumn("_busy", F.lit(False)), alike)
+    return links.unionByName(stars).unionByName(alike(_faced_pairs(rest, similarity, faced)))
+
+
+def _star_links(met: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Links of each value's most popular member, and the rows of values that still fall apart, with ``_root``.
+
+    Two ``_busy`` nodes are left to others.
+    """
     # a copy that others were made from shares more of its values, with more of them, than they do
     popular = met.groupBy("_node").agg(F.sum("_n").alias("_popular"))
     ranked = met.join(popular, "_node").select("_at", "_node", "_busy", "_popular")
@@ -319,56 +328,52 @@ def _group_links(met: DataFrame, sets: DataFrame, similarity: float, block: int)
     rooted = met.join(roots, "_node", "left").withColumn("_root", F.coalesce("root", "_node")).drop("root")
     rooted = materialise(rooted, "similar-rooted")
     apart = rooted.groupBy("_at").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high"), F.min("_busy").alias("_all_busy"))
-    rest = rooted.join(apart.where((F.col("_low") < F.col("_high")) & ~F.col("_all_busy")).select("_at"), "_at")
+    apart = apart.where((F.col("_low") < F.col("_high")) & ~F.col("_all_busy")).select("_at")
+    return stars, rooted.join(materialise(apart, "similar-apart"), "_at")
 
-    few = rest.where(F.col("_n") <= block)
-    left = few.select("_at", F.col("_node").alias("a"), F.col("_root").alias("_a"), F.col("_busy").alias("_ab"))
-    right = few.select("_at", F.col("_node").alias("b"), F.col("_root").alias("_b"), F.col("_busy").alias("_bb"))
-    wanted = (F.col("a") < F.col("b")) & (F.col("_a") != F.col("_b")) & ~(F.col("_ab") & F.col("_bb"))
-    pairs = left.join(right, "_at").where(wanted).select("a", "b")
-
-    # blocks of one large component each, and blocks of smaller ones
-    crowd = rest.where(F.col("_n") > block)
-    large = crowd.groupBy("_at", "_root").agg(F.count(F.lit(1)).alias("_members"))
-    part = F.pmod(F.xxhash64("_node"), F.ceil(F.col("_members") / block))
-    mixed = F.pmod(F.xxhash64("_root"), F.ceil(F.col("_n") / block))
-    owner = F.when(F.col("_members") > block, F.col("_root"))
-    crowd = crowd.join(large, ["_at", "_root"]).select(
-        "_at", "_node", owner.alias("_owner"), F.when(owner.isNull(), mixed).otherwise(part).alias("_part")
+
+def _room(pos: np.ndarray, size: np.ndarray, other_pos: np.ndarray, other_size: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets that share an element at these places, and none before, can be that similar."""
+    needed = np.ceil(similarity / (1 + similarity) * (size[:, None] + other_size[None, :]) - 1e-9)
+    left = np.minimum((size - pos)[:, None], (other_size - other_pos)[None, :])
+    return left >= needed
+
+
+def _faced_pairs(rest: DataFrame, similarity: float, faced: int) -> DataFrame:
+    """Pairs that share a rare shingle, hang together with different others, and have room for the similarity.
+
+    Members of a value face each other in blocks of about ``faced`` rows, so no task holds
+    more than two. Blocks of one large component each need not face their own.
+    """
+    large = rest.groupBy("_at", "_root").agg(F.count(F.lit(1)).alias("_members"))
+    part = F.pmod(F.xxhash64("_node"), F.ceil(F.col("_members") / faced))
+    mixed = F.pmod(F.xxhash64("_root"), F.ceil(F.col("_n") / faced))
+    owner = F.when(F.col("_members") > faced, F.col("_root"))
+    rows = rest.join(materialise(large, "similar-members"), ["_at", "_root"]).select(
+        "_at", "_node", "_root", "_pos", "_size", owner.alias("_owner"), F.when(owner.isNull(), mixed).otherwise(part).alias("_part")
     )
-    crowd = crowd.withColumn("_block", F.xxhash64(F.coalesce("_owner", F.lit(0)), F.col("_owner").isNull(), "_part"))
-    crowd = materialise(crowd, "similar-crowd")
-    blocks = crowd.select("_at", "_block", "_owner").distinct()
+    rows = rows.withColumn("_block", F.xxhash64(F.coalesce("_owner", F.lit(0)), F.col("_owner").isNull(), "_part"))
+    rows = materialise(rows, "similar-crowd")
+    blocks = rows.select("_at", "_block", "_owner").distinct()
     ones = blocks.select("_at", F.col("_block").alias("_i"), F.col("_owner").alias("_io"))
     others = blocks.select("_at", F.col("_block").alias("_j"), F.col("_owner").alias("_jo"))
     known = F.coalesce(F.col("_io") == F.col("_jo"), F.lit(False))
     against = ones.join(others, "_at").where((F.col("_i") <= F.col("_j")) & ~known)
     against = against.select("_at", "_i", "_j", F.explode(F.array_distinct(F.array("_i", "_j"))).alias("_block"))
-    faced = crowd.select("_at", "_block", "_node").join(against, ["_at", "_block"]).join(sets, "_node")
-
-    def forest(group: pd.DataFrame) -> pd.DataFrame:
-        nodes, found = group["_node"].to_numpy(), []
-        size = group["_set"].map(len).to_numpy()
-        values, at = np.unique(np.concatenate(group["_set"].to_list()), return_inverse=True)
-        start = np.concatenate([[0], np.cumsum(size)[:-1]])
-        unseen = np.ones(len(nodes), dtype=bool)
-        for first in range(len(nodes)):
-            if not unseen[first]:
-                continue
-            unseen[first], open_ = False, [first]
-            while open_:
-                i = open_.pop()
-                held = np.zeros(len(values), dtype=np.int64)
-                held[at[start[i] : start[i] + size[i]]] = 1
-                shared = np.add.reduceat(held[at], start)
-                near = np.flatnonzero(unseen & (shared / (size[i] + size - shared) >= similarity))
-                unseen[near] = False
-                open_ += near.tolist()
-                found += [(nodes[i], nodes[j]) for j in near]
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    linked = faced.groupBy("_at", "_i", "_j").applyInPandas(forest, "a long, b long")
-    return stars.unionByName(alike(pairs)).unionByName(linked)
+    met = rows.drop("_owner", "_part").join(against, ["_at", "_block"])
+
+    def pairs(group: pd.DataFrame) -> pd.DataFrame:
+        node, root, pos, size = (group[c].to_numpy() for c in ("_node", "_root", "_pos", "_size"))
+        found = [np.empty((2, 0), dtype=np.int64)]
+        for first in range(0, len(node), 128):
+            own = slice(first, first + 128)
+            open_ = _room(pos[own], size[own], pos, size, similarity)
+            open_ &= (root[own, None] != root[None, :]) & (node[own, None] < node[None, :])
+            a, b = np.nonzero(open_)
+            found.append(np.stack([node[own][a], node[b]]))
+        return pd.DataFrame(np.concatenate(found, axis=1).T, columns=["a", "b"])
+
+    return met.groupBy("_at", "_i", "_j").applyInPandas(pairs, "a long, b long")
 
 
 def _similar_components(docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
@@ -434,10 +439,13 @@ def drop_near_copies(
         rank.eqNullSafe(F.col("_first")).alias("_kept"),
         "_rows",
     )
+    verdict = materialise(verdict, "simhash-verdicts")
     rows = packed(docs, id_col, text_col).withColumn("_hash", F.xxhash64("_text"))
+    # what is in no component of several rows passes as it is read
+    found = with_marks(rows, F.xxhash64("_id", "_hash"), verdict.select(F.xxhash64("_verdict_id", "_verdict_hash").alias("_key")))
     same = F.col("_id").eqNullSafe(F.col("_verdict_id")) & (F.col("_hash") == F.col("_verdict_hash"))
     # verdicts grow with the documents: always a shuffled join
-    joined = rows.join(verdict.hint("merge"), same, "left")
+    joined = found.where("_marked").join(verdict.hint("merge"), same, "left")
     once = joined.where(F.col("_kept").isNull() | (F.col("_kept") & (F.col("_rows") == 1)))
     repeated = joined.where(F.col("_kept") & (F.col("_rows") > 1)).dropDuplicates(["_id", "_hash"])
-    return unpacked(once).unionByName(unpacked(repeated))
+    return unpacked(found.where("not _marked")).unionByName(unpacked(once)).unionByName(unpacked(repeated))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -121,11 +122,9 @@ def grouped(nodes, linked):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("block", [simhash.BLOCK, 3])
-def test_similar_links_match_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "faced"), [(simhash.BLOCK, simhash.FACED), (3, simhash.FACED), (3, 7)])
+def test_similar_links_match_brute_force(spark, block, faced):
     """Families whose members share bands by the dozen, with members at, above and below 0.8."""
-    import numpy as np
-
     rng = random.Random(7)
     sets = set()
     for _ in range(4):
@@ -138,7 +137,7 @@ def test_similar_links_match_brute_force(spark, block):
     sets = [np.array(sorted(s), dtype=np.uint64) for s in sets]
     rows = [(i, simhash.band_keys(s).tolist(), s.view(np.int64).tolist()) for i, s in enumerate(sets)]
     df = spark.createDataFrame(rows, "_node long, _keys array<long>, _set array<long>").cache()
-    links = simhash.similar_links(df.select("_node", "_keys"), lambda n: df.join(n, "_node"), 0.8, block).collect()
+    links = simhash.similar_links(df.select("_node", "_keys"), lambda n: df.join(n, "_node"), 0.8, block, faced).collect()
     members = [set(s.tolist()) for s in sets]
     want = {(a, b) for b in range(len(sets)) for a in range(b) if jaccard(members[a], members[b]) >= 0.8}
     assert {tuple(sorted(r)) for r in links} <= want
@@ -187,3 +186,7 @@ def test_prefixes_of_similar_sets_meet(similarity):
         if a and b and jaccard(a, b) >= similarity:
             first = [set(sorted(x)[: simhash.prefix_length(len(x), similarity)]) for x in (a, b)]
             assert first[0] & first[1]
+            # and the first element they share leaves room for all others
+            least = min(a & b)
+            places = [np.array([sorted(x).index(least)]) for x in (a, b)]
+            assert simhash._room(places[0], np.array([len(a)]), places[1], np.array([len(b)]), similarity).all()
