@@ -54,7 +54,7 @@ def query(name: str, sql: str | None = None):
       SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
       UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
     ), shown AS (
-      SELECT *, 2 + length(role) + length(regexp_replace(role, '[^<\[|\\]', '', 'g')) + 3 + length(text)
+      SELECT *, 2 + length(role) + (role = 'end')::INTEGER + length(regexp_replace(role, '[^<\[|\\]', '', 'g')) + 3 + length(text)
         + length(regexp_replace(text, '[^<\[|\\]', '', 'g')) + 8 AS chars
       FROM rows
     )
@@ -140,9 +140,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _known_sql() -> str:
     texts = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licence_scan.KNOWN)
+    digests = ", ".join(f"('{n}', '{d}')" for n, d in licence_scan.DIGESTS)
     return f"""
-      SELECT min(licence) AS licence, {licence_scan.canonical_sql("t")} AS c
-      FROM (VALUES {texts}) k(licence, t) GROUP BY 2
+      SELECT min(licence) AS licence, digest FROM (
+        SELECT licence, sha256({licence_scan.canonical_sql("t")}) AS digest FROM (VALUES {texts}) k(licence, t)
+        UNION ALL SELECT * FROM (VALUES {digests}) f(licence, digest)) GROUP BY 2
     """
 
 
@@ -151,17 +153,17 @@ def _known_sql() -> str:
     f"""
     WITH known AS ({_known_sql()}
     ), whole AS (
-      SELECT doc_id, {licence_scan.canonical_sql("text")} AS c FROM documents
+      SELECT doc_id, sha256({licence_scan.canonical_sql("text")}) AS digest FROM documents
     ), lines AS (
-      SELECT doc_id, {licence_scan.canonical_sql("line")} AS c
+      SELECT doc_id, sha256({licence_scan.canonical_sql("line")}) AS digest
       FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
     ), found AS (
       SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS line_licences, count(*) AS n
-      FROM lines JOIN known USING (c) GROUP BY 1
+      FROM lines JOIN known USING (digest) GROUP BY 1
     )
-    SELECT doc_id, sha256(whole.c) AS text_digest, coalesce(licence, '') AS licence,
+    SELECT doc_id, whole.digest AS text_digest, coalesce(licence, '') AS licence,
            coalesce(line_licences, '') AS line_licences, coalesce(n, 0) AS n_licence_lines
-    FROM whole LEFT JOIN known USING (c) LEFT JOIN found USING (doc_id)
+    FROM whole LEFT JOIN known USING (digest) LEFT JOIN found USING (doc_id)
     """,
 )
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

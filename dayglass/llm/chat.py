@@ -7,7 +7,8 @@ so a thread of n turns takes log2(n) rounds.
 The template opens a turn with ``<|role|>`` and a line break, and ends it with
 ``<|end|>`` and a line break. Inside texts and roles a backslash is doubled and ``<``,
 ``[`` and ``|`` are followed by one, so no control string of this or a similar template
-can stand in a text, and ``unescape`` gives every text back.
+can stand in a text, and ``unescape`` gives every text back. A role that is the control
+word ``end`` itself gets a single backslash in front, which nothing else has.
 
 Defined results: a null text or role counts as empty. A reply to a node that is not
 there starts a tree of its own. Nodes that repeat an id in a tree are told apart by
@@ -36,6 +37,14 @@ def unescape(text: Column) -> Column:
     return F.replace(shut, F.lit("\\\\"), F.lit("\\"))
 
 
+def escape_role(role: Column) -> Column:
+    return F.when(role == "end", F.lit("\\end")).otherwise(escape(role))
+
+
+def unescape_role(role: Column) -> Column:
+    return F.when(role == "\\end", F.lit("end")).otherwise(unescape(role))
+
+
 def threads(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Rows by turn as a reply tree: every row replies to the one before it.
 
@@ -113,7 +122,7 @@ def format_paths(nodes: DataFrame, chosen: DataFrame, learn_role: str = "assista
         F.col("tree").alias("_t"), F.col("node").alias("_n"), "leaf", "rank", "place"
     )
     joined = nodes.join(member, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n")))
-    head = F.concat(F.lit("<|"), escape(F.col("role")), F.lit("|>\n"))
+    head = F.concat(F.lit("<|"), escape_role(F.col("role")), F.lit("|>\n"))
     body = escape(F.col("text"))
     turns = joined.select(
         "tree", "leaf", "rank", "place", "role", head.alias("_head"), body.alias("_body"),
@@ -145,7 +154,7 @@ def read_turns(formatted: Column) -> Column:
     def turn(p: Column) -> Column:
         role = F.regexp_extract(p, r"^<\|([\s\S]*?)\|>\n", 1)
         text = F.substr(p, F.char_length(role) + 6, F.char_length(p))
-        return F.struct(unescape(role).alias("role"), unescape(text).alias("text"))
+        return F.struct(unescape_role(role).alias("role"), unescape(text).alias("text"))
 
     return F.transform(parts, turn)
 

@@ -30,11 +30,11 @@ SPELLINGS = (
     ("organisation", "organization"),
     ("acknowledgement", "acknowledgment"),
 )
-COPYRIGHT = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
+# A copyright line names a year or has the sign; a body line that happens to begin with the
+# word, as wrapping may have it, stays.
+COPYRIGHT = r"(?m)^[ \t]*(copyright[^\n]*(\(c\)|©|[0-9]{4}|\[year\]|<year>)|(\(c\)|©)[^\n]*[0-9]{4})[^\n]*$"
 
-# Public licence texts and notices by their usual short names. Those that the
-# files publish in lines are kept in those lines, since a line that begins with "copyright"
-# leaves the canonical text of a file as it leaves that of the known text.
+# Public licence texts and notices by their usual short names.
 _NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -159,6 +159,25 @@ KNOWN = (
 )
 
 
+# Digests of the canonical form of whole licence texts as their publishers give
+# them, too long to be kept as text. A change of the canonical form changes them.
+DIGESTS = (
+    ("Apache-2.0", "95f35d79ea3bab75c250549d6a03cef242e0547d78c99e26fcede49936fb0184"),
+    ("Artistic-1.0-Perl", "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"),
+    ("GFDL-1.3", "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+)
+
+
 def _spelling(words: Column) -> Column:
     """Padded words with one spelling each; a word at a time, so neighbours do not hide each other."""
     return reduce(lambda t, pair: F.replace(t, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")), SPELLINGS, words)
@@ -175,19 +194,24 @@ def canonical(text: Column) -> Column:
 def canonical_sql(text: str) -> str:
     """The same in DuckDB's SQL."""
     lowered = f"translate(coalesce({text}, ''), '{UPPER}', '{LOWER}')"
-    bare = rf"regexp_replace({lowered}, '(?m)^[ \t]*(copyright|\(c\)|\x{{a9}})[^\n]*$', '', 'g')"
+    pattern = COPYRIGHT.replace("©", r"\x{a9}")
+    bare = f"regexp_replace({lowered}, '{pattern}', '', 'g')"
     spaced = rf"' ' || regexp_replace({bare}, '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', '  ', 'g') || ' '"
     spelt = reduce(lambda t, pair: f"replace({t}, ' {pair[0]} ', ' {pair[1]} ')", SPELLINGS, spaced)
     return f"trim(regexp_replace({spelt}, ' +', ' ', 'g'))"
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """(``_licence``, ``_known``): one row for each distinct digest of the given texts."""
+def known_digests(
+    spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN, digests: tuple[tuple[str, str], ...] = DIGESTS
+) -> DataFrame:
+    """(``_licence``, ``_known``): one row for each distinct digest of the given texts, and for the given digests."""
     rows = F.array(*[F.struct(F.lit(n).alias("_licence"), F.lit(t).alias("_text")) for n, t in known])
     listed = spark.range(1).select(F.inline(rows))
-    return listed.select("_licence", F.sha2(canonical(F.col("_text")).cast("binary"), 256).alias("_known")).groupBy(
-        "_known"
-    ).agg(F.min("_licence").alias("_licence"))
+    made = listed.select("_licence", F.sha2(canonical(F.col("_text")).cast("binary"), 256).alias("_known"))
+    if digests:
+        told = F.array(*[F.struct(F.lit(n).alias("_licence"), F.lit(d).alias("_known")) for n, d in digests])
+        made = made.unionByName(spark.range(1).select(F.inline(told)))
+    return made.groupBy("_known").agg(F.min("_licence").alias("_licence"))
 
 
 def licence_scan(

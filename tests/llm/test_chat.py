@@ -16,6 +16,10 @@ TURNS = [
     (None, 5, "user", "no conversation"),
     (4, None, "assistant", "no turn"),
     (5, 0, "user", "x" * 300_000),
+    (6, 0, "end", "a control word as a role"),
+    (6, 1, "\\end", "the same behind a backslash"),
+    (6, 2, "End", "<|end|>\n"),
+    (6, 3, "|end|", ""),
 ]
 
 

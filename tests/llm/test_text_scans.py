@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -116,3 +117,32 @@ def test_licence_files_as_published(spark):
     }
     df = spark.createDataFrame(list(files.items()), "doc_id string, text string")
     assert {r.doc_id: r.licence for r in licence_scan.licence_scan(df).collect()} == {n: n for n in files}
+
+
+def test_licences_wrapped_anew(spark):
+    """Every known text in lines of any width, a copyright line in front."""
+    import textwrap
+
+    long = [(n, t) for n, t in licence_scan.KNOWN if len(t) > 600]
+    rows = [
+        (f"{n}|{w}|{i}", "Copyright (c) 2020, Some One\n\n" + "\n\n".join(textwrap.fill(p, w) for p in t.split("\n\n")))
+        for i, (n, t) in enumerate(long)
+        for w in range(60, 99, 2)
+    ]
+    found = licence_scan.licence_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(found) == len(rows) >= 60 and all(r.licence == r.doc_id.split("|")[0] for r in found)
+
+
+def test_whole_texts_by_digest(spark):
+    """Licence files as a Debian system publishes them, where there is one, also wrapped anew."""
+    import textwrap
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0"}
+    if not all((folder / f).exists() for f in names):
+        pytest.skip("no licence files here")
+    texts = {n: (folder / f).read_text() for f, n in names.items()}
+    rows = list(texts.items()) + [("MPL-2.0", textwrap.fill(texts["MPL-2.0"], 91)), ("GPL-3.0", texts["GPL-3.0"].upper())]
+    found = licence_scan.licence_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(found) == len(rows) and all(r.licence == r.doc_id for r in found)
