@@ -14,10 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayglass.llm.common import ascii_lower, broadcast_if_small, packed, unpacked, with_marks
+from dayglass.llm.common import BROADCAST_ROWS, ascii_lower, broadcast_if_small, packed, unpacked, with_marks
 from dayglass.session import materialise
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BROADCAST_WINDOWS = BROADCAST_ROWS  # three numbers each
 # the same letters before lower-casing
 _ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -28,16 +29,25 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
 
 
+def _hashes(words_: Column) -> Column:
+    """One hash for each word, made once; windows are hashed from these."""
+    return F.transform(words_, lambda w: F.xxhash64(w))
+
+
+def _both(run: Column) -> list[Column]:
+    """Two hashes of a window; that both agree verifies a hit."""
+    return [F.xxhash64(run).alias("_hash"), F.xxhash64(F.lit(1), run).alias("_check")]
+
+
+_WINDOW = ["_length", "_hash", "_check"]
+
+
 def _windows(length: int) -> Column:
-    """Hashes of all runs of ``length`` words, with their place."""
-    last = F.size("_words") - length
+    """Length and hashes of all runs of ``length`` words of ``_h``, with their place."""
+    last = F.size("_h") - length
 
     def one(i: Column) -> Column:
-        return F.struct(
-            i.alias("_at"),
-            F.lit(length).alias("_length"),
-            F.xxhash64(F.slice("_words", i + 1, length)).alias("_hash"),
-        )
+        return F.struct(i.alias("_at"), F.lit(length).alias("_length"), *_both(F.slice("_h", i + 1, length)))
 
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), one)).otherwise(
         F.filter(F.array(one(F.lit(0))), lambda _: F.lit(False))
@@ -45,44 +55,37 @@ def _windows(length: int) -> Column:
 
 
 def test_windows(items: DataFrame, width: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct windows of the test items: length, hash, words and the items that hold each."""
-    split = items.select(F.col(id_col).alias("_item"), words(F.col(text_col)).alias("_words"))
-    sized = split.where(F.size("_words") > 0).withColumn("_length", F.least(F.size("_words"), F.lit(width)))
-    starts = F.sequence(F.lit(1), F.size("_words") - F.col("_length") + 1)
-    grams = sized.select(
-        "_item",
-        "_length",
-        F.explode(F.transform(starts, lambda i: F.slice("_words", i, F.col("_length")))).alias("_gram"),
-    )
-    held = grams.groupBy("_length", "_gram").agg(F.collect_set("_item").alias("_items"))
-    return held.select("_length", F.xxhash64("_gram").alias("_hash"), "_gram", "_items")
+    """Distinct rows (``_length``, ``_hash``, ``_check``, ``_item``): each item's windows."""
+    split = items.select(F.col(id_col).alias("_item"), _hashes(words(F.col(text_col))).alias("_h"))
+    sized = split.where(F.size("_h") > 0).withColumn("_length", F.least(F.size("_h"), F.lit(width)))
+    starts = F.sequence(F.lit(1), F.size("_h") - F.col("_length") + 1)
+    runs = sized.select("_item", "_length", F.explode(F.transform(starts, lambda i: F.slice("_h", i, F.col("_length")))).alias("_run"))
+    return runs.select("_length", *_both(F.col("_run")), "_item").distinct()
 
 
-def _hits(docs: DataFrame, items: DataFrame, width: int, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
+def _hits(docs: DataFrame, tests: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row of length 0 for each document, and one for each place of a test window in it.
 
     One pass over the documents: the row of length 0 travels with the windows and meets
-    an entry of its own in the hash set, so documents without a hit keep their row.
+    an entry of its own in the hash set, so documents without a hit keep their row. A
+    window travels as its place, length and hashes; no text does. The set is broadcast
+    behind a count of its rows, which are three numbers each, and shuffled beyond.
     """
-    tests = materialise(test_windows(items, width, item_col, item_text), "test-windows")
-    # at most ``width`` different lengths
-    lengths = sorted(r[0] for r in tests.select("_length").distinct().collect())
-    mark = F.array(F.struct(F.lit(0).alias("_at"), F.lit(0).alias("_length"), F.lit(0).cast("long").alias("_hash")))
-    split = docs.select(
-        F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), words(F.col(text_col)).alias("_words")
+    entry = tests.sparkSession.range(1).select(
+        F.lit(0).alias("_length"), F.lit(0).cast("long").alias("_hash"), F.lit(0).cast("long").alias("_check")
     )
+    known = materialise(tests.select(*_WINDOW).distinct().unionByName(entry), "test-window-set")
+    # at most ``width`` different lengths
+    lengths = sorted(r[0] for r in known.where("_length > 0").select("_length").distinct().collect())
+    mark = F.array(F.struct(F.lit(0).alias("_at"), F.lit(0).alias("_length"), *[F.lit(0).cast("long").alias(c) for c in _WINDOW[1:]]))
+    # through a generator: what reads the hashes never sees, and reruns, what made them
+    made = F.inline(F.array(F.struct(_hashes(words(F.col(text_col))).alias("_h"))))
+    split = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), made)
     opened = split.select(
-        "_id", "_text", "_words", F.size("_words").cast("long").alias("_n"),
-        F.inline(F.concat(mark, *[_windows(n) for n in lengths])),
+        "_id", "_text", F.size("_h").cast("long").alias("_n"), F.inline(F.concat(mark, *[_windows(n) for n in lengths]))
     )
-    entry = tests.sparkSession.range(1).select(
-        F.lit(0).alias("_length"), F.lit(0).cast("long").alias("_hash"),
-        F.array().cast("array<string>").alias("_gram"), F.array().cast(tests.schema["_items"].dataType).alias("_items"),
-    )
-    known = broadcast_if_small(materialise(tests.unionByName(entry), "test-window-set"))
-    met = opened.join(known, ["_length", "_hash"])
-    real = (F.col("_length") == 0) | (F.slice("_words", F.col("_at") + 1, F.col("_length")) == F.col("_gram"))
-    return materialise(met.where(real).select("_id", "_text", "_n", "_at", "_length", "_items"), "test-hits")
+    met = opened.join(broadcast_if_small(known, BROADCAST_WINDOWS), _WINDOW)
+    return materialise(met.select("_id", "_text", "_n", "_at", *_WINDOW), "test-hits")
 
 
 def contamination(
@@ -95,7 +98,8 @@ def contamination(
     item_text: str = "text",
 ) -> DataFrame:
     """Per document: id, ``text_hash``, ``n_words``, merged word ``spans`` of hits, ``n_hit``, ``items`` as sorted text."""
-    hits = _hits(docs, items, width, id_col, text_col, item_col, item_text)
+    tests = materialise(test_windows(items, width, item_col, item_text), "test-windows")
+    hits = _hits(docs, tests, id_col, text_col)
     key = ["_id", "_text"]
     found = hits.where("_length > 0")
     # overlapping windows of one document become spans; a partition is one document's hits
@@ -112,7 +116,8 @@ def contamination(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"),
         F.sum(F.col("end") - F.col("start")).cast("long").alias("n_hit"),
     )
-    pairs = found.select(*key, F.explode("_items").alias("_item")).distinct()
+    # the items of a window are a table, joined to the windows that were found
+    pairs = found.select(*key, *_WINDOW).distinct().join(tests.select(*_WINDOW, "_item"), _WINDOW).select(*key, "_item").distinct()
     named = pairs.groupBy(*key).agg(F.sort_array(F.collect_list(F.col("_item").cast("string"))).alias("items"))
     both = covered.join(named, [covered[c].eqNullSafe(named[c]) for c in key]).select(
         *[covered[c].alias(f"{c}_hit") for c in key], "spans", "n_hit", "items"
@@ -147,16 +152,24 @@ def remove_spans(
 ) -> DataFrame:
     """All documents, their hit words cut out together with what follows each of them."""
     joined = _with_spans(docs, items, width, id_col, text_col, names, "left")
-    word = F.regexp_extract_all("_text", F.lit(_ANY_CASE), F.lit(0))
-    gap = F.split("_text", _ANY_CASE, -1)
+    # only what has a hit is taken apart, and once: the parts pass through a generator
+    apart = F.struct(
+        F.when(F.col("_spans").isNotNull(), F.regexp_extract_all("_text", F.lit(_ANY_CASE), F.lit(0))).alias("_word"),
+        F.when(F.col("_spans").isNotNull(), F.split("_text", _ANY_CASE, -1)).alias("_gap"),
+    )
+    parts = joined.select("_row", "_text", "_spans", F.inline(F.array(apart)))
+    # the spans ascend and do not touch, so the one that may hold a word is the last to begin at or before it
+    begun = F.transform("_spans", lambda s: s["start"])
 
     def part(w: Column, i: Column) -> Column:
-        cut = F.exists("_spans", lambda s: (s["start"] <= i) & (i < s["end"]))
-        return F.when(cut, F.lit("")).otherwise(F.concat(w, F.element_at(gap, i + 2)))
+        place = F.size(F.filter(F.col("_begun"), lambda b: b <= i))
+        cut = (place > 0) & (i < F.get(F.col("_spans"), place - 1)["end"])
+        return F.when(cut, F.lit("")).otherwise(F.concat(w, F.element_at("_gap", i + 2)))
 
-    rest = F.concat(F.element_at(gap, 1), F.array_join(F.transform(word, part), ""))
+    begun_once = parts.select("*", F.inline(F.array(F.struct(begun.alias("_begun")))))
+    rest = F.concat(F.element_at("_gap", 1), F.array_join(F.transform("_word", part), ""))
     cleaned = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(rest)
-    return joined.select(*[cleaned.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
+    return begun_once.select(*[cleaned.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def _hit_documents(docs: DataFrame, items: DataFrame, width: int, id_col: str, text_col: str, names: dict[str, str]) -> DataFrame:

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import re
 
+import pytest
+
 from dayglass.llm import decontamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -51,7 +53,10 @@ def tables(spark):
     return docs, spark.createDataFrame(ITEMS, "item_id long, text string")
 
 
-def test_hits_match_brute_force(spark):
+@pytest.mark.parametrize("bound", [decontamination.BROADCAST_WINDOWS, 0])
+def test_hits_match_brute_force(spark, bound, monkeypatch):
+    """Both ways of meeting the test windows: broadcast, and shuffled with hashes alone."""
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", bound)
     docs, items = tables(spark)
     got = decontamination.contamination(docs, items).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, r["items"]) for r in got) == sorted(
@@ -76,3 +81,29 @@ def test_empty_tables(spark):
     none = decontamination.contamination(docs, items.limit(0)).collect()
     assert len(none) == len(DOCS) and all(r.n_hit == 0 for r in none)
     assert decontamination.remove_documents(docs, items.limit(0)).count() == len(DOCS)
+
+
+@pytest.mark.parametrize("bound", [decontamination.BROADCAST_WINDOWS, 0])
+def test_no_text_moves(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", bound)
+    docs, items = tables(spark)
+    seen = {}
+    plain = decontamination.materialise
+
+    def record(df, label):
+        seen[label] = df
+        return plain(df, label)
+
+    monkeypatch.setattr(decontamination, "materialise", record)
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # or Spark would broadcast so small a table by itself
+    try:
+        decontamination.contamination(docs, items)
+        plan = seen["test-hits"]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert ("BroadcastExchange" in plan) == (bound > 0)
+    if not bound:
+        assert "Exchange hashpartitioning(_length" in plan
+    # the windows that travel are numbers
+    assert {t for c, t in seen["test-hits"].dtypes if c != "_id"} <= {"bigint", "int"}
