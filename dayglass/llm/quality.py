@@ -98,8 +98,20 @@ class Extractor:
         return np.sort(np.fromiter(found, dtype=np.int64, count=len(found)))
 
 
-def fit_dual(rows: list[np.ndarray], values: list[np.ndarray], signs: np.ndarray, dims: int, cost: np.ndarray, sweeps: int, seed: int = 0) -> np.ndarray:
-    """Hinge-loss weights by dual coordinate descent; the last weight is the bias."""
+def fit_dual(
+    rows: list[np.ndarray],
+    values: list[np.ndarray],
+    signs: np.ndarray,
+    dims: int,
+    cost: np.ndarray,
+    sweeps: int,
+    seed: int = 0,
+    tolerance: float = 1e-4,
+) -> np.ndarray:
+    """Hinge-loss weights by dual coordinate descent; the last weight is the bias.
+
+    A sweep that moves no multiplier by more than ``tolerance`` is the last.
+    """
     w, alpha = np.zeros(dims + 1), np.zeros(len(rows))
     squares = np.array([v @ v + 1.0 for v in values])
     rng = np.random.default_rng(seed)
@@ -114,7 +126,7 @@ def fit_dual(rows: list[np.ndarray], values: list[np.ndarray], signs: np.ndarray
                 w[-1] += change
                 moved = max(moved, abs(change))
                 alpha[i] = new
-        if moved < 1e-4:
+        if moved < tolerance:
             break
     return w
 
