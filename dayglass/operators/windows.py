@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from dayglass import config
 from dayglass.functions.numeric import zscore
 from dayglass.operators.moments import moments, sample_std
+from dayglass.session import materialise
 
 
 def self_zscores(
@@ -33,6 +34,30 @@ def self_zscores(
     return daily.select("*", *scores)
 
 
+def extend_self_zscores(
+    tail: DataFrame,
+    new: DataFrame,
+    measures: list[str],
+    user: str = "user_id",
+    order: tuple[str, ...] = ("date", "dataset", "role"),
+    days: int = config.SELF_WINDOW_DAYS,
+) -> tuple[DataFrame, DataFrame]:
+    """Self z-scores of new daily rows from the rows that reach into their windows, and the next such rows.
+
+    ``tail`` holds each user's last ``days`` - 1 rows before the new ones; so does the
+    second table for the time after them. Only users with new rows, and no other days, are
+    read for the scores.
+    """
+    present = [c for c in order if c in new.columns]
+    both = tail.select(*new.columns, F.lit(False).alias("_new")).unionByName(new.withColumn("_new", F.lit(True)))
+    both = materialise(both, "self-tail")
+    touched = both.where("_new").select(user).distinct()
+    scored = self_zscores(both.join(touched, user, "left_semi"), measures, user, order, days).where("_new").drop("_new")
+    last = Window.partitionBy(user).orderBy(*[F.desc(c) for c in present])
+    kept = both.drop("_new").withColumn("_age", F.row_number().over(last)).where(F.col("_age") < days).drop("_age")
+    return scored.select(*new.columns, *[f"{m}_zscore_self" for m in measures]), materialise(kept, "self-tail")
+
+
 def peer_zscores(
     daily: DataFrame, measures: list[str], group: tuple[str, ...] = ("role", "date"), stats: DataFrame | None = None
 ) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +39,8 @@ def read_predictions(
     """Prediction table partitioned by model; a model without rows only warns."""
     table = spark.read.parquet(path)
     wanted = list(models)
-    # folder names, at most one row per model
-    present = {r[0] for r in table.where(F.col("model").isin(*wanted)).select("model").distinct().collect()}
+    # the listing the reader has made already names the folders; no row is read
+    present = {unquote(unquote(f)).rsplit("/model=", 1)[-1].split("/")[0] for f in table.inputFiles() if "/model=" in f}
     for model in wanted:
         if model not in present:
             warnings.warn(f"no predictions of {model}", stacklevel=2)

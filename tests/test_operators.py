@@ -493,3 +493,18 @@ def test_stored_series_are_as_small_as_the_daily_table(spark, tmp_path):
     back = writers.read_sequences(spark, str(tmp_path / "series"), stride=10, label_rule="any").collect()
     want = windows.sequences(daily, ["a", "b"], stride=10, label_rule="any").collect()
     assert sorted(map(str, back)) == sorted(map(str, want)) and len(back) == 40 * 5
+
+
+def test_self_zscores_day_by_day(spark):
+    """Scores of each day from a stored tail are those of the whole history at once."""
+    rng = np.random.default_rng(6)
+    rows = [(d, f"u{u}", float(rng.integers(0, 50)), float(d * u % 7)) for d in range(12) for u in range(6) if (d + u) % 4]
+    schema = "date int, user_id string, m double, k double"
+    daily = spark.createDataFrame(rows, schema)
+    whole = {(r.date, r.user_id): (r.m_zscore_self, r.k_zscore_self) for r in windows.self_zscores(daily, ["m", "k"], days=5).collect()}
+    tail, got = spark.createDataFrame([], schema), {}
+    for part in (daily.where("date < 8"), daily.where("date = 8"), daily.where("date in (9, 10)"), daily.where("date = 11")):
+        scored, tail = windows.extend_self_zscores(tail, part, ["m", "k"], days=5)
+        got |= {(r.date, r.user_id): (r.m_zscore_self, r.k_zscore_self) for r in scored.collect()}
+        assert tail.groupBy("user_id").count().agg(F.max("count")).first()[0] <= 4
+    assert got.keys() == whole.keys() and all(np.allclose(got[k], whole[k]) for k in whole)
