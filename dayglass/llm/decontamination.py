@@ -18,7 +18,7 @@ from dayglass.llm.common import BROADCAST_ROWS, ascii_lower, broadcast_if_small,
 from dayglass.session import materialise
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_WINDOWS = BROADCAST_ROWS  # three numbers each
+BROADCAST_WINDOWS = BROADCAST_ROWS  # two numbers each
 # the same letters before lower-casing
 _ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -34,20 +34,15 @@ def _hashes(words_: Column) -> Column:
     return F.transform(words_, lambda w: F.xxhash64(w))
 
 
-def _both(run: Column) -> list[Column]:
-    """Two hashes of a window; that both agree verifies a hit."""
-    return [F.xxhash64(run).alias("_hash"), F.xxhash64(F.lit(1), run).alias("_check")]
-
-
-_WINDOW = ["_length", "_hash", "_check"]
+_WINDOW = ["_length", "_hash", "_gram"]
 
 
 def _windows(length: int) -> Column:
-    """Length and hashes of all runs of ``length`` words of ``_h``, with their place."""
+    """Length and hash of all runs of ``length`` words of ``_h``, with their place."""
     last = F.size("_h") - length
 
     def one(i: Column) -> Column:
-        return F.struct(i.alias("_at"), F.lit(length).alias("_length"), *_both(F.slice("_h", i + 1, length)))
+        return F.struct(i.alias("_at"), F.lit(length).alias("_length"), F.xxhash64(F.slice("_h", i + 1, length)).alias("_hash"))
 
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), one)).otherwise(
         F.filter(F.array(one(F.lit(0))), lambda _: F.lit(False))
@@ -55,37 +50,66 @@ def _windows(length: int) -> Column:
 
 
 def test_windows(items: DataFrame, width: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct rows (``_length``, ``_hash``, ``_check``, ``_item``): each item's windows."""
-    split = items.select(F.col(id_col).alias("_item"), _hashes(words(F.col(text_col))).alias("_h"))
-    sized = split.where(F.size("_h") > 0).withColumn("_length", F.least(F.size("_h"), F.lit(width)))
-    starts = F.sequence(F.lit(1), F.size("_h") - F.col("_length") + 1)
-    runs = sized.select("_item", "_length", F.explode(F.transform(starts, lambda i: F.slice("_h", i, F.col("_length")))).alias("_run"))
-    return runs.select("_length", *_both(F.col("_run")), "_item").distinct()
+    """Distinct rows (``_length``, ``_hash``, ``_gram``, ``_item``): each item's windows, words included."""
+    split = items.select(F.col(id_col).alias("_item"), words(F.col(text_col)).alias("_words"))
+    sized = split.where(F.size("_words") > 0).withColumn("_length", F.least(F.size("_words"), F.lit(width)))
+    starts = F.sequence(F.lit(1), F.size("_words") - F.col("_length") + 1)
+    runs = sized.select("_item", "_length", F.explode(F.transform(starts, lambda i: F.slice("_words", i, F.col("_length")))).alias("_gram"))
+    return runs.select("_length", F.xxhash64(_hashes(F.col("_gram"))).alias("_hash"), "_gram", "_item").distinct()
 
 
 def _hits(docs: DataFrame, tests: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row of length 0 for each document, and one for each place of a test window in it.
 
-    One pass over the documents: the row of length 0 travels with the windows and meets
-    an entry of its own in the hash set, so documents without a hit keep their row. A
-    window travels as its place, length and hashes; no text does. The set is broadcast
-    behind a count of its rows, which are three numbers each, and shuffled beyond.
+    One pass over the documents looks all windows up: the row of length 0 travels with
+    the windows and meets an entry of its own in the hash set, so documents without a hit
+    keep their row. A window travels as its place, length and hash; no text does. The set
+    is broadcast behind a count of its rows, which are two numbers each, and shuffled
+    beyond. What was hit is then verified.
     """
-    entry = tests.sparkSession.range(1).select(
-        F.lit(0).alias("_length"), F.lit(0).cast("long").alias("_hash"), F.lit(0).cast("long").alias("_check")
-    )
-    known = materialise(tests.select(*_WINDOW).distinct().unionByName(entry), "test-window-set")
+    entry = tests.sparkSession.range(1).select(F.lit(0).alias("_length"), F.lit(0).cast("long").alias("_hash"))
+    known = materialise(tests.select("_length", "_hash").distinct().unionByName(entry), "test-window-set")
     # at most ``width`` different lengths
     lengths = sorted(r[0] for r in known.where("_length > 0").select("_length").distinct().collect())
-    mark = F.array(F.struct(F.lit(0).alias("_at"), F.lit(0).alias("_length"), *[F.lit(0).cast("long").alias(c) for c in _WINDOW[1:]]))
+    mark = F.array(F.struct(F.lit(0).alias("_at"), F.lit(0).alias("_length"), F.lit(0).cast("long").alias("_hash")))
     # through a generator: what reads the hashes never sees, and reruns, what made them
     made = F.inline(F.array(F.struct(_hashes(words(F.col(text_col))).alias("_h"))))
     split = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), made)
     opened = split.select(
         "_id", "_text", F.size("_h").cast("long").alias("_n"), F.inline(F.concat(mark, *[_windows(n) for n in lengths]))
     )
-    met = opened.join(broadcast_if_small(known, BROADCAST_WINDOWS), _WINDOW)
-    return materialise(met.select("_id", "_text", "_n", "_at", *_WINDOW), "test-hits")
+    met = opened.join(broadcast_if_small(known, BROADCAST_WINDOWS), ["_length", "_hash"])
+    met = materialise(met.select("_id", "_text", "_n", "_at", "_length", "_hash"), "test-meetings")
+    whole = met.where("_length = 0").select("_id", "_text", "_n", "_at", "_length", "_hash", F.lit(None).cast("array<string>").alias("_gram"))
+    return materialise(whole.unionByName(_verified(docs, met.where("_length > 0"), tests, id_col, text_col)), "test-hits")
+
+
+def _verified(docs: DataFrame, found: DataFrame, tests: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Those places at which a document has the very words of a test window, with these.
+
+    Documents without a meeting are told apart as they are read; only the others' texts
+    are shuffled, each once, to meet its places.
+    """
+    place = F.struct("_at", "_length", "_hash")
+    # the places of one document
+    places = materialise(
+        found.distinct().groupBy(F.col("_id").alias("_met"), F.col("_text").alias("_met_text")).agg(
+            F.max("_n").alias("_n"), F.collect_list(place).alias("_places")
+        ),
+        "test-places",
+    )
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.col(text_col).alias("_said"))
+    marked = with_marks(rows, F.xxhash64("_id", "_text"), places.select(F.xxhash64("_met", "_met_text").alias("_key")))
+    same = F.col("_id").eqNullSafe(F.col("_met")) & (F.col("_text") == F.col("_met_text"))
+    joined = marked.where("_marked").join(places.hint("merge"), same)
+    # rows that repeat id and text have the same places, and each of them is wanted
+    split = joined.select("_id", "_text", "_n", "_places", F.inline(F.array(F.struct(words(F.col("_said")).alias("_words")))))
+    own = F.transform(
+        "_places", lambda p: F.struct(p["_at"].alias("_at"), p["_length"].alias("_length"), p["_hash"].alias("_hash"),
+                                      F.slice("_words", p["_at"] + 1, p["_length"]).alias("_gram"))
+    )
+    told = split.select("_id", "_text", "_n", F.inline(own))
+    return told.join(tests.select(*_WINDOW).distinct(), _WINDOW, "left_semi")
 
 
 def contamination(

@@ -99,11 +99,22 @@ def test_no_text_moves(spark, monkeypatch, bound):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # or Spark would broadcast so small a table by itself
     try:
         decontamination.contamination(docs, items)
-        plan = seen["test-hits"]._jdf.queryExecution().executedPlan().toString()
+        plan = seen["test-meetings"]._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
     assert ("BroadcastExchange" in plan) == (bound > 0)
     if not bound:
         assert "Exchange hashpartitioning(_length" in plan
     # the windows that travel are numbers
-    assert {t for c, t in seen["test-hits"].dtypes if c != "_id"} <= {"bigint", "int"}
+    assert {t for c, t in seen["test-meetings"].dtypes if c != "_id"} <= {"bigint", "int"}
+
+
+def test_equal_hashes_do_not_count(spark, monkeypatch):
+    """Hits are verified by their words: with one hash for all windows the result is the same."""
+    monkeypatch.setattr(decontamination, "_hashes", lambda words_: decontamination.F.transform(words_, lambda w: decontamination.F.lit(7).cast("long")))
+    docs, items = tables(spark)
+    docs = docs.where("length(coalesce(text, '')) < 1000")
+    got = decontamination.contamination(docs, items).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r["items"]) for r in got) == sorted(
+        (str(d[0]), *brute(d[1], ITEMS)) for d in DOCS if len(d[1] or "") < 1000
+    )
