@@ -194,7 +194,7 @@ def fit(
     label_id: str = "doc_id",
     label_col: str = "toxic",
 ) -> ToxicityModel | None:
-    """Train the classifiers; None without a positive label. Held-out documents are not looked at."""
+    """Train the classifiers; None without a document of a positive label. Held-out documents are not looked at."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(~held_out(F.col("_id")))
@@ -222,6 +222,10 @@ def fit(
     each = F.explode(F.sequence(F.lit(0), F.lit(params.classifiers - 1)))
     # each classifier meets all of the sample, its own fold for calibration alone
     dealt = materialise(rows.select("*", folds.alias("_fold"), each.alias("_bag")), "toxic-features")
+    # labels may be of other documents only
+    told = dealt.agg(F.count_if("_known"), F.count_if(~F.col("_known"))).first()
+    if not all(told):
+        return None
 
     def train(bag: pd.DataFrame) -> pd.DataFrame:
         bag = bag.sort_values(["_known", "_id"])

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 from test_decontamination import brute as brute_hits
 
 import corpus_pipeline
 from dayglass.llm import packing, simhash, toxicity
 from dayglass.llm.common import table
+from dayglass.session import materialise
 
 SF = "/root/testdata/sf0.001"
 
@@ -85,3 +87,29 @@ def test_all_that_is_left_is_packed(spark, kept):
     for r in rows:
         placed[r.doc_id] = placed.get(r.doc_id, 0) + r.length
     assert placed == sizes
+
+
+def test_clashing_columns_and_awkward_rows_pass_all_stages(spark, awkward):
+    names = ["_text", "_hash", "_marked", "_digest", "_key", "_node", "_word", "_at"]
+    docs = awkward
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(f"own {i}"))
+    before = {str(r.doc_id): r for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialise(stage(spark, docs, SF), "awkward-stage")
+        assert docs.columns == [*awkward.columns, *names]
+    left = docs.collect()
+    # copies, texts without words and the repeated row are gone; the rest is as it was
+    ids = sorted(str(r.doc_id) for r in left)
+    assert len(ids) == len(set(ids)) and set(ids) <= set(before)
+    assert all(r == before[str(r.doc_id)] for r in left)
+    assert {"5", "6", "8", "None"} <= set(ids) and len({"1", "2"} & set(ids)) == 1
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).select("doc_id").distinct().count() == len(left)
+
+
+def test_an_empty_table_passes_all_stages(spark, nothing):
+    docs = nothing
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == nothing.columns and docs.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
