@@ -80,18 +80,26 @@ def _repeat_words(df: DataFrame) -> DataFrame:
     keys = F.when(last > 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), key))
     ordered = _once(sized, _keys=F.sort_array(F.coalesce(keys, F.array().cast("array<bigint>"))))
 
-    def same(x: Column, other: Column) -> Column:
-        """Equal hashes, then equal words."""
-        a, b = (v.bitwiseAND(F.col("_low")).cast("int") for v in (x, other))
-        words = [F.get("_words", a + k) == F.get("_words", b + k) for k in range(WINDOW)]
-        return reduce(Column.__and__, words, x.bitwiseXOR(other).bitwiseAND(F.bitwise_not("_low")) == 0)
+    def neighbour(rows: str, same) -> Column:
+        """The elements of a sorted array that equal the one before or after."""
+
+        def either(x: Column, i: Column) -> Column:
+            after, before = (F.coalesce(same(x, F.get(rows, i + k)), F.lit(False)) for k in (1, -1))
+            return after | before
+
+        return F.filter(rows, either)
 
-    def twice(x: Column, i: Column) -> Column:
-        either = F.coalesce(same(x, F.get("_keys", i + 1)), F.lit(False))
-        return either | F.coalesce(same(x, F.get("_keys", i - 1)), F.lit(False))
+    def same_hash(x: Column, other: Column) -> Column:
+        return x.bitwiseXOR(other).bitwiseAND(F.bitwise_not("_low")) == 0
+
+    def same_words(x: Column, other: Column) -> Column:
+        a, b = (v.bitwiseAND(F.col("_low")).cast("int") for v in (x, other))
+        return reduce(Column.__and__, [F.get("_words", a + k) == F.get("_words", b + k) for k in range(WINDOW)], same_hash(x, other))
 
-    places = F.transform(F.filter("_keys", twice), lambda x: x.bitwiseAND(F.col("_low")))
-    placed = _once(ordered, _places=F.sort_array(places))
+    # few windows have an equal hash beside them; only these compare their words
+    near = _once(ordered, _near=neighbour("_keys", same_hash)).drop("_keys")
+    places = F.transform(neighbour("_near", same_words), lambda x: x.bitwiseAND(F.col("_low")))
+    placed = _once(near, _places=F.sort_array(places))
     # a window adds the words up to the next repeated window, all of its own at most
     own = F.transform(
         "_places", lambda p, i: F.least(F.lit(WINDOW).cast("long"), F.coalesce(F.get("_places", i + 1) - p, F.lit(WINDOW).cast("long")))
