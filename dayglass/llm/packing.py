@@ -15,6 +15,7 @@ and the text are not looked at.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import struct
@@ -37,7 +38,7 @@ from dayglass.session import materialise
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROWS_PER_SLICE = 20_000  # of one length class that are ranked in one sort, about
-_CACHED_WORDS = 150_000  # memory of a worker; the ids do not depend on it
+_CACHED_WORDS = 100_000  # memory of a worker; the ids do not depend on it
 _LONG_WORD = 64
 
 # Printable ASCII without digits and apostrophes, and Latin letters of one code point: the
@@ -47,6 +48,14 @@ _RUNS = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
 _LATIN = [chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha()]
 
 
+def _hand_back() -> None:
+    """Return freed memory to the system, where its C library can: loading a vocabulary leaves much."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 class WordTokens:
     """Token ids of texts as little-endian 32-bit numbers, word by word.
 
@@ -67,6 +76,7 @@ class WordTokens:
         self._spelt = str.maketrans({c: before.pre_tokenize_str(c)[0][0] for c in _LATIN})
         self._known: dict[str, bytes] = {}
         self._runs: dict[str, bytes] = {}
+        _hand_back()
 
     def _plain(self, word: str) -> bytes:
         out = b""
@@ -99,6 +109,7 @@ class WordTokens:
             self._known = {}
         if len(self._runs) > _CACHED_WORDS:
             self._runs = {}
+            _hand_back()
 
 
 def _bytes(ids: list[int]) -> bytes:
