@@ -9,8 +9,9 @@ instead, which costs a fixed number of look-ups for each fingerprint however man
 the half. Both ways find the same links, so none is lost to a cap.
 
 ``near_duplicates`` is exact in this way. Similarities such as 0.8 lie far beyond two bits
-of 64; ``drop_near_copies`` meets them by bands of minimum hashes and decides by the exact
-similarity, as said there.
+of 64; ``drop_near_copies`` meets texts by their fingerprints' components and, for what
+lies further apart, by bands of minimum hashes too, and decides by the exact similarity, as
+said there.
 
 Defined results: a null or wordless text has fingerprint zero and links like any other;
 texts of fewer words than a shingle have one shingle. Repeated rows give a row each. A
@@ -32,7 +33,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayglass.llm.common import packed, small_batches, unpacked, with_marks
+from dayglass.llm.common import hand_back, packed, small_batches, unpacked, with_marks
 from dayglass.llm.graph import components
 from dayglass.session import materialise
 
@@ -94,7 +95,8 @@ def _flipped(flips: list[tuple[int, ...]]) -> Column:
 
     Clearing the first bit makes every link found from one of its two sides only.
     """
-    masks = F.array(*[F.struct(F.lit(_signed(f[:1])).cast("long").alias("need"), F.lit(_signed(f)).cast("long").alias("flip")) for f in flips])
+    # one expression: a thousand columns made one by one take the driver longer than the search
+    masks = F.expr(f"array({', '.join(f"named_struct('need', {_signed(f[:1])}L, 'flip', {_signed(f)}L)" for f in flips)})")
     usable = F.filter(masks, lambda m: F.col("_fp").bitwiseAND(m["need"]) != 0)
     return F.transform(usable, lambda m: F.col("_fp").bitwiseXOR(m["flip"]))
 
@@ -157,13 +159,18 @@ def links(distinct: DataFrame, reach: int = 2, crowded: int = CROWDED) -> DataFr
     return reduce(DataFrame.unionByName, found)
 
 
+def _rooted(least: DataFrame, reach: int) -> DataFrame:
+    """A written table of distinct fingerprints ``_fp`` with ``_root``, the smallest of each one's component."""
+    roots = components(links(least.select("_fp"), reach)).withColumnRenamed("node", "_fp")
+    rooted = least.join(roots, "_fp", "left").select(*least.columns, F.coalesce("root", "_fp").alias("_root"))
+    return materialise(rooted, "simhash-rooted")
+
+
 def _components(docs: DataFrame, width: int, reach: int, id_col: str, text_col: str) -> DataFrame:
     """Rows (``_id``, ``_hash``, ``_fp``, ``_root``, ``_least``): document, fingerprint, component."""
     prints = materialise(fingerprints(docs, width, id_col, text_col), "simhash-prints")
     least = materialise(prints.groupBy("_fp").agg(F.min("_id").alias("_min")), "simhash-distinct")
-    roots = components(links(least.select("_fp"), reach)).withColumnRenamed("node", "_fp")
-    rooted = least.join(roots, "_fp", "left").select("_fp", "_min", F.coalesce("root", "_fp").alias("_root"))
-    rooted = materialise(rooted, "simhash-rooted")
+    rooted = _rooted(least, reach)
     smallest = rooted.groupBy("_root").agg(F.min("_min").alias("_least"))
     return prints.join(rooted.join(smallest, "_root").select("_fp", "_root", "_least"), "_fp")
 
@@ -181,11 +188,12 @@ def near_duplicates(
 
 # --- similarity instead of a few bits ----------------------------------------------------
 #
+# Texts whose fingerprints hang together meet by their component, whatever else they share.
 # Texts of a Jaccard similarity of 0.8 differ in far more than two bits. They are met by
-# minimum hashes instead: a band is the minima of a shingle set under ``BAND_ROWS`` hash
+# minimum hashes besides: a band is the minima of a shingle set under ``BAND_ROWS`` hash
 # functions, and two texts of similarity s share one with chance s ** BAND_ROWS. A pair of
-# exactly 0.8 shares none of ``BANDS`` bands with chance 4e-13. Every pair that shares one
-# is a candidate only: links are decided by the exact similarity of the shingle sets.
+# exactly 0.8 shares none of ``BANDS`` bands with chance 4e-13. What meets either way is a
+# candidate only: links are decided by the exact similarity of the shingle sets.
 
 BANDS, BAND_ROWS = 72, 5
 BLOCK = 64  # members of a band value up to which they are compared with each other
@@ -275,13 +283,13 @@ def similar_links(
     block: int = BLOCK,
     faced: int = FACED,
 ) -> DataFrame:
-    """Links (``a``, ``b``) that hang together what is of at least that exact similarity and shares a band.
+    """Links (``a``, ``b``) that hang together what is of at least that exact similarity and shares a value.
 
-    ``keyed`` has distinct rows (``_node``, ``_keys``); ``sets_of`` gives (``_node``, ``_set``)
-    for a table of nodes. Every member of a value is compared with the member that shares
+    ``keyed`` has rows (``_node``, ``_keys``), bands or other values that nodes meet by, none
+    of them twice for a node; ``sets_of`` gives (``_node``, ``_set``) for a table of nodes. Every member of a value is compared with the member that shares
     most with all others first, and then with those it does not hang together with yet.
-    Up to ``block`` members of a band value do so pair by pair. Nodes of a crowded value
-    meet each other anew, by their rarest shingles instead of their bands, which loses no
+    Up to ``block`` members of a value do so pair by pair. Nodes of a crowded value
+    meet each other anew, by their rarest shingles instead of their values, which loses no
     pair of that similarity, and of the pairs that meet there only those are compared
     whose places in their sets leave room for it.
     """
@@ -376,21 +384,26 @@ def _faced_pairs(rest: DataFrame, similarity: float, faced: int) -> DataFrame:
     return met.groupBy("_at", "_i", "_j").applyInPandas(pairs, "a long, b long")
 
 
-def _similar_components(docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+def _similar_components(
+    docs: DataFrame, width: int, similarity: float, reach: int, print_width: int, id_col: str, text_col: str
+) -> DataFrame:
     """Rows (``_id``, ``_hash``, ``_root``) by similarity; texts of equal shingle sets are one node."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("_node long, _keys array<long>")
+    @F.pandas_udf("_node long, _keys array<long>, _fp long")
     def banded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [shingle_set(t, width) for t in texts]
             nodes = [np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64) for s in sets]
-            yield pd.DataFrame({"_node": nodes, "_keys": [band_keys(s) for s in sets]})
+            prints = np.array([fingerprint(t, print_width) for t in texts], dtype=np.int64)
+            yield pd.DataFrame({"_node": nodes, "_keys": [band_keys(s) for s in sets], "_fp": prints})
+        hand_back()
 
     @F.pandas_udf("array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([shingle_set(t, width).view(np.int64) for t in texts], dtype=object)
+        hand_back()
 
     texts = docs.select(F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
     prints = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), banded(F.col(text_col)).alias("_of"))
@@ -404,7 +417,12 @@ def _similar_components(docs: DataFrame, width: int, similarity: float, id_col:
         held = texts.join(wanted.hint("merge"), "_hash").dropDuplicates(["_node"])
         return held.select("_node", of(F.col("_text")).alias("_set"))
 
-    links = similar_links(distinct.select("_node", "_keys"), sets_of, similarity)
+    # a node may have several fingerprints: they count repeats, its set does not
+    owned = materialise(prints.select("_fp", "_node").distinct(), "simhash-nodes")
+    rooted = _rooted(owned.select("_fp").distinct(), reach)
+    hung = owned.join(rooted, "_fp").select("_node", F.xxhash64(F.lit("simhash"), "_root").alias("_key")).distinct()
+    keyed = distinct.select("_node", "_keys").unionByName(hung.select("_node", F.array("_key").alias("_keys")))
+    links = similar_links(keyed, sets_of, similarity)
     roots = components(links).withColumnRenamed("node", "_node")
     return prints.select("_id", "_hash", "_node").join(roots, "_node", "left").select(
         "_id", "_hash", F.coalesce("root", "_node").alias("_root")
@@ -418,16 +436,18 @@ def drop_near_copies(
     reach: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
+    print_width: int = 3,
 ) -> DataFrame:
     """One document of each component, all its columns: the smallest id, then the smallest text hash.
 
     Components link texts of at least that exact Jaccard similarity on ``width``-word
-    shingles, or fingerprints ``reach`` bits apart where ``similarity`` is None.
+    shingles, met by fingerprints of ``print_width``-word shingles ``reach`` bits apart and by
+    bands. Where ``similarity`` is None they link fingerprints of ``width``-word shingles.
     """
     if similarity is None:
         found = _components(docs, width, reach, id_col, text_col).select("_id", "_hash", "_root")
     else:
-        found = _similar_components(docs, width, similarity, id_col, text_col)
+        found = _similar_components(docs, width, similarity, reach, print_width, id_col, text_col)
     members = materialise(found, "simhash-members")
     rank = F.struct(F.col("_id").isNull(), "_id", "_hash")
     chosen = members.groupBy("_root").agg(F.min(rank).alias("_first"), F.count(F.lit(1)).alias("_rows"))

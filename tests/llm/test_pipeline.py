@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_decontamination import brute as brute_hits
@@ -113,3 +116,24 @@ def test_an_empty_table_passes_all_stages(spark, nothing):
         docs = stage(spark, docs, SF)
         assert docs.columns == nothing.columns and docs.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
+def test_near_copies_meet_by_fingerprints(spark, monkeypatch):
+    """The stage searches fingerprints: what they link hangs together without any band, if similar enough."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(4_000)]
+    rows = [(k, " ".join([*base, f"own{k}"])) for k in range(5)]
+    rows += [(10 + k, " ".join(f"x{rng.random()}" for _ in range(300))) for k in range(3)]
+    # one phrase over and over: equal fingerprints, unlike sets of shingles
+    phrase = " ".join(f"p{i}" for i in range(11))
+    rows += [(20 + k, " ".join([phrase] * 400 + [f"y{k}x{i}" for i in range(30)])) for k in range(2)]
+    prints = {d: simhash.fingerprint(t) & (1 << 64) - 1 for d, t in rows}
+
+    def apart(a, b):
+        return bin(prints[a] ^ prints[b]).count("1")
+
+    assert all(apart(0, k) <= 2 for k in range(5)) and len({prints[k] for k in range(5)}) > 1
+    assert apart(20, 21) <= 2 and apart(0, 10) > 2
+    monkeypatch.setattr(simhash, "band_keys", lambda hashes: np.empty(0, dtype=np.int64))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert set(texts(corpus_pipeline.drop_near(spark, docs, SF))) == {0, 10, 11, 12, 20, 21}
