@@ -15,7 +15,6 @@ and the text are not looked at.
 
 from __future__ import annotations
 
-import ctypes
 import os
 import re
 import struct
@@ -32,13 +31,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from dayglass.llm.common import kept_by_worker, small_batches
+from dayglass.llm.common import hand_back, kept_by_worker, small_batches
 from dayglass.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROWS_PER_SLICE = 20_000  # of one length class that are ranked in one sort, about
 _CACHED_WORDS = 100_000  # memory of a worker; the ids do not depend on it
+_CHARS_AT_ONCE = 1 << 17  # of texts that are split into words at a time, about; likewise
 _LONG_WORD = 64
 
 # Printable ASCII without digits and apostrophes, and Latin letters of one code point: the
@@ -48,14 +48,6 @@ _RUNS = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
 _LATIN = [chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha()]
 
 
-def _hand_back() -> None:
-    """Return freed memory to the system, where its C library can: loading a vocabulary leaves much."""
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):
-        pass
-
-
 class WordTokens:
     """Token ids of texts as little-endian 32-bit numbers, word by word.
 
@@ -76,7 +68,7 @@ class WordTokens:
         self._spelt = str.maketrans({c: before.pre_tokenize_str(c)[0][0] for c in _LATIN})
         self._known: dict[str, bytes] = {}
         self._runs: dict[str, bytes] = {}
-        _hand_back()
+        hand_back()
 
     def _plain(self, word: str) -> bytes:
         out = b""
@@ -90,6 +82,15 @@ class WordTokens:
         return out
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text. Words that are kept lie among those that go, so few texts are split at once."""
+        first, chars = 0, 0
+        for i, text in enumerate(texts):
+            chars += len(text or "")
+            if chars >= _CHARS_AT_ONCE or i == len(texts) - 1:
+                yield from self._some(texts[first : i + 1])
+                first, chars = i + 1, 0
+
+    def _some(self, texts: list[str | None]) -> Iterator[bytes]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         missing = [w for w in set().union(*split) if w not in self._known]
         other = []
@@ -109,7 +110,7 @@ class WordTokens:
             self._known = {}
         if len(self._runs) > _CACHED_WORDS:
             self._runs = {}
-            _hand_back()
+            hand_back()
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -144,6 +145,7 @@ def pieces(
                     own = ids[4 * start : 4 * (start + size)]
                     rows.append((key, start, len(own) // 4, zlib.crc32(own), total) + ((own,) if with_ids else ()))
             yield pd.DataFrame(rows, columns=schema.names)
+        hand_back()
 
     return source.mapInPandas(cut, schema)
 

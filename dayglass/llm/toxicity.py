@@ -35,7 +35,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayglass.llm.common import held_out, packed, small_batches, unpacked
+from dayglass.llm.common import hand_back, held_out, packed, small_batches, unpacked
 from dayglass.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -275,6 +275,7 @@ def score(spark: SparkSession, model: ToxicityModel | None, text: Column) -> Col
                     known = {}
             z = np.clip(np.asarray(margins, dtype=np.float64) + model.bias, -35, 35)
             yield pd.Series(1 / (1 + np.exp(-z)))
+        hand_back()
 
     return of(text)
 

@@ -74,3 +74,17 @@ def test_sequences_are_padded(spark, awkward):
     for r in done:
         assert len(r["ids"]) == 4 * r.padded and r.padded >= r.used
         assert r.padded == (r.used if r.used & (r.used - 1) == 0 else 256)
+
+
+def test_few_words_are_held_at_once():
+    """A batch of long texts is split bit by bit: words that go must not lie all over a worker's memory."""
+    import tracemalloc
+
+    tokens = packing.WordTokens(PATH)
+    texts = [None, *[" ".join(f"word{i % 50}" for i in range(2_000))] * 200, ""]
+    tracemalloc.start()
+    total = sum(len(ids) for ids in tokens.batch(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == 200 * len(next(tokens.batch(texts[1:2])))
+    assert peak < 8_000_000
