@@ -53,15 +53,23 @@ def _encode(df: DataFrame, pca, features: list[str], out: str = "latent") -> Dat
 def fit_latent(
     scaled: DataFrame, features: list[str], params: config.LatentParams = config.LatentParams()
 ) -> LatentModel:
-    """Projection, then the best of ``restarts`` k-means runs by training cost."""
+    """Projection, then the best of ``restarts`` k-means runs by training cost.
+
+    Up to ``restarts`` x ``max_iter`` passes go over the points, so equal rows, which days of
+    small counts mostly are, become one point that weighs as many.
+    """
     components = params.components or max(1, len(features) // 2)
-    pca, encoded = project(scaled, features, components)
-    points = encoded.select(array_to_vector("latent").alias("z")).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]
+    pca, _ = project(scaled, features, components)
+    distinct = scaled.select(*rows).groupBy(*features).agg(F.count(F.lit(1)).cast("double").alias("_weight"))
+    encoded = _encode(distinct, pca, features).select(array_to_vector("latent").alias("z"), "_weight")
+    points = encoded.persist(StorageLevel.MEMORY_AND_DISK)
     try:
 
         def run(i: int):
             seed = params.seed + i
-            return KMeans(k=params.clusters, maxIter=params.max_iter, seed=seed, featuresCol="z").fit(points)
+            means = KMeans(k=params.clusters, maxIter=params.max_iter, seed=seed, featuresCol="z", weightCol="_weight")
+            return means.fit(points)
 
         # restarts are independent jobs over the same stored points
         with ThreadPoolExecutor(params.restarts) as pool:

@@ -192,3 +192,22 @@ def test_absent_logs_are_skipped(spark):
     got = logs.read_logs(spark, root, None).first()
     assert got.user_id == "a@x" and got.email_size_kb == 9 / 1024 and got.has_attachment == 0
     assert logs.find_datasets(spark, root, ["r9"]) == []
+
+
+def test_equal_rows_are_one_weighted_point(spark, monkeypatch):
+    """K-means passes over distinct rows only, and its centres are the means of all rows."""
+    seen = []
+
+    class Counted(latent.KMeans):
+        def fit(self, dataset, params=None):
+            seen.append(dataset.count())
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(latent, "KMeans", Counted)
+    rows = [(0.0, 0.0)] * 40 + [(0.0, 1.0)] + [(10.0, 10.0)] * 29 + [(10.0, 9.0)]
+    df = spark.createDataFrame(rows, "a double, b double").repartition(4)
+    params = config.LatentParams(clusters=2, restarts=3, components=2)
+    parts = latent.latent_parts(df, latent.fit_latent(df, ["a", "b"], params)).collect()
+    assert seen == [4, 4, 4] and len(parts) == len(rows)
+    want = {(0.0, 0.0): 1 / 41, (0.0, 1.0): 40 / 41, (10.0, 10.0): 1 / 30, (10.0, 9.0): 29 / 30}
+    assert all(abs(r.distance - want[r.a, r.b]) < 1e-9 for r in parts)
