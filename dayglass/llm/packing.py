@@ -15,6 +15,8 @@ and the text are not looked at.
 
 from __future__ import annotations
 
+import functools
+import json
 import os
 import re
 import struct
@@ -38,78 +40,207 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROWS_PER_SLICE = 20_000  # of one length class that are ranked in one sort, about
 _CACHED_WORDS = 100_000  # memory of a worker; the ids do not depend on it
-_CHARS_AT_ONCE = 1 << 17  # of texts that are split into words at a time, about; likewise
+_CHARS_AT_ONCE = 1 << 17  # of texts that are encoded at a time, about; likewise
 _LONG_WORD = 64
 
-# Printable ASCII without digits and apostrophes, and Latin letters of one code point: the
-# tokenizer parts such a word into runs of letters and runs of other characters.
-_PLAIN = re.compile(r"[!-&(-/:-~À-ÖØ-öø-ÿ]+")
-_RUNS = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
-_LATIN = [chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha()]
+# Plain words are of printable ASCII and Latin letters of one code point. What the tokenizer
+# does with them can be said in bytes: lower-case, then part runs of letters, single digits,
+# runs of other characters, and contractions where no other character stands before them.
+_GAPS, _PLAIN = " \t\n\r", "!-~À-ÖØ-öø-ÿ"
+_ODD = re.compile(f"[^{_GAPS}{_PLAIN}]")
+_GAP, _LETTER, _DIGIT, _OTHER = range(4)
+_KINDS = np.full(256, _OTHER, dtype=np.uint8)
+_KINDS[list(map(ord, _GAPS))] = _GAP
+_KINDS[ord("a") : ord("z") + 1] = _KINDS[128:] = _LETTER
+_KINDS[ord("0") : ord("9") + 1] = _DIGIT
+_RULES = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None,
+    "padding": None,
+}
+_END = "</w>"
+_MODEL = {"type": "BPE", "end_of_word_suffix": _END, "continuing_subword_prefix": None, "dropout": None}
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {chr(b): b for b in _SHOWN} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*_SHOWN}))}
+
+
+def _spelt(token: str) -> bytes:
+    """A token of a byte-level vocabulary in bytes; the end of a word is a space, which no word holds."""
+    ends = token.endswith(_END)
+    return bytes(map(_BYTES.__getitem__, token[: -len(_END)] if ends else token)) + b" " * ends
+
+
+@functools.cache
+def merges_by_rank(path: str) -> bool:
+    """Whether words of this tokenizer may be merged by the ids of what comes out.
+
+    The tokenizer merges listed pairs, tiktoken any two neighbours that make up a token;
+    both take the lowest first. Neighbours that cover a token's bytes came from merges
+    inside them alone, so they are the last two parts of that token merged by itself. If
+    these are the listed pair for every token, no others are ever merged.
+    """
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    model = rules["model"]
+    known = (
+        all(rules.get(k) == v for k, v in _RULES.items())
+        and all(model.get(k) == v for k, v in _MODEL.items())
+        and not model.get("ignore_merges")
+        and not any(t["normalized"] or re.search(r"\s", t["content"]) for t in rules["added_tokens"])
+        and _BYTES.keys() >= set().union(*model["vocab"])
+    )
+    if not known:
+        return False
+    ranks = {_spelt(t): i for t, i in model["vocab"].items()}
+    single = [r for token, r in ranks.items() if len(token.removesuffix(b" ") or token) == 1]
+    if len(single) != 512 or len(ranks) != 512 + len(model["merges"]) or max(single) != 511:
+        return False
+    for rank, pair in enumerate(model["merges"], 512):
+        left, right = map(_spelt, pair.split(" ") if isinstance(pair, str) else pair)
+        whole = left + right
+        if ranks.get(whole) != rank:
+            return False
+        parts = [whole[k : k + 1] for k in range(len(whole))]
+        if parts[-1] == b" ":
+            parts[-2:] = [whole[-2:]]
+        while len(parts) > 2:
+            first, k = min((ranks.get(x + y, rank), k) for k, (x, y) in enumerate(zip(parts, parts[1:])))
+            if first == rank:
+                return False
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        if parts != [left, right]:
+            return False
+    return True
+
+
+def _runs(text: bytes) -> tuple[str, np.ndarray]:
+    """A lower-case plain text with a space after each of its runs, and where the runs begin in it."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    kinds = _KINDS[data]
+    first = np.ones(len(data), dtype=bool)
+    first[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == _DIGIT)
+    marks = np.flatnonzero(data == ord("'"))
+    marks = marks[(marks == 0) | (kinds[marks - 1] != _OTHER)]
+    if len(marks):
+        ahead = np.concatenate([data, np.zeros(3, dtype=np.uint8)])
+        next_, third = ahead[marks + 1], ahead[marks + 2]
+        one = marks[np.isin(next_, list(b"stmd"))]
+        two = marks[(np.isin(next_, list(b"rv")) & (third == ord("e"))) | ((next_ == ord("l")) & (third == ord("l")))]
+        first[one + 1] = first[two + 1] = False
+        after = np.concatenate([one + 2, two + 3])
+        first[after[after < len(data)]] = True
+    first &= kinds != _GAP
+    begins = np.flatnonzero(first)
+    glued = begins[(begins > 0) & (kinds[begins - 1] != _GAP)]
+    return np.insert(np.where(kinds == _GAP, np.uint8(32), data), glued, 32).tobytes().decode() + " ", begins
 
 
 class WordTokens:
-    """Token ids of texts as little-endian 32-bit numbers, word by word.
+    """Token ids of texts as little-endian 32-bit numbers.
 
-    The tokenizer drops white space and never merges across it, so the ids of a text are
-    those of its words, and repeated words are looked up. Plain words go run by run to
-    the tokenizer's model, others through all of the tokenizer.
+    The tokenizer drops white space and never merges across it. Plain words, which are most,
+    are parted into runs all at once and merged by tiktoken with the tokenizer's vocabulary,
+    if ``by_rank`` (see ``merges_by_rank``). Other words go through the tokenizer itself,
+    and repeated ones are looked up; a zero byte holds their place meanwhile.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, by_rank: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._model = self._tokenizer.model
-        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        # how the tokenizer spells a letter's bytes
-        before = self._tokenizer.pre_tokenizer
-        self._spelt = str.maketrans({c: before.pre_tokenize_str(c)[0][0] for c in _LATIN})
         self._known: dict[str, bytes] = {}
-        self._runs: dict[str, bytes] = {}
+        self._by_rank = by_rank
+        if by_rank:
+            self._load_ranks()
         hand_back()
 
-    def _plain(self, word: str) -> bytes:
-        out = b""
-        for run in _RUNS.findall(word.lower()):
-            ids = self._runs.get(run)
-            if ids is None:
-                ids = _bytes([t.id for t in self._model.tokenize(run.translate(self._spelt))])
-                if len(run) <= _LONG_WORD:
-                    self._runs[run] = ids
-            out += ids
-        return out
+    def _load_ranks(self) -> None:
+        import tiktoken
+
+        special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        ranks = {_spelt(t): i for t, i in self._tokenizer.get_vocab(False).items() if t not in special}
+        self._special = special
+        either = "|".join(map(re.escape, special)) or "(?!)"
+        self._odd_word = re.compile(
+            f"(?<![^{_GAPS}])(?:(?!{either})[{_PLAIN}])*+(?:[^{_GAPS}{_PLAIN}]|{either})[^{_GAPS}]*"
+        )
+        self._ends = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        self._ends[[i for token, i in ranks.items() if token.endswith(b" ")]] = True
+        self._held = ranks[b"\0 "]
+        # without a special token, tiktoken looks for an empty one at every character
+        self._merger = tiktoken.Encoding(
+            "runs", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={"\1": len(self._ends)}
+        )
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids of each text. Words that are kept lie among those that go, so few texts are split at once."""
+        """Ids of each text. Few texts are encoded at once, so that little is held beside them."""
         first, chars = 0, 0
         for i, text in enumerate(texts):
             chars += len(text or "")
             if chars >= _CHARS_AT_ONCE or i == len(texts) - 1:
-                yield from self._some(texts[first : i + 1])
+                some = [t or "" for t in texts[first : i + 1]]
+                if self._by_rank:
+                    yield from self._some(some)
+                else:
+                    yield from (_bytes(e.ids) for e in self._tokenizer.encode_batch_fast(some, add_special_tokens=False))
                 first, chars = i + 1, 0
 
-    def _some(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        missing = [w for w in set().union(*split) if w not in self._known]
-        other = []
-        for word in missing:
-            if _PLAIN.fullmatch(word) and not any(s in word for s in self._special):
-                self._known[word] = self._plain(word)
+    def _some(self, texts: list[str]) -> Iterator[bytes]:
+        odd: dict[int, list[str]] = {}
+        plain = []
+        for i, text in enumerate(texts):
+            if _ODD.search(text) or any(s in text for s in self._special):
+                odd[i] = self._odd_word.findall(text)
+                text = self._odd_word.sub("\0", text)
+            plain.append(text.lower().encode())
+        self._learn(odd)
+        spaced, begins = _runs(b"\n".join(plain))
+        ids = self._merger.encode_to_numpy(spaced, disallowed_special=()).astype("<u4", copy=False)
+        run_ends = np.concatenate([[0], np.flatnonzero(self._ends[ids]) + 1])
+        if len(run_ends) != len(begins) + 1:
+            raise RuntimeError(f"{len(begins)} runs of letters or signs came back as {len(run_ends) - 1}")
+        text_ends = np.cumsum([len(t) + 1 for t in plain]) - 1
+        parts = np.split(ids, run_ends[np.searchsorted(begins, text_ends)])
+        for i, own in enumerate(parts[: len(texts)]):
+            if i in odd:
+                between = np.split(own, np.flatnonzero(own == self._held))
+                yield between[0].tobytes() + b"".join(self._known[w] + b[1:].tobytes() for w, b in zip(odd[i], between[1:]))
             else:
-                other.append(word)
-        encoded = self._tokenizer.encode_batch_fast(other, add_special_tokens=False)
-        self._known.update((w, _bytes(e.ids)) for w, e in zip(other, encoded))
-        for words in split:
-            yield b"".join(map(self._known.__getitem__, words))
-        for word in missing:
+                yield own.tobytes()
+        if odd:
+            self._forget(odd)
+
+    def _learn(self, odd: dict[int, list[str]]) -> None:
+        missing = [w for w in set().union(*odd.values()) if w not in self._known]
+        encoded = self._tokenizer.encode_batch_fast(missing, add_special_tokens=False)
+        self._known.update((w, _bytes(e.ids)) for w, e in zip(missing, encoded))
+
+    def _forget(self, odd: dict[int, list[str]]) -> None:
+        for word in set().union(*odd.values()):
             if len(word) > _LONG_WORD:
                 del self._known[word]
         if len(self._known) > _CACHED_WORDS:
             self._known = {}
-        if len(self._runs) > _CACHED_WORDS:
-            self._runs = {}
             hand_back()
 
 
@@ -132,10 +263,11 @@ def pieces(
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     schema = StructType([source.schema["_id"], *numbers] + ([StructField("ids", BinaryType())] if with_ids else []))
     end = struct.pack("<I", end_id)
+    by_rank = merges_by_rank(tokenizer_path)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = kept_by_worker().setdefault("word_tokens", {})
-        tokens = kept.get(tokenizer_path) or kept.setdefault(tokenizer_path, WordTokens(tokenizer_path))
+        tokens = kept.get(tokenizer_path) or kept.setdefault(tokenizer_path, WordTokens(tokenizer_path, by_rank))
         for batch in batches:
             rows = []
             for key, ids in zip(batch["_id"], tokens.batch(list(batch["_text"]))):

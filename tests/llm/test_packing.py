@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import json
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -88,3 +90,46 @@ def test_few_words_are_held_at_once():
     tracemalloc.stop()
     assert total == 200 * len(next(tokens.batch(texts[1:2])))
     assert peak < 8_000_000
+
+
+def test_new_words_cost_little_more_than_known_ones():
+    """Made-up prose goes on bringing new words, more than a worker can keep."""
+    rng = random.Random(1)
+    new = " ".join("".join(rng.choices("etaoinshr", k=9)) + "," for _ in range(100_000))
+    known = " ".join(rng.choices(new.split(" ")[:50], k=100_000))
+    tokens = packing.WordTokens(PATH)
+    seconds = []
+    for text in (known, new):
+        begun = time.process_time()
+        got = next(tokens.batch([text]))
+        seconds.append(time.process_time() - begun)
+        assert np.frombuffer(got, "<u4").tolist() == token_ids(text)[:-1]
+    assert seconds[1] < 5 * seconds[0]
+    assert not tokens._known  # plain words fill no look-up table
+
+
+def test_word_tokens_of_random_signs():
+    rng = random.Random(2)
+    plain = [*"strevmldaBÉ342'''-!\"<| \n\t", "'s", "'T", "'RE", "'ll", "the", "tion"]
+    odd = [*"\r\x0b\x1c\xa0\x85 ’é́ΩΣά日🙂½²µª×İıŉǆ\0\1", "<|endoftext|>", "é", "\0 "]
+    texts = ["".join(rng.choices(plain + odd, k=rng.randint(0, 40))) for _ in range(3_000)]
+    texts += ["".join(rng.choices(plain, k=rng.randint(0, 60))) for _ in range(3_000)]
+    expected = Tokenizer.from_file(PATH).encode_batch_fast(texts, add_special_tokens=False)
+    got = list(packing.WordTokens(PATH).batch(texts))
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in expected]
+
+
+def test_only_proven_vocabularies_are_merged_by_rank(tmp_path):
+    assert packing.merges_by_rank(PATH)
+    with open(PATH, encoding="utf-8") as file:
+        rules = json.load(file)
+    rules["model"]["merges"][6] = ["t", "he</w>"]  # never met, as "th" is merged before
+    made = str(tmp_path / "made.json")
+    with open(made, "w", encoding="utf-8") as file:
+        json.dump(rules, file)
+    assert not packing.merges_by_rank(made)
+    texts = ["the other The, then", "", None, *ODD]
+    expected = [Tokenizer.from_file(made).encode(t or "", add_special_tokens=False).ids for t in texts]
+    got = packing.WordTokens(made, packing.merges_by_rank(made)).batch(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == expected
+    assert len(expected[0]) > len(token_ids(texts[0])) - 1
