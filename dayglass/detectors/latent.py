@@ -9,6 +9,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from dayglass import config
 from dayglass.detectors.isolation_forest import _label
+from dayglass.detectors.lloyd import best_centres, in_worthy_tasks
 from dayglass.detectors.thresholds import calibrate, flag_above, flag_above_quantile
 from dayglass.functions.numeric import min_max
 from dayglass.operators.ordering import with_group_stats
@@ -55,29 +57,28 @@ def fit_latent(
 ) -> LatentModel:
     """Projection, then the best of ``restarts`` k-means runs by training cost.
 
-    Up to ``restarts`` x ``max_iter`` passes go over the points, so equal rows, which days of
-    small counts mostly are, become one point that weighs as many.
+    Up to ``max_iter`` passes go over the points, each for a round of all runs, and equal rows,
+    which days of small counts mostly are, become one point that weighs as many.
     """
     components = params.components or max(1, len(features) // 2)
     rows = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]
     pca, _ = project(scaled, features, components)
     distinct = scaled.select(*rows).groupBy(*features).agg(F.count(F.lit(1)).cast("double").alias("_weight"))
-    encoded = _encode(distinct, pca, features).select(array_to_vector("latent").alias("z"), "_weight")
-    points = encoded.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    stored = materialise(_encode(distinct, pca, features).select("latent", "_weight"), "latent-points")
+    stored = in_worthy_tasks(stored, components)
+    points = stored.select(array_to_vector("latent").alias("z"), "_weight").persist(StorageLevel.MEMORY_AND_DISK)
 
-        def run(i: int):
-            seed = params.seed + i
-            means = KMeans(k=params.clusters, maxIter=params.max_iter, seed=seed, featuresCol="z", weightCol="_weight")
-            return means.fit(points)
+    def start(i: int) -> KMeans:
+        # no rounds: the model's centres are where its run begins
+        return KMeans(k=params.clusters, maxIter=0, seed=params.seed + i, featuresCol="z", weightCol="_weight")
 
+    try:
         # restarts are independent jobs over the same stored points
         with ThreadPoolExecutor(params.restarts) as pool:
-            runs = list(pool.map(run, range(params.restarts)))
-        best = min(runs, key=lambda m: m.summary.trainingCost)
-        centres = [[float(v) for v in c] for c in best.clusterCenters()]
+            begun = list(pool.map(lambda i: start(i).fit(points).clusterCenters(), range(params.restarts)))
     finally:
         points.unpersist()
+    centres = best_centres(stored, [np.array(c) for c in begun], params.max_iter, start(0).getTol())
     return LatentModel(list(features), pca, centres)
 
 

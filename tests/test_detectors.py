@@ -7,10 +7,12 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
 from dayglass import config
 from dayglass.detectors import isolation_forest, latent, sequence
+from dayglass.detectors.lloyd import best_centres
 from dayglass.operators import profiles, windows
 from dayglass.plans import batch, stages
 from dayglass.session import scratch_path
@@ -211,3 +213,47 @@ def test_equal_rows_are_one_weighted_point(spark, monkeypatch):
     assert seen == [4, 4, 4] and len(parts) == len(rows)
     want = {(0.0, 0.0): 1 / 41, (0.0, 1.0): 40 / 41, (10.0, 10.0): 1 / 30, (10.0, 9.0): 29 / 30}
     assert all(abs(r.distance - want[r.a, r.b]) < 1e-9 for r in parts)
+
+
+def test_restarts_share_their_passes(spark, monkeypatch):
+    """A pass is a round of all restarts, and they end where the best of them ends by itself."""
+    seen = []
+
+    class Kept(latent.KMeans):
+        def fit(self, dataset, params=None):
+            seen.append(dataset)
+            return super().fit(dataset, params)
+
+    def jobs() -> int:
+        return max(spark.sparkContext.statusTracker().getJobIdsForGroup(), default=-1)
+
+    monkeypatch.setattr(latent, "KMeans", Kept)
+    rows = np.random.default_rng(11).normal(size=(3000, 4)) * [1.0, 0.9, 0.8, 0.7]
+    features = ["a", "b", "c", "d"]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=features)).repartition(5)
+    params = config.LatentParams(restarts=6, components=4)
+    before = jobs()
+    found = latent.fit_latent(df, features, params)
+    ran = jobs() - before
+    alone = [
+        KMeans(k=params.clusters, maxIter=params.max_iter, seed=params.seed + i, featuresCol="z", weightCol="_weight").fit(seen[0])
+        for i in range(params.restarts)
+    ]
+    best = min(alone, key=lambda m: m.summary.trainingCost)
+    assert ran < sum(m.summary.numIter for m in alone)
+    assert np.allclose(found.centres, best.clusterCenters(), rtol=0, atol=1e-9)
+
+
+def test_fewer_points_than_clusters(spark):
+    df = spark.createDataFrame([(0.0, 1.0), (0.0, 1.0), (5.0, -2.0)], "a double, b double").repartition(3)
+    found = latent.fit_latent(df, ["a", "b"], config.LatentParams(restarts=2, components=2))
+    assert len(found.centres) == 2
+    assert latent.latent_parts(df, found).agg(F.max("distance")).first()[0] < 1e-9
+
+
+def test_rounds_keep_empty_centres_and_stop_by_count(spark):
+    """Ties go to the first centre; a centre without points stays; the rounds end at the bound."""
+    points = spark.createDataFrame([([-1.0], 1.0), ([1.0], 3.0), ([3.0], 1.0)], "latent array<double>, _weight double")
+    start = np.array([[0.0], [2.0], [50.0]])
+    assert best_centres(points, [start], 1, 1e-4) == [[0.5], [3.0], [50.0]]
+    assert best_centres(points, [start[:2], start], 0, 1e-4) == [[0.0], [2.0]]
