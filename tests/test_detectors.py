@@ -240,7 +240,7 @@ def test_restarts_share_their_passes(spark, monkeypatch):
         for i in range(params.restarts)
     ]
     best = min(alone, key=lambda m: m.summary.trainingCost)
-    assert ran < sum(m.summary.numIter for m in alone)
+    assert ran < 0.7 * sum(m.summary.numIter for m in alone)
     assert np.allclose(found.centres, best.clusterCenters(), rtol=0, atol=1e-9)
 
 
